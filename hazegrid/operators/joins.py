@@ -53,7 +53,7 @@ def interval_mean(left: DataFrame, left_id: str, right: DataFrame, keys: Sequenc
     return left.join(probes.select("_id", mean.alias(out)), left[left_id] == F.col("_id"), "left").drop("_id")
 
 
-def zones_by_cell(zones: DataFrame, size: float, margin_lon: float = 0.0, margin_lat: float = 0.0,
+def zones_by_cell(zones: DataFrame, size: float, margin_lon: float | Column = 0.0, margin_lat: float = 0.0,
                   cols: Sequence[str] = ()) -> DataFrame:
     """Grid cells covered by each zone's box, with the zones of a cell as one array."""
     c = lambda x: geo.cell(x, size)
@@ -93,7 +93,7 @@ def within_radius(points: DataFrame, point_id: str, zones: DataFrame, radius_km:
                   size: float = 0.05) -> DataFrame:
     """(point, zone, km) for every zone centroid within the radius of a point."""
     cells = zones_by_cell(zones.withColumn("half", F.lit(0.0)), size,
-                          margin_lon=radius_km / 100.0, margin_lat=radius_km / 110.0)
+                          margin_lon=radius_km / (110.0 * F.cos(F.radians(F.abs("lat_c") + 1))), margin_lat=radius_km / 110.0)
     p = points.withColumn("_px", geo.cell(F.col("lon"), size)).withColumn("_py", geo.cell(F.col("lat"), size))
     j = p.join(cells, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")))
     near = F.filter(
