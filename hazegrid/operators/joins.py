@@ -128,21 +128,25 @@ def spatiotemporal(reports: DataFrame, anomalies: DataFrame, zones: DataFrame, r
     return m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_n")
 
 
+def zone_bearings(zones: DataFrame) -> DataFrame:
+    """(zone, other zone, bearing) within a level. Zones are a reference table — a city's quarters —
+    so this adjacency stays small however many measurements there are."""
+    a = zones.select("zone_id", "niveau", "lon_c", "lat_c")
+    b = zones.select(F.col("zone_id").alias("_z2"), "niveau", F.col("lon_c").alias("_x2"), F.col("lat_c").alias("_y2"))
+    az = geo.azimuth(F.col("lon_c"), F.col("lat_c"), F.col("_x2"), F.col("_y2"))
+    return a.join(b, "niveau").where(F.col("zone_id") != F.col("_z2")).select("zone_id", "_z2", az.alias("_az"))
+
+
 def sector_mean(zones: DataFrame, wind: DataFrame, means: DataFrame, offset: float = 0.0, half_deg: float = 45.0,
-                out: str = "upwind") -> DataFrame:
-    """Per zone the mean of the zone means that lie within ``half_deg`` of its wind origin.
+                out: str = "upwind", keys: Sequence[str] = ()) -> DataFrame:
+    """Mean of the zone means within ``half_deg`` of the wind origin, per zone (and time ``keys``).
 
-    Zones are a reference table (a city's quarters), and each zone is compared with the zones
-    of its own level; measurements enter only as one mean per zone.
+    ``wind`` and ``means`` hold one row per zone and key; measurements enter as such means only.
     """
-    a = zones.select("zone_id", "niveau", "lon_c", "lat_c").join(
-        wind.select("zone_id", F.col("wind_direction").alias("_wd")), "zone_id")
-    b = zones.join(means.where(F.col("mean").isNotNull()), "zone_id").select(
-        F.col("zone_id").alias("_z2"), "niveau", F.col("lon_c").alias("_x2"), F.col("lat_c").alias("_y2"), "mean")
-    az = geo.azimuth(F.col("lon_c"), F.col("lat_c"), F.col("_x2"), F.col("_y2"))
-    j = a.join(b, "niveau").where((F.col("zone_id") != F.col("_z2"))
-                                  & (geo.circular_diff(az, F.col("_wd") + offset) <= half_deg))
-    return j.groupBy("zone_id").agg(F.avg("mean").alias(out))
+    w = wind.select("zone_id", *keys, F.col("wind_direction").alias("_wd"))
+    near = w.join(zone_bearings(zones), "zone_id").where(geo.circular_diff(F.col("_az"), F.col("_wd") + offset) <= half_deg)
+    m = means.where(F.col("mean").isNotNull()).select(F.col("zone_id").alias("_z2"), *keys, "mean")
+    return near.join(m, ["_z2", *keys]).groupBy("zone_id", *keys).agg(F.avg("mean").alias(out))
 
 
 def silent(registered: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

@@ -76,16 +76,26 @@ def solve(s: DataFrame, keys: list[str], length: float = LENGTH, noise: float =
              "inverse array<array<double>>, rmse_loo double")
 
 
-def predict(fit: DataFrame, keys: list[str], length: float = LENGTH, noise: float = NOISE, n: int = GRID,
-            with_std: bool = True) -> DataFrame:
-    """Mean (at least 0) and standard deviation in every grid cell of every snapshot."""
-    g = grid_rows(fit, n)
-    lat, lon = F.col("lat"), F.col("lon")
-    mean = F.greatest(F.lit(0.0), F.col("mean") + F.col("scale") * kernel_sum(F.col("stations"), lat, lon, length))
-    cols = [mean.alias("pm25")]
-    if with_std:
-        g = g.withColumn("_k", F.transform("stations", lambda s: kernel(s, lat, lon, length)))
-        dot = lambda row: F.aggregate(F.zip_with(row, F.col("_k"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        quad = dot(F.transform("inverse", dot))
-        cols.append((F.col("scale") * F.sqrt(F.greatest(F.lit(0.0), 1.0 + noise - quad))).alias("std"))
-    return g.select(*keys, "i", "j", "lat", "lon", *cols)
+def predict(fit: DataFrame, keys: list[str], length: float = LENGTH, noise: float = NOISE, n: int = GRID) -> DataFrame:
+    """Mean (at least 0) and standard deviation in every grid cell of every snapshot.
+
+    Work is spread by (snapshot, grid row); a task fills one grid row with two matrix products.
+    """
+    lons = np.linspace(*LON_RANGE, n)
+    lats = np.linspace(*LAT_RANGE, n)
+    rows = fit.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(*keys, "i")
+
+    def fill(parts):
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                p = np.array([(s["lat"], s["lon"], s["w"]) for s in r.stations])
+                d2 = (lats[r.i] - p[:, 0]) ** 2 + (lons[:, None] - p[:, 1]) ** 2
+                k = np.exp(-d2 / (2 * length * length))
+                quad = ((k @ np.vstack(r.inverse)) * k).sum(axis=1)
+                out = {key: [getattr(r, key)] * n for key in keys}
+                yield pd.DataFrame({**out, "i": r.i, "j": np.arange(n), "lat": lats[r.i], "lon": lons,
+                                    "pm25": np.maximum(0.0, r.mean + r.scale * (k @ p[:, 2])),
+                                    "std": r.scale * np.sqrt(np.maximum(0.0, 1.0 + noise - quad))})
+
+    ks = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fit.select(*keys).schema.fields)
+    return rows.mapInPandas(fill, f"{ks}, i int, j int, lat double, lon double, pm25 double, std double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. Cluster-sizing values are left to the submitter.
 JOB_CONF = {
@@ -42,3 +42,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="hazegrid-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and go on from there.
+
+    Used where a result feeds several branches of a longer plan: the work above is not repeated,
+    the plan stays small, and a lost executor costs a re-read instead of a recomputation.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoint"))
+    return df.checkpoint()
