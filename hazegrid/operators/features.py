@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -177,4 +179,6 @@ def training_matrix(series: DataFrame) -> DataFrame:
         return cols
 
     d = scan.row_windows(series, [], "ts", ["ts"], build, before=288, after=288)
-    return d.select("ts", *keep, *names).dropna()
+    d = d.select("ts", *keep, *names)
+    # one test per column: a single n-ary test over renamed columns makes Catalyst list every mix of old and new names
+    return d.where(reduce(and_, [F.col(c).isNotNull() for c in d.columns]))
