@@ -68,17 +68,28 @@ def update_from(target: DataFrame, changes: DataFrame, key: str, cols: Sequence[
 
 
 def alert_state(alerts: DataFrame, actions: DataFrame) -> DataFrame:
-    """Alerts after acknowledge/resolve/dismiss actions, the newest action of each kind counting.
+    """Alerts after acknowledge, resolve and dismiss actions (``alert_id``, ``action``, ``at``).
 
-    A resolved or dismissed alert that was pending becomes cancelled.
+    Acknowledging sends an alert and dismissing cancels it, so the later of the two decides; resolving
+    cancels only an alert that is still pending. ``sent_at`` is the first acknowledgement.
     """
-    at = lambda a: F.max(F.when(F.col("action") == a, F.col("at"))).alias(f"{a}_at")
-    s = actions.groupBy("alert_id").agg(at("acknowledge"), at("resolve"), at("dismiss"))
+    at = lambda a, f: f(F.when(F.col("action") == a, F.col("at")))
+    s = actions.groupBy("alert_id").agg(
+        at("acknowledge", F.max).alias("acknowledged_at"), at("acknowledge", F.min).alias("sent_at"),
+        at("resolve", F.max).alias("resolved_at"),
+        F.max_by("action", F.when(F.col("action") != "resolve", F.col("at"))).alias("_last"))
     j = alerts.join(s, alerts["id"] == s["alert_id"], "left").drop("alert_id")
-    done = F.col("resolve_at").isNotNull() | F.col("dismiss_at").isNotNull()
-    return j.withColumn("statut_envoi", F.when(done & (F.col("statut_envoi") == "pending"), "cancelled")
-                        .otherwise(F.col("statut_envoi"))).withColumnsRenamed(
-        {"acknowledge_at": "acknowledged_at", "resolve_at": "resolved_at", "dismiss_at": "dismissed_at"})
+    after = (F.when(F.col("_last") == "acknowledge", "sent").when(F.col("_last") == "dismiss", "cancelled")
+             .when(F.col("resolved_at").isNotNull() & (F.col("statut_envoi") == "pending"), "cancelled")
+             .otherwise(F.col("statut_envoi")))
+    return j.withColumn("statut_envoi", after).drop("_last")
+
+
+def acknowledge_all(alerts: DataFrame, now: Column, severity: str | None = None) -> DataFrame:
+    """Actions that acknowledge every pending alert, or those of one severity."""
+    d = alerts.where(F.col("statut_envoi") == "pending")
+    d = d.where(F.col("gravite") == severity) if severity else d
+    return d.select(F.col("id").alias("alert_id"), F.lit("acknowledge").alias("action"), now.alias("at"))
 
 
 def intake(submitted: DataFrame, zones: DataFrame, citizens: DataFrame):
