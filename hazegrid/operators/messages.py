@@ -43,7 +43,8 @@ def parse(raw: DataFrame) -> DataFrame:
     """Add ``msg``, null where the text is not valid JSON of the contract."""
     shape = T.StructType([*S.MESSAGE.fields, T.StructField("_corrupt", T.StringType())])
     j = F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return (raw.withColumn("msg", j)
+    # the generator keeps later filters from copying the parse into every one of their terms
+    return (raw.select("*", F.explode(F.array(j)).alias("msg"))
             .withColumn("msg", F.when(F.col("msg").isNotNull() & F.col("msg._corrupt").isNull(), F.col("msg"))))
 
 
