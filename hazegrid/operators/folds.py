@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,49 @@ from .scan import numbered, with_halo
 DAY_US = 86_400_000_000
 
 
+def runs(parts: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """The groups of a partition that is sorted by ``by``, one frame each.
+
+    One pass over Arrow batches; only the group at hand is held, which keeps the cost per small
+    group far below that of a separate call for each.
+    """
+    by, held = list(by), None
+    for pdf in parts:
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        change = np.zeros(len(pdf), dtype=bool)
+        for c in by:
+            v = pdf[c].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        edges = [0, *np.flatnonzero(change).tolist()]
+        for a, b in zip(edges, edges[1:]):
+            yield pdf.iloc[a:b]
+        held = pdf.iloc[edges[-1]:]
+    if held is not None:
+        yield held
+
+
+def packed(frames: Iterator[pd.DataFrame], rows: int = 20000) -> Iterator[pd.DataFrame]:
+    """Join small result frames to batches of about ``rows`` rows."""
+    some, n = [], 0
+    for f in frames:
+        some.append(f)
+        n += len(f)
+        if n >= rows:
+            yield pd.concat(some, ignore_index=True)
+            some, n = [], 0
+    if some:
+        yield pd.concat(some, ignore_index=True)
+
+
+def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn, schema: str) -> DataFrame:
+    """``fn`` on each group of ``keys``, rows in ``order``; groups must be of bounded size."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(
+        lambda parts: packed(fn(g) for g in runs(parts, keys)), schema)
+
+
 def cooldown(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, chunk_us: int = DAY_US) -> DataFrame:
     """Times at which an alert is emitted: none was *emitted* for the key in the last ``seconds``.
 
@@ -31,7 +74,7 @@ def cooldown(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, chunk_us
     ks = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cand.select(*keys).schema.fields)
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_us"].to_numpy())
+        t = pdf["_us"].to_numpy()
         nxt = np.searchsorted(t, t + cd, "left")
         last = t.copy()
         for i in range(len(t) - 1, -1, -1):
@@ -42,11 +85,9 @@ def cooldown(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, chunk_us
         head = {k: [pdf[k].iloc[0]] for k in keys}
         return pd.DataFrame({**head, "_day": [day], "_starts": [t[:m].tolist()], "_ends": [last[:m].tolist()]})
 
-    tables = cand.groupBy(*keys, "_day").applyInPandas(
-        links, f"{ks}, _day long, _starts array<long>, _ends array<long>")
+    tables = by_group(cand, [*keys, "_day"], ["_us"], links, f"{ks}, _day long, _starts array<long>, _ends array<long>")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_day")
         due, days, starts = None, [], []
         for day, s, e in zip(pdf["_day"], pdf["_starts"], pdf["_ends"]):
             i = 0 if due is None else int(np.searchsorted(s, due, "left"))
@@ -59,10 +100,10 @@ def cooldown(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, chunk_us
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "_day", "_start"]]
 
-    begin = tables.groupBy(*keys).applyInPandas(walk, f"{ks}, _day long, _start long")
+    begin = by_group(tables, keys, ["_day"], walk, f"{ks}, _day long, _start long")
 
     def expand(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_us"].to_numpy())
+        t = pdf["_us"].to_numpy()
         i, hit = int(np.searchsorted(t, pdf["_start"].iloc[0], "left")), []
         while i < len(t):
             hit.append(int(t[i]))
@@ -72,8 +113,8 @@ def cooldown(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, chunk_us
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "_us"]]
 
-    emitted = (cand.join(begin, [*keys, "_day"]).where(F.col("_us") >= F.col("_start"))
-               .groupBy(*keys, "_day").applyInPandas(expand, f"{ks}, _us long"))
+    open_days = cand.join(begin, [*keys, "_day"]).where(F.col("_us") >= F.col("_start"))
+    emitted = by_group(open_days, [*keys, "_day"], ["_us"], expand, f"{ks}, _us long")
     return emitted.select(*keys, F.timestamp_micros("_us").cast(df.schema[ts].dataType).alias(ts))
 
 
@@ -107,18 +148,15 @@ def kalman(df: DataFrame, keys: Sequence[str], ts: str, tie: str, z: str, q: flo
                      "rn", block, before=warm)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
         step = np.minimum(pdf["rn"].to_numpy() - 1, warm)
         k, zs = g[step], pdf["_z"].to_numpy()
         xs, x = np.empty(len(zs)), zs[0]
         for i, (ki, zi) in enumerate(zip(k.tolist(), zs.tolist())):
             x += ki * (zi - x)
             xs[i] = x
-        pdf["x"], pdf["gain"], pdf["std"] = xs, k, sd[step]
-        keep = pdf["_own"] == pdf["_block"]
-        return pdf.loc[keep, [*keys, ts, tie, "rn", "x", "gain", "std"]]
+        keep = (pdf["_own"] == pdf["_block"]).to_numpy()
+        return pdf.loc[keep, [*keys, ts, tie, "rn"]].assign(x=xs[keep], gain=k[keep], std=sd[step][keep])
 
     head = df.select(*keys, ts, tie).schema
     ks = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in head.fields)
-    return rows.groupBy(*keys, "_block").applyInPandas(
-        run, f"{ks}, rn long, x double, gain double, std double")
+    return by_group(rows, [*keys, "_block"], ["rn"], run, f"{ks}, rn long, x double, gain double, std double")

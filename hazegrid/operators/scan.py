@@ -37,35 +37,35 @@ def running(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], w
     ``last`` then means the next value. ``inclusive=False`` leaves the current row out.
     """
     keys = list(keys)
-    d = df.withColumn("_chunk", chunk_of(F.col(ts), chunk_s))
+    # one struct key: equal to itself even with null parts, and shared by window and join, so that the
+    # rows are shuffled once
+    d = df.withColumn("_k", F.struct(*keys, chunk_of(F.col(ts), chunk_s).alias("_chunk")))
     sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     rank = F.struct(*[F.col(c) for c in order])
-    summary = d.groupBy(*keys, "_chunk").agg(*[
+    summary = d.groupBy("_k").agg(*[
         (F.min_by(c, F.when(c.isNotNull(), rank)) if kind == "last" and reverse else _agg(kind, c, rank)).alias(n)
         for n, (kind, c) in what.items()])
-    before = (W.partitionBy(*keys).orderBy(F.col("_chunk").desc() if reverse else F.col("_chunk").asc())
+    at = F.col("_k._chunk")
+    before = (W.partitionBy(*[F.col("_k")[k] for k in keys]).orderBy(at.desc() if reverse else at.asc())
               .rowsBetween(W.unboundedPreceding, -1))
     over_chunks = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min,
                    "last": lambda c: F.last(c, ignorenulls=True)}
-    carry = summary.select(*keys, "_chunk", *[over_chunks[kind](F.col(n)).over(before).alias(f"_c_{n}")
-                                              for n, (kind, _) in what.items()])
-    on = [d[k].eqNullSafe(carry[k]) for k in keys] + [d["_chunk"] == carry["_chunk"]]
-    cond = on[0]
-    for o in on[1:]:
-        cond = cond & o
-    j = d.join(carry, cond, "left").select(d["*"], *[carry[f"_c_{n}"] for n in what])
-    w = (W.partitionBy(*keys, "_chunk").orderBy(*sort)
-         .rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
-    cols = []
-    for n, (kind, c) in what.items():
-        local = F.last(c, ignorenulls=True).over(w) if kind == "last" else _agg(kind, c).over(w)
-        held = F.col(f"_c_{n}")
-        cols.append({"sum": lambda: F.when(local.isNotNull() | held.isNotNull(),
-                                           F.coalesce(local, F.lit(0)) + F.coalesce(held, F.lit(0))),
-                     "count": lambda: F.coalesce(local, F.lit(0)) + F.coalesce(held, F.lit(0)),
-                     "max": lambda: F.greatest(local, held), "min": lambda: F.least(local, held),
-                     "last": lambda: F.coalesce(local, held)}[kind]().alias(n))
-    return j.select(*df.columns, *cols)
+    carry = summary.select("_k", *[over_chunks[kind](F.col(n)).over(before).alias(f"_c_{n}")
+                                   for n, (kind, _) in what.items()])
+    w = W.partitionBy("_k").orderBy(*sort).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    local = d.select("*", *[(F.last(c, ignorenulls=True) if kind == "last" else _agg(kind, c)).over(w).alias(f"_l_{n}")
+                            for n, (kind, c) in what.items()])
+    j = local.join(carry, "_k", "left")
+
+    def merged(n: str, kind: str) -> Column:
+        here, held = F.col(f"_l_{n}"), F.col(f"_c_{n}")
+        if kind == "count":
+            return F.coalesce(here, F.lit(0)) + F.coalesce(held, F.lit(0))
+        if kind == "sum":
+            return F.when(here.isNotNull() | held.isNotNull(), F.coalesce(here, F.lit(0)) + F.coalesce(held, F.lit(0)))
+        return {"max": F.greatest, "min": F.least, "last": F.coalesce}[kind](here, held)
+
+    return j.select(*df.columns, *[merged(n, kind).alias(n) for n, (kind, _) in what.items()])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], name: str = "rn",
