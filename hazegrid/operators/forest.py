@@ -105,8 +105,11 @@ def fit(df: DataFrame, features: Sequence[str], id_col: str, trees: int = 150, p
     want, copies = trees * psi, 1
     if stat["n"] < want:  # fewer rows than the draw: let rows serve several trees
         copies = math.ceil(want / stat["n"])
-    draw = (x.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-            .withColumn("_h", F.xxhash64("_id", "_copy", F.lit(seed))).orderBy("_copy", "_h", "_id").limit(want))
+    draw = x.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("_h", F.xxhash64("_id", "_copy", F.lit(seed)))
+    if stat["n"] > 4 * want:  # let only about twice the rows wanted reach the final top-k
+        share = 2.0 * want / stat["n"]
+        draw = draw.where(F.pmod(F.shiftrightunsigned("_h", 1), F.lit(1 << 53)) < int(share * (1 << 53)))
+    draw = draw.orderBy("_copy", "_h", "_id").limit(want)
     if copies == 1:
         tree = F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(trees))
     else:

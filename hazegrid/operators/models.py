@@ -7,13 +7,13 @@ from collections.abc import Sequence
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefeat import micros
-from .scan import HOUR, numbered
+from .scan import numbered
+from .supervise import attach
 
 # fixed values: linear fallback, forecast horizons in minutes, alert limits, fallback forecast
 FALLBACK_GAIN, FALLBACK_SHIFT = 0.85, 1.2
@@ -86,7 +86,7 @@ def time_split(df: DataFrame, ts: str, order: Sequence[str], share: float = 0.85
     """Mark the first ``share`` of the rows in time order as training rows."""
     n = numbered(df, keys, ts, order, "rn")
     total = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    j = n.join(total, list(keys)) if keys else n.join(total, F.lit(True))
+    j = n.join(total, list(keys)) if keys else attach(n, total)
     return j.withColumn("is_train", F.col("rn") <= F.floor(F.col("_n") * share)).drop("_n")
 
 
@@ -172,7 +172,7 @@ def predict_multi_horizon(models, df: DataFrame, features: Sequence[str], keys:
 def scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Zero mean and unit (population) deviation; constant columns only lose their mean."""
     s = df.agg(*[F.avg(c).alias(f"_a_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    d = df.join(s, F.lit(True))
+    d = attach(df, s)
     return d.withColumns({c: (F.col(c) - F.col(f"_a_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}"))
                           for c in cols}).drop(*[f"_{k}_{c}" for k in "as" for c in cols])
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefeat import micros
-from .supervise import hours
+from .supervise import hours, one_row
 
 # fixed values: seconds between messages of a sensor; metric, side of the limit, limit, alert type
 CYCLE_S = 30
@@ -20,13 +20,13 @@ LIMITS = (("Q1_coverage", "min", 0.80, "data_coverage_low"), ("Q2_calibration_ra
 def coverage(points_last_hour: DataFrame, sensors: DataFrame) -> DataFrame:
     n = points_last_hour.agg(F.count("*").alias("_n"))
     s = sensors.agg(F.count_if(F.col("status") == "active").alias("_s"))
-    return n.join(s, F.lit(True)).select(
+    return one_row([n, s]).select(
         F.round(F.try_divide(F.col("_n").cast("double"), F.col("_s") * (3600 // CYCLE_S)), 3).alias("q1_coverage"))
 
 
 def calibration_rate(raw: DataFrame, cleansed: DataFrame) -> DataFrame:
     a, b = cleansed.agg(F.count("*").alias("_a")), raw.agg(F.count("*").alias("_b"))
-    return a.join(b, F.lit(True)).select(F.round(F.col("_a") / F.greatest(F.col("_b"), F.lit(1)), 3).alias("q2_calibration_rate"))
+    return one_row([a, b]).select(F.round(F.col("_a") / F.greatest(F.col("_b"), F.lit(1)), 3).alias("q2_calibration_rate"))
 
 
 def rmse(predictions: DataFrame, horizons: Sequence[int]) -> DataFrame:

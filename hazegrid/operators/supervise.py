@@ -17,12 +17,17 @@ def minutes(n) -> Column:
     return F.expr(f"INTERVAL '{n}' MINUTE")
 
 
+def attach(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame (a global aggregate) to every row, as scalar subqueries."""
+    return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
+
+
 def page(df: DataFrame, date_col: str, id_col: str, page: int, size: int) -> DataFrame:
     """One page, newest first, with the total and the number of pages."""
     total = df.agg(F.count("*").alias("total"))
     rows = df.orderBy(F.col(date_col).desc(), id_col).offset((page - 1) * size).limit(size)
     pages = F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("long")
-    return rows.join(total, F.lit(True)).withColumn("pages", pages)
+    return attach(rows, total).withColumn("pages", pages)
 
 
 def recent_series(df: DataFrame, ts: str, id_col: str, n: int) -> DataFrame:
@@ -49,7 +54,7 @@ def event_feed(anomalies: DataFrame, alerts: DataFrame, metrics: DataFrame, zone
         F.col("computed_at").alias("created_at"), F.lit(3).alias("kind"), "id")
     feed = a.unionByName(b).unionByName(m)
     rows = feed.orderBy(F.col("created_at").desc(), "kind", "id").offset(offset).limit(limit)
-    return rows.join(feed.agg(F.count("*").alias("total")), F.lit(True)).drop("kind", "id")
+    return attach(rows, feed.agg(F.count("*").alias("total"))).drop("kind", "id")
 
 
 def concat_sources(frames: dict[str, DataFrame], pressure: float = 1013.0, hour: int = 12) -> DataFrame:
@@ -66,10 +71,7 @@ def concat_sources(frames: dict[str, DataFrame], pressure: float = 1013.0, hour:
 
 def one_row(parts: list[DataFrame]) -> DataFrame:
     """Side by side: frames that hold one row each (global aggregates)."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, F.lit(True))
-    return out
+    return parts[0].sparkSession.range(1).select(*[p.select(c).scalar().alias(c) for p in parts for c in p.columns])
 
 
 def flow_health(last_runs: dict[str, tuple[DataFrame, str, float, float]], now: Column) -> DataFrame:

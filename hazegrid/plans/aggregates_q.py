@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import aqi, text
 from ..functions.aqi import POLLUTANTS
 from ..operators import kriging, models, rollup
-from ..operators.supervise import hours, pct
+from ..operators.supervise import attach, hours, one_row, pct
 from ..operators.windows import hourly
 from .registry import query
 from .views import now
@@ -140,7 +140,6 @@ def _(t):
     s = recent(t.v_readings, "ts", 24).agg(pct(F.count_if(F.col("seq") > 900), n).alias("stale_pct"))
     l = t.v_readings.where(F.col("ts") >= now() - F.expr("INTERVAL '5' MINUTE")).agg(
         F.round(F.least(n / 1000 * 100, F.lit(100.0)), 6).alias("load_pct"))
-    from ..operators.supervise import one_row
     return one_row([c, s, l])
 
 
@@ -172,7 +171,7 @@ def _(t):
 def _(t):
     c = t.v_calibration
     newest = c.agg(F.max("valid_from").alias("_now"))
-    return c.join(newest, F.col("valid_from") >= F.col("_now") - hours(24)).groupBy("sensor_id").agg(
+    return c.where(F.col("valid_from") >= newest.scalar() - hours(24)).groupBy("sensor_id").agg(
         F.max("valid_from").alias("last_calibration"), F.count("*").alias("n")).orderBy(F.desc("last_calibration"), "sensor_id").limit(30)
 
 
@@ -180,10 +179,9 @@ def _(t):
  (SELECT round(100.0E0*(SELECT count(DISTINCT zone_id) FROM v_features)/greatest(count(*),1),1) FROM v_zones WHERE niveau=3) AS zones_pct FROM v_features f GROUP BY 1""")
 def _(t):
     f = t.v_features
-    z = t.v_zones.where(F.col("niveau") == 3).agg(F.count("*").alias("_z")).join(
-        f.agg(F.count_distinct("zone_id").alias("_f")), F.lit(True)).select(pct(F.col("_f"), F.col("_z")).alias("zones_pct"))
+    z = one_row([t.v_zones.where(F.col("niveau") == 3).agg(F.count("*").alias("_z")), f.agg(F.count_distinct("zone_id").alias("_f"))]).select(pct(F.col("_f"), F.col("_z")).alias("zones_pct"))
     n = F.count("pm25_rolling_mean_1h")
-    return f.groupBy("zone_id").agg(F.count("*").alias("n_rows"), n.alias("non_null"), pct(n, F.count("*")).alias("pct")).join(z, F.lit(True))
+    return attach(f.groupBy("zone_id").agg(F.count("*").alias("n_rows"), n.alias("non_null"), pct(n, F.count("*")).alias("pct")), z)
 
 
 @query("agg_kriging_coverage", """WITH g AS (SELECT z.zone_id, z.lat_c, z.lon_c, r.value FROM v_readings r JOIN v_zones z USING (zone_id) WHERE field='pm25')
@@ -192,8 +190,8 @@ SELECT zone_id, count(*) AS n, round(avg(value),6) AS mean, round(stddev_samp(va
 def _(t):
     g = t.v_readings.where(F.col("field") == "pm25").join(t.v_zones, "zone_id")
     whole = g.agg(F.round(F.min("lat_c"), 6).alias("lat_min"), F.round(F.max("lon_c"), 6).alias("lon_max"), F.count_distinct("zone_id").alias("zones_covered"))
-    return g.groupBy("zone_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"),
-                                    F.round(F.stddev_samp("value"), 6).alias("sd")).join(whole, F.lit(True))
+    return attach(g.groupBy("zone_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"),
+                                           F.round(F.stddev_samp("value"), 6).alias("sd")), whole)
 
 
 @query("agg_horizon_metrics", """SELECT horizon_minutes, count(*) AS n, round(sqrt(avg(pow(predicted_value - CASE WHEN prediction_id % 2 = 0 THEN 50 END,2))),6) AS rmse FROM v_predictions WHERE created_at >= $NOW - INTERVAL 168 HOUR GROUP BY 1""")
@@ -276,7 +274,7 @@ def _(t):
     from ..operators import quality
     a = t.v_alerts
     newest = a.agg(F.max("created_at").alias("_now"))
-    day = a.join(newest, F.col("created_at") > F.col("_now") - hours(24))
+    day = a.where(F.col("created_at") > newest.scalar() - hours(24))
     return quality.false_alarm_rate(day).select(F.round("q5_false_alarm_rate", 6).alias("q5_false_alarm_rate"))
 
 

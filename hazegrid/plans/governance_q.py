@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import govern
-from ..operators.supervise import hours
+from ..operators.supervise import attach, hours
 from ..session import shared_dir
 from .registry import query
 from .views import now
@@ -39,7 +39,7 @@ UNION ALL SELECT 'users_anonymized', count(*) FILTER (zone_id=4) FROM v_citizens
 def _(t):
     c = t.v_citizens
     n = c.agg(F.count("*").alias("_n"))
-    r = t.v_reports.join(n, F.lit(True)).select("report_id", (F.col("report_id") % F.col("_n")).alias("citizen_id"), "texte")
+    r = attach(t.v_reports, n).select("report_id", (F.col("report_id") % F.col("_n")).alias("citizen_id"), "texte")
     users = c.select("id", F.col("id").alias("citizen_id"), F.concat("pseudonyme", F.lit("@example.org")).alias("email"), F.lit(True).alias("is_active"))
     asked = c.where(F.col("zone_id") == 4).select(F.col("id").alias("user_id"))
     return govern.erase(c, r, users, asked, now())[3]
@@ -66,7 +66,7 @@ def _(t):
 def _(t):
     c = t.v_citizens.select(F.col("id").alias("citizen_id"), F.lit(1).cast("long").alias("reports_count"))
     n = c.agg((F.count("*") + 10).alias("_n"))
-    sub = t.v_reports.join(n, F.lit(True)).select("report_id", (F.col("report_id") % F.col("_n")).alias("citizen_id"), "lon", "lat")
+    sub = attach(t.v_reports, n).select("report_id", (F.col("report_id") % F.col("_n")).alias("citizen_id"), "lon", "lat")
     published, counters = govern.intake(sub, t.v_zones, c)
     return published.join(counters, "citizen_id").select("report_id", "citizen_id", "zone_id", "lon", "lat", "reports_count")
 
@@ -76,7 +76,7 @@ UNION ALL SELECT 'active_sensor', CAST(sensor_id AS VARCHAR) FROM v_sensors WHER
 def _(t):
     a = t.v_alerts
     m = a.agg(F.max("created_at").alias("_m"))
-    day = a.join(m, F.col("created_at") > F.col("_m") - hours(24)).where(F.col("statut_envoi").isin("pending", "sent"))
+    day = a.where(F.col("created_at") > m.scalar() - hours(24)).where(F.col("statut_envoi").isin("pending", "sent"))
     v = lambda d, n, k: d.select(F.lit(n).alias("view_name"), F.col(k).cast("string").alias("key"))
     return (v(day, "alerts_24h", "id").unionByName(v(t.v_sensors.where(F.col("status") == "active"), "active_sensor", "sensor_id"))
             .unionByName(v(a.orderBy(F.desc("created_at"), "id").limit(5), "newest", "id")))

@@ -6,6 +6,7 @@ from ..functions import timefeat as tf
 from ..functions.geo import in_box
 from ..operators import features, kriging, models
 from ..operators.joins import nearest
+from ..operators.supervise import attach
 from ..session import cut
 from .registry import query
 from .scalars_q import AZ_SQL
@@ -86,7 +87,7 @@ def _(t):
     f = s.agg(F.max("ts").alias("_last")).select("_last", steps).select(
         "horizon_minutes", (F.col("_last") + F.make_dt_interval(mins=F.col("horizon_minutes"))).alias("ts"))
     test = models.scores(models.predict_seasonal(model, std, s.where("not is_train").select("ts", "pm25"), "ts", origin), "pm25", "predicted_value")
-    return models.predict_seasonal(model, std, f, "ts", origin).join(test.select("rmse", "mae"), F.lit(True))
+    return attach(models.predict_seasonal(model, std, f, "ts", origin), test.select("rmse", "mae"))
 
 
 def matrix_series(t):
@@ -208,6 +209,6 @@ SELECT m AS computed_at, round(epoch($NOW-m)/3600,6) AS age_h, count(*) AS n, ro
 def _(t):
     g = kriging.snapshots(t.v_readings, t.v_zones)
     newest = g.agg(F.max("computed_at").alias("m"))
-    d = g.join(newest, F.col("computed_at") == F.col("m")).where(in_box(F.col("lon"), F.col("lat"), -17.6, 14.6, -17.3, 14.8))
+    d = g.where(F.col("computed_at") == newest.scalar()).where(in_box(F.col("lon"), F.col("lat"), -17.6, 14.6, -17.3, 14.8))
     return d.groupBy("computed_at").agg(F.count("*").alias("n"), F.round(F.min("v"), 6).alias("pm25_min"), F.round(F.max("v"), 6).alias("pm25_max")).select(
         "computed_at", F.round(tf.seconds_between(now(), F.col("computed_at")) / 3600, 6).alias("age_h"), "n", "pm25_min", "pm25_max")

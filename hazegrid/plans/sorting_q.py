@@ -25,7 +25,7 @@ def _(t):
 SELECT id, k, (SELECT CAST(sum(k) AS BIGINT) FROM k) AS total FROM k ORDER BY k DESC NULLS LAST, id LIMIT 20""")
 def _(t):
     k = t.v_log.select("id", F.get_json_object("metadata", "$.k").cast("int").alias("k"))
-    return k.orderBy(F.desc_nulls_last("k"), "id").limit(20).join(k.agg(F.sum("k").alias("total")), F.lit(True))
+    return supervise.attach(k.orderBy(F.desc_nulls_last("k"), "id").limit(20), k.agg(F.sum("k").alias("total")))
 
 
 @query("srt_topk", "SELECT zone_id, count(*) AS n FROM v_anomalies GROUP BY 1 ORDER BY n DESC, zone_id LIMIT 12")

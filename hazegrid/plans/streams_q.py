@@ -143,4 +143,4 @@ def _(t):
     jobs.live_counters(stream(t, "v_readings"), out)
     d = t.spark.read.parquet(out)
     last = d.agg(F.max("batch").alias("_b"))
-    return ntz(d.join(last, F.col("batch") == F.col("_b")), "last_ts").select("zone_id", "field", "n", "last_ts")
+    return ntz(d.where(F.col("batch") == last.scalar()), "last_ts").select("zone_id", "field", "n", "last_ts")

@@ -119,7 +119,7 @@ def _(t):
 @query("agg_alert_by_gravity", "SELECT gravite, count(*) AS n, (SELECT count(*) FROM v_alerts WHERE gravite IN ('danger','critical')) AS severe_total FROM v_alerts GROUP BY 1")
 def _(t):
     g = t.v_alerts.groupBy("gravite").agg(F.count("*").alias("n"))
-    return g.join(g.agg(F.sum(F.when(F.col("gravite").isin("danger", "critical"), F.col("n")).otherwise(0)).alias("severe_total")), F.lit(True))
+    return supervise.attach(g, g.agg(F.sum(F.when(F.col("gravite").isin("danger", "critical"), F.col("n")).otherwise(0)).alias("severe_total")))
 
 
 @query("agg_log_stats", """SELECT service, count(*) AS n, count(*) FILTER (level='ERROR') AS errors, count(*) FILTER (level='WARN') AS warnings, round(100.0E0*count(*) FILTER (level='ERROR')/greatest(count(*),1),1) AS error_pct FROM v_log GROUP BY 1 ORDER BY n DESC, service LIMIT 10""")

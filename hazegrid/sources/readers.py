@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +33,10 @@ def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int
 
 def time_range(df: DataFrame, ts: str, now: Column, hours: float, fields: Sequence[str] = ()) -> DataFrame:
     """Rows of the last ``hours``; plain comparisons on stored columns, so they reach the scan."""
-    d = df.where((F.col(ts) >= now - F.make_dt_interval(secs=F.lit(hours * 3600))) & (F.col(ts) < now))
+    start = now - F.make_dt_interval(secs=F.lit(hours * 3600))
+    d = df.where((F.col(ts) >= start) & (F.col(ts) < now))
+    if "date" in df.columns:  # table partitioned by day: skip whole partitions
+        d = d.where(F.col("date").between(F.to_date(start), F.to_date(now)))
     return d.where(F.col("field").isin(*fields)) if fields else d
 
 
@@ -65,8 +69,6 @@ def openaq_long(spark: SparkSession, path: str) -> DataFrame:
 
 def feature_rows(store: DataFrame, names: Sequence[str], n_steps: int = 288) -> DataFrame:
     """Last ``n_steps`` rows per zone with the feature map as columns, oldest first within a zone."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("zone_id").orderBy(F.col("timestamp").desc())
     top = store.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n_steps)
     return top.select("zone_id", "timestamp", *[F.col("features")[n].alias(n) for n in names])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timefeat import micros
 from ..operators import detect, messages, models
+from ..operators.supervise import attach
 from ..sources import sinks
 from . import state
 from .run import each_batch, to_table
@@ -97,7 +98,7 @@ def calibrate_with_newest(readings: DataFrame, registry: str, out: str, name: st
         model = batch.sparkSession.read.parquet(registry).orderBy(F.desc("version")).limit(1).select(
             F.col("version").alias("model_version"), "coef_a", "coef_b")
         fit = models.linear_calibration(F.col("value"), F.col("coef_a"), F.col("coef_b"))
-        batch.join(model, F.lit(True)).withColumn("calibrated", fit).drop("coef_a", "coef_b").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        attach(batch, model).withColumn("calibrated", fit).drop("coef_a", "coef_b").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     each_batch(readings, name, apply)
 
