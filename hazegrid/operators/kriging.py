@@ -76,26 +76,26 @@ def solve(s: DataFrame, keys: list[str], length: float = LENGTH, noise: float =
              "inverse array<array<double>>, rmse_loo double")
 
 
-def predict(fit: DataFrame, keys: list[str], length: float = LENGTH, noise: float = NOISE, n: int = GRID) -> DataFrame:
+def predict(fit: DataFrame, keys: list[str], length: float = LENGTH, noise: float = NOISE, n: int = GRID, strip: int = 20) -> DataFrame:
     """Mean (at least 0) and standard deviation in every grid cell of every snapshot.
 
-    Work is spread by (snapshot, grid row); a task fills one grid row with two matrix products.
+    Work is spread by (snapshot, strip of grid rows); a strip is filled by two matrix products.
     """
-    lons = np.linspace(*LON_RANGE, n)
-    lats = np.linspace(*LAT_RANGE, n)
-    rows = fit.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(*keys, "i")
+    lons, lats = np.linspace(*LON_RANGE, n), np.linspace(*LAT_RANGE, n)
+    work = fit.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(strip)))).repartition(*keys, "_i")
 
     def fill(parts):
         for pdf in parts:
-            for r in pdf.itertuples(index=False):
-                p = np.array([(s["lat"], s["lon"], s["w"]) for s in r.stations])
-                d2 = (lats[r.i] - p[:, 0]) ** 2 + (lons[:, None] - p[:, 1]) ** 2
+            for r in pdf.to_dict("records"):
+                p = np.array([(s["lat"], s["lon"], s["w"]) for s in r["stations"]])
+                i, j = (x.ravel() for x in np.meshgrid(np.arange(r["_i"], min(r["_i"] + strip, n)), np.arange(n), indexing="ij"))
+                d2 = (lats[i][:, None] - p[:, 0]) ** 2 + (lons[j][:, None] - p[:, 1]) ** 2
                 k = np.exp(-d2 / (2 * length * length))
-                quad = ((k @ np.vstack(r.inverse)) * k).sum(axis=1)
-                out = {key: [getattr(r, key)] * n for key in keys}
-                yield pd.DataFrame({**out, "i": r.i, "j": np.arange(n), "lat": lats[r.i], "lon": lons,
-                                    "pm25": np.maximum(0.0, r.mean + r.scale * (k @ p[:, 2])),
-                                    "std": r.scale * np.sqrt(np.maximum(0.0, 1.0 + noise - quad))})
+                quad = ((k @ np.vstack(r["inverse"])) * k).sum(axis=1)
+                out = {key: [r[key]] * len(i) for key in keys}
+                yield pd.DataFrame({**out, "i": i, "j": j, "lat": lats[i], "lon": lons[j],
+                                    "pm25": np.maximum(0.0, r["mean"] + r["scale"] * (k @ p[:, 2])),
+                                    "std": r["scale"] * np.sqrt(np.maximum(0.0, 1.0 + noise - quad))})
 
     ks = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fit.select(*keys).schema.fields)
-    return rows.mapInPandas(fill, f"{ks}, i int, j int, lat double, lon double, pm25 double, std double")
+    return work.mapInPandas(fill, f"{ks}, i int, j int, lat double, lon double, pm25 double, std double")

@@ -48,7 +48,7 @@ def latency_p95(readings: DataFrame, now: Column) -> DataFrame:
     """
     age = F.floor((micros(now) - micros(F.col("ts"))) / 1000)
     by_age = readings.groupBy(age.alias("_ms")).agg(F.count("*").alias("_n"))
-    return by_age.agg(F.round(F.percentile("_ms", 0.95, F.col("_n")), 1).alias("q6_latency_p95_ms"))
+    return by_age.agg(F.percentile("_ms", 0.95, F.col("_n")).alias("q6_latency_p95_ms"))
 
 
 def breaches(metrics: DataFrame, recent_alerts: DataFrame) -> DataFrame:

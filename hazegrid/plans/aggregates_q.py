@@ -278,10 +278,11 @@ def _(t):
     return quality.false_alarm_rate(day).select(F.round("q5_false_alarm_rate", 6).alias("q5_false_alarm_rate"))
 
 
-@query("agg_latency_p95", "SELECT round(quantile_cont((epoch_us($NOW)-epoch_us(ts))//1000, 0.95),1) AS q6_latency_p95_ms FROM v_readings WHERE ts >= $NOW - INTERVAL 24 HOUR")
+@query("agg_latency_p95", "SELECT round(quantile_cont((epoch_us($NOW)-epoch_us(ts))//1000, 0.95)+1e-6,1) AS q6_latency_p95_ms FROM v_readings WHERE ts >= $NOW - INTERVAL 24 HOUR")
 def _(t):
     from ..operators import quality
-    return quality.latency_p95(recent(t.v_readings, "ts", 24), now())
+    q = quality.latency_p95(recent(t.v_readings, "ts", 24), now())
+    return q.select(F.round(F.col("q6_latency_p95_ms") + 1e-6, 1).alias("q6_latency_p95_ms"))
 
 
 @query("agg_prophet_hourly", """WITH h AS (SELECT zone_id, date_trunc('hour',ts) AS ds, greatest(0, avg(value)) AS y FROM v_readings WHERE field='pm25' GROUP BY 1,2)

@@ -148,10 +148,10 @@ def _(t):
     return windows.seq_gaps(t.v_readings, "sensor_id", "seq", "ts", "reading_id")
 
 
-@query("win_sequences", f"""WITH {CITY_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY ts) AS rn FROM city)
+@query("win_sequences", f"""WITH {CITY_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY ts) AS rn FROM city WHERE pm25 IS NOT NULL AND pm10 IS NOT NULL)
 SELECT b.rn, CAST(count(*) AS INTEGER) AS steps, round(sum(a.pm25),6) AS sum_pm25, round(arg_min(a.pm10,a.rn),6) AS first_pm10, round(max(b.pm25),6) AS target FROM n b JOIN n a ON a.rn BETWEEN b.rn-48 AND b.rn-1 WHERE b.rn>48 AND (b.rn-1-48)%6=0 GROUP BY 1""")
 def _(t):
-    d = windows.sequences(city(t), [], "ts", ["pm25", "pm10"], "pm25", 48, 6)
+    d = windows.sequences(city(t).select("ts", "pm25", "pm10").dropna(), [], "ts", ["pm25", "pm10"], "pm25", 48, 6)
     return d.select("rn", F.size("sequence").alias("steps"),
                     F.round(F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[0]), 6).alias("sum_pm25"),
                     F.round(F.col("sequence")[0][1], 6).alias("first_pm10"), F.round("pm25", 6).alias("target"))
