@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def c_factor(n) -> np.ndarray:
     """Mean path length of an unsuccessful search among ``n`` points."""
@@ -125,7 +127,7 @@ def fit(df: DataFrame, features: Sequence[str], id_col: str, trees: int = 150, p
         return pd.DataFrame({"tree": k, "node": np.arange(len(a)), "feature": a[:, 0], "split": a[:, 1], "left": a[:, 2],
                              "right": a[:, 3], "path": a[:, 4]})
 
-    rows = (draw.withColumn("_tree", tree).groupBy("_tree").applyInPandas(
+    rows = (spread(draw.withColumn("_tree", tree), "_tree").groupBy("_tree").applyInPandas(
         build, "tree long, node long, feature double, split double, left double, right double, path double").toPandas())
     rows = rows.sort_values(["tree", "node"])
     grown = [g[["feature", "split", "left", "right", "path"]].to_numpy() for _, g in rows.groupby("tree")]

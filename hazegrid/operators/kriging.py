@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # fixed values: grid extent and size, kernel length, noise level
 LAT_RANGE, LON_RANGE, GRID = (14.60, 14.82), (-17.58, -17.30), 200
 LENGTH, NOISE = 0.05, 1.0
@@ -71,7 +73,7 @@ def solve(s: DataFrame, keys: list[str], length: float = LENGTH, noise: float =
         return pd.DataFrame(out)
 
     ks = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.select(*keys).schema.fields)
-    return s.groupBy(*keys).applyInPandas(
+    return spread(s, *keys).groupBy(*keys).applyInPandas(
         run, f"{ks}, n int, mean double, scale double, stations array<struct<lat:double,lon:double,w:double>>, "
              "inverse array<array<double>>, rmse_loo double")
 
@@ -82,7 +84,7 @@ def predict(fit: DataFrame, keys: list[str], length: float = LENGTH, noise: floa
     Work is spread by (snapshot, strip of grid rows); a strip is filled by two matrix products.
     """
     lons, lats = np.linspace(*LON_RANGE, n), np.linspace(*LAT_RANGE, n)
-    work = fit.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(strip)))).repartition(*keys, "_i")
+    work = spread(fit.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(strip)))), *keys, "_i")
 
     def fill(parts):
         for pdf in parts:
