@@ -137,19 +137,19 @@ pr AS (SELECT a.zone_id, b.zone_id AS z2, {AZ_SQL.format(x1='a.lon_c', y1='a.lat
 se AS (SELECT wx.zone_id, wx.t, avg(nw.pm25_raw) FILTER (abs(fmod(az-wind_direction+180+720,360)-180)<=45) AS up, avg(nw.pm25_raw) FILTER (abs(fmod(az-(wind_direction+180)+180+720,360)-180)<=45) AS down FROM wx JOIN pr USING (zone_id) JOIN nw ON nw.zone_id=pr.z2 AND nw.t=wx.t GROUP BY 1,2),
 ci AS (SELECT date_trunc('hour',ts) + INTERVAL 1 HOUR AS t, avg(value) AS city FROM rd WHERE field='pm25' GROUP BY 1),
 sd AS (SELECT zone_id, count(*) FILTER (status='active') AS density FROM v_sensors GROUP BY 1)
-SELECT a.zone_id, a.t, round(pm25_lag_1h,4) AS pm25_lag_1h, round(pm25_lag_168h,4) AS pm25_lag_168h, round(pm10_lag_24h,4) AS pm10_lag_24h, round(co_lag_1h,4) AS co_lag_1h, round(no2_lag_1h,4) AS no2_lag_1h,
+SELECT a.zone_id, a.t, round(pm25_lag_1h+1e-9,4) AS pm25_lag_1h, round(pm25_lag_168h+1e-9,4) AS pm25_lag_168h, round(pm10_lag_24h+1e-9,4) AS pm10_lag_24h, round(co_lag_1h+1e-9,4) AS co_lag_1h, round(no2_lag_1h+1e-9,4) AS no2_lag_1h,
  round(pm25_rolling_mean_7d+1e-9,4) AS pm25_rolling_mean_7d, round(pm25_rolling_std_24h+1e-9,4) AS pm25_rolling_std_24h, round(pm25_rolling_median_6h+1e-9,4) AS pm25_rolling_median_6h, round(pm25_rolling_p95_24h+1e-9,4) AS pm25_rolling_p95_24h, round(pm10_rolling_mean_24h+1e-9,4) AS pm10_rolling_mean_24h,
- round(nw.pm25-pm25_lag_3h,4) AS pm25_delta_3h, round((nw.pm25-pm25_lag_1h)-(pm25_lag_1h-pm25_lag_6h),4) AS pm25_accel_1h, round(CASE WHEN pm25_lag_24h>0 THEN (nw.pm25-pm25_lag_24h)/pm25_lag_24h*100 END,4) AS pm25_daily_change_pct,
- round(sin(2*pi()*hour(a.t)/24),4) AS hour_sin, CASE WHEN isodow(a.t)>=6 THEN 1 ELSE 0 END AS is_weekend, wx.temperature, round(wind_speed,4) AS wind_speed, wx.precipitation, round(temperature-(100-humidity)/5,4) AS dew_point,
- congestion_level, congestion_lag_1h, round(congestion_rolling_mean_3h,4) AS congestion_rolling_mean_3h, round(CASE WHEN nw.pm10>0 THEN nw.pm25/nw.pm10 END,4) AS pm25_pm10_ratio, round(CASE WHEN nw.o3>0 THEN nw.no2/nw.o3 END,4) AS no2_o3_ratio,
- round(up,4) AS pm25_upwind_mean, round(down,4) AS pm25_downwind_mean, round(city+1e-9,4) AS pm25_city_mean, density AS sensor_density, round(CASE WHEN nw.pm25>0 AND up>0 THEN abs(nw.pm25-up)/greatest(nw.pm25,up) WHEN wind_speed<0.5E0 THEN 1 END,4) AS wind_independence_index,
- round((nw.pm25-ro.pm25_rolling_mean_1h)/greatest(nw.pm25,1),4) AS pm25_spatial_gradient, CAST(81 AS INTEGER) AS n_features
+ round(nw.pm25-pm25_lag_3h+1e-9,4) AS pm25_delta_3h, round((nw.pm25-pm25_lag_1h)-(pm25_lag_1h-pm25_lag_6h)+1e-9,4) AS pm25_accel_1h, round(CASE WHEN pm25_lag_24h>0 THEN (nw.pm25-pm25_lag_24h)/pm25_lag_24h*100 END+1e-9,4) AS pm25_daily_change_pct,
+ round(sin(2*pi()*hour(a.t)/24)+1e-9,4) AS hour_sin, CASE WHEN isodow(a.t)>=6 THEN 1 ELSE 0 END AS is_weekend, wx.temperature, round(wind_speed+1e-9,4) AS wind_speed, wx.precipitation, round(temperature-(100-humidity)/5+1e-9,4) AS dew_point,
+ congestion_level, congestion_lag_1h, round(congestion_rolling_mean_3h+1e-9,4) AS congestion_rolling_mean_3h, round(CASE WHEN nw.pm10>0 THEN nw.pm25/nw.pm10 END+1e-9,4) AS pm25_pm10_ratio, round(CASE WHEN nw.o3>0 THEN nw.no2/nw.o3 END+1e-9,4) AS no2_o3_ratio,
+ round(up+1e-9,4) AS pm25_upwind_mean, round(down+1e-9,4) AS pm25_downwind_mean, round(city+1e-9,4) AS pm25_city_mean, density AS sensor_density, round(CASE WHEN nw.pm25>0 AND up>0 THEN abs(nw.pm25-up)/greatest(nw.pm25,up) WHEN wind_speed<0.5E0 THEN 1 END+1e-9,4) AS wind_independence_index,
+ round((nw.pm25-ro.pm25_rolling_mean_1h)/greatest(nw.pm25,1)+1e-9,4) AS pm25_spatial_gradient, CAST(81 AS INTEGER) AS n_features
 FROM a JOIN nw USING (zone_id,t) JOIN lg ON lg.zone_id=a.zone_id AND lg.hour=a.t JOIN ro ON ro.zone_id=a.zone_id AND ro.t=a.t LEFT JOIN wx ON wx.zone_id=a.zone_id AND wx.t=a.t LEFT JOIN tr ON tr.zone_id=a.zone_id AND tr.t=a.t
  LEFT JOIN ti ON ti.zone_id=a.zone_id AND ti.t=a.t LEFT JOIN se ON se.zone_id=a.zone_id AND se.t=a.t LEFT JOIN ci ON ci.t=a.t LEFT JOIN sd ON sd.zone_id=a.zone_id"""
 VEC_OUT = ("pm25_lag_1h pm25_lag_168h pm10_lag_24h co_lag_1h no2_lag_1h pm25_delta_3h pm25_accel_1h pm25_daily_change_pct hour_sin wind_speed "
            "dew_point congestion_rolling_mean_3h pm25_pm10_ratio no2_o3_ratio pm25_upwind_mean pm25_downwind_mean "
-           "wind_independence_index pm25_spatial_gradient").split()
-VEC_TIE = "pm25_rolling_mean_7d pm25_rolling_std_24h pm25_rolling_median_6h pm25_rolling_p95_24h pm10_rolling_mean_24h pm25_city_mean".split()
+           "wind_independence_index pm25_spatial_gradient "
+           "pm25_rolling_mean_7d pm25_rolling_std_24h pm25_rolling_median_6h pm25_rolling_p95_24h pm10_rolling_mean_24h pm25_city_mean").split()
 
 
 def sensor_meta(t):
@@ -162,7 +162,7 @@ def sensor_meta(t):
 def _(t):
     v = features.zone_vector(t.v_readings, t.v_zones, t.v_sensors, t.v_weather, t.v_traffic, sensor_meta(t), anchors(t))
     n = len(v.columns) - 2
-    return v.select("zone_id", "t", *[F.round(c, 4).alias(c) for c in VEC_OUT], *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in VEC_TIE],
+    return v.select("zone_id", "t", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in VEC_OUT],
                     "is_weekend", "temperature", "precipitation", "congestion_level", "congestion_lag_1h", "sensor_density",
                     F.lit(n).alias("n_features"))
 

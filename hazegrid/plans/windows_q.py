@@ -72,12 +72,12 @@ def _(t):
     return d.select("ts", *r6([f"diff_{k}" for k in features.ROW_DIFFS]))
 
 
-ANCHOR_SQL = "a AS (SELECT zone_id, t FROM (SELECT DISTINCT zone_id FROM v_zones), generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-31', INTERVAL 3 HOUR) g(t))"
+ANCHOR_SQL = "a AS (SELECT zone_id, t FROM (SELECT DISTINCT zone_id FROM v_zones), generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 HOUR) g(t))"
 
 
 def anchors(t):
-    """Every zone at every third hour of the data's days."""
-    hours = F.sequence(F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), now(), F.expr("INTERVAL '3' HOUR"))
+    """Every zone at every full hour of the data's month."""
+    hours = F.sequence(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), now(), F.expr("INTERVAL '1' HOUR"))
     return t.v_zones.select("zone_id", F.explode(hours).alias("t"))
 
 
