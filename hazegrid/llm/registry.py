@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("quality_q", "simhash_q", "mixing_q", "decontam_q")
+MODULES = ("quality_q", "simhash_q", "mixing_q", "tokens_q", "decontam_q")
 
 
 def query(name: str, sql: str | None = None):

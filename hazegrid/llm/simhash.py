@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazegrid.session import spread as spread_rows
+
 from .common import components, hidden, saved
 
 SHINGLE = 4
@@ -179,7 +181,7 @@ def linked(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> Da
         if n:
             yield flush(*map(np.concatenate, zip(*held)))
 
-    copies = fps.select("fp").mapInArrow(spread, "anchor long, fp long")
+    copies = spread_rows(fps.select("fp"), "fp").mapInArrow(spread, "anchor long, fp long")
     return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -202,9 +204,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The document with the smallest id of each component; one row of those that repeat its id."""
-    groups = near_dedup(docs, id_col, text_col, **how)
-    mine = hidden(docs, "_keep")
-    keep = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(mine)).distinct()
-    out = docs.join(keep, docs[id_col].eqNullSafe(keep[mine]), "left_semi")
-    return out.dropDuplicates([id_col])
+    """The document with the smallest id of each component; one row of those that repeat its id.
+
+    A row without an id stands behind all rows with one, under a stand-in made from its text.
+    """
+    mine, keep_id = hidden(docs, "_own"), hidden(docs, "_keep")
+    behind = F.xxhash64(text_col).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    d = docs.withColumn(mine, F.coalesce(F.col(id_col).cast("long"), behind))
+    groups = near_dedup(d, mine, text_col, **how)
+    keep = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(keep_id)).distinct()
+    out = d.join(keep, d[mine] == keep[keep_id], "left_semi")
+    return out.dropDuplicates([mine]).select(*docs.columns)
