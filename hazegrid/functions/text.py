@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,5 +63,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def pseudonym(value: Column, key: str, length: int = 32) -> Column:
-    """Keyed hash for lookups; equal input and key give the same result."""
-    return F.left(F.sha2(F.concat(F.lit(key), F.lit(":"), value), 256), F.lit(length))
+    """HMAC-SHA-256 for lookups, as hex digits; equal input and key give the same result."""
+    k = key.encode()
+    k = (hashlib.sha256(k).digest() if len(k) > 64 else k).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in k) for pad in (0x36, 0x5C))
+    mac = F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), value.cast("binary")), 256))), 256)
+    return F.left(mac, F.lit(length))

@@ -30,8 +30,8 @@ def runs(parts: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[pd.DataFr
             continue
         change = np.zeros(len(pdf), dtype=bool)
         for c in by:
-            v = pdf[c].to_numpy()
-            change[1:] |= v[1:] != v[:-1]
+            v, none = pdf[c].to_numpy(), pdf[c].isna().to_numpy()
+            change[1:] |= (v[1:] != v[:-1]) & ~(none[1:] & none[:-1])
         edges = [0, *np.flatnonzero(change).tolist()]
         for a, b in zip(edges, edges[1:]):
             yield pdf.iloc[a:b]
@@ -113,7 +113,9 @@ def cooldown(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, chunk_us
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "_us"]]
 
-    open_days = cand.join(begin, [*keys, "_day"]).where(F.col("_us") >= F.col("_start"))
+    b = begin.select(*[F.col(c).alias(f"_b_{c}") for c in (*keys, "_day")], "_start")
+    same = [cand[c].eqNullSafe(b[f"_b_{c}"]) for c in (*keys, "_day")]  # a null key is a key
+    open_days = cand.join(b, same).where(F.col("_us") >= F.col("_start")).select(*cand.columns, "_start")
     emitted = by_group(open_days, [*keys, "_day"], ["_us"], expand, f"{ks}, _us long")
     return emitted.select(*keys, F.timestamp_micros("_us").cast(df.schema[ts].dataType).alias(ts))
 
@@ -130,7 +132,7 @@ def kalman_gains(q: float, r: float, n: int) -> list[tuple[float, float]]:
 
 
 def kalman(df: DataFrame, keys: Sequence[str], ts: str, tie: str, z: str, q: float = 0.5, r: float = 4.0,
-           block: int = 8192) -> DataFrame:
+           block: int = 8192, max_warm: int = 1_000_000) -> DataFrame:
     """Filtered value, gain and standard deviation of every row, per key in time order.
 
     The gain converges, so the influence of a row shrinks geometrically. Blocks of a
@@ -138,8 +140,10 @@ def kalman(df: DataFrame, keys: Sequence[str], ts: str, tie: str, z: str, q: flo
     earlier is below double precision; the first block starts from ``x = z``.
     """
     keys = list(keys)
-    steady = kalman_gains(q, r, 4000)[-1][0]
-    warm = min(int(math.ceil(math.log(1e-20) / math.log(1 - steady))) + 1, 4000)
+    prior = (q + math.sqrt(q * q + 4 * q * r)) / 2  # where the variance settles
+    warm = int(math.ceil(math.log(1e-20) / math.log1p(-prior / (prior + r)))) + 1
+    if warm > max_warm:
+        raise ValueError(f"the filter forgets too slowly for q={q}, r={r}: a block needs {warm} rows in front of it")
     block = max(block, warm)
     gains = kalman_gains(q, r, warm + 1)
     g = np.array([a for a, _ in gains])

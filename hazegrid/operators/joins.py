@@ -34,23 +34,27 @@ def interval_mean(left: DataFrame, left_id: str, right: DataFrame, keys: Sequenc
                   value: str, seconds: int, out: str) -> DataFrame:
     """Mean of ``value`` over right rows in ``[t - seconds, t]`` of each left row (both ends closed).
 
-    Every left row asks the running sum twice — just before the interval and at its end — and the
-    difference of the answers is the interval's sum, so dense keys do not multiply rows.
+    Time is cut into chunks as long as the interval. An interval is the end of one chunk and the beginning of the next,
+    so it is one sum from a time to its chunk's end plus one from a chunk's begin to a time. Nothing is subtracted: values
+    outside the interval, NaN or very large ones among them, have no part in its mean.
     """
+    span = seconds * 1_000_000
+    us = micros(F.col("_ts"))
     step = F.expr(f"INTERVAL '{seconds}' SECOND")
     lid = F.col(left_id).alias("_id")
-    lo = left.select(*keys, lid, (F.col(left_ts) - step).alias("_ts"), F.lit(0).alias("_side"))
-    hi = left.select(*keys, lid, F.col(left_ts).alias("_ts"), F.lit(2).alias("_side"))
+    lo = left.select(*keys, lid, (F.col(left_ts) - step).alias("_ts"), F.lit(2).alias("_side"))
+    hi = left.select(*keys, lid, F.col(left_ts).alias("_ts"), F.lit(3).alias("_side"))
     r = right.where(F.col(value).isNotNull()).select(
         *keys, F.col(right_ts).alias("_ts"), F.lit(1).alias("_side"), F.col(value).cast("double").alias("_v"))
-    u = lo.unionByName(hi).unionByName(r, allowMissingColumns=True)
-    s = running(u, keys, "_ts", ["_ts", "_side", "_id"],
-                {"_s": ("sum", F.col("_v")), "_n": ("count", F.col("_v"))})
-    probes = s.where(F.col("_side") != 1).groupBy("_id").agg(*[
-        F.max(F.when(F.col("_side") == side, F.coalesce(F.col(c), F.lit(0)))).alias(f"{c}{side}")
-        for c in ("_s", "_n") for side in (0, 2)])
-    mean = F.when(F.col("_n2") > F.col("_n0"), (F.col("_s2") - F.col("_s0")) / (F.col("_n2") - F.col("_n0")))
-    return left.join(probes.select("_id", mean.alias(out)), left[left_id] == F.col("_id"), "left").drop("_id")
+    u = lo.unionByName(hi).unionByName(r, allowMissingColumns=True).withColumn("_c", F.floor(us / span))
+    w = W.partitionBy(*keys, "_c")
+    up = w.orderBy("_ts", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    down = w.orderBy(F.desc("_ts"), "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    u = u.select("_id", "_side", *[F.when(F.col("_side") == 3, f("_v").over(up)).otherwise(f("_v").over(down)).alias(n)
+                                   for n, f in (("_s", F.sum), ("_n", F.count))])
+    m = u.where(F.col("_side") > 1).groupBy("_id").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    mean = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))
+    return left.join(m.select("_id", mean.alias(out)), left[left_id] == F.col("_id"), "left").drop("_id")
 
 
 def zones_by_cell(zones: DataFrame, size: float, margin_lon: float | Column = 0.0, margin_lat: float = 0.0,

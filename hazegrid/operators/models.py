@@ -82,6 +82,13 @@ def median_impute(df: DataFrame, keys: Sequence[str], cols: Sequence[str], how:
             .drop(*[f"_m_{c}" for c in cols]))
 
 
+def hourly_series(hours: DataFrame, least: int = 168) -> DataFrame:
+    """``(zone_id, ds, y)`` of zones with at least ``least`` hours; ``hours`` has ``zone_id, hour, pm25``."""
+    h = hours.select("zone_id", F.col("hour").alias("ds"), F.greatest(F.lit(0.0), "pm25").alias("y")).dropna()
+    ok = h.groupBy("zone_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return h.join(ok, "zone_id", "left_semi")
+
+
 def time_split(df: DataFrame, ts: str, order: Sequence[str], share: float = 0.85, keys: Sequence[str] = ()) -> DataFrame:
     """Mark the first ``share`` of the rows in time order as training rows."""
     n = numbered(df, keys, ts, order, "rn")

@@ -288,9 +288,8 @@ def _(t):
 @query("agg_prophet_hourly", """WITH h AS (SELECT zone_id, date_trunc('hour',ts) AS ds, greatest(0, avg(value)) AS y FROM v_readings WHERE field='pm25' GROUP BY 1,2)
 SELECT zone_id, ds, round(y,6) AS y FROM h WHERE y IS NOT NULL AND zone_id IN (SELECT zone_id FROM h GROUP BY 1 HAVING count(*) >= 70)""")
 def _(t):
-    h = hourly(t.v_readings, ["pm25"]).select("zone_id", F.col("hour").alias("ds"), F.greatest(F.lit(0.0), "pm25").alias("y")).dropna()
-    ok = h.groupBy("zone_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= 70)
-    return h.join(ok, "zone_id", "left_semi").select("zone_id", "ds", *r6("y"))
+    from ..operators import models
+    return models.hourly_series(hourly(t.v_readings, ["pm25"]), least=70).select("zone_id", "ds", *r6("y"))  # the given events are sparse
 
 
 @query("agg_deploy_checks", """SELECT 'sensor' AS check_name, CAST(sensor_id AS VARCHAR) AS key, count(*) AS n FROM v_readings WHERE ts >= $NOW - INTERVAL 6 HOUR GROUP BY 2 UNION ALL

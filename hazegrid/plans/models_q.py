@@ -38,7 +38,7 @@ def _(t):
 @query("ml_calibration_apply")
 def _(t):
     d = training_rows(t)
-    model = models.fit_calibration(d.dropna(), trees=20, depth=8)
+    model = models.fit_calibration(d.dropna())
     return models.apply_calibration(model, d).select("zone_id", "ts", "pm25", "method")
 
 

@@ -330,7 +330,10 @@ def _(t):
                     F.array_join(changed_keys(old, merged), ",").alias("changed"))
 
 
-@query("fn_pseudonym", "SELECT c_custkey, left(sha256('secret:' || c_name), 32) AS lookup, sha256(lower(trim(c_name))) AS email_hash FROM customer")
+_PAD = ["".join(f"{b ^ pad:02x}" for b in b"secret".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query("fn_pseudonym", f"SELECT c_custkey, left(sha256(from_hex('{_PAD[1]}') || from_hex(sha256(from_hex('{_PAD[0]}') || encode(c_name)))), 32) AS lookup, sha256(lower(trim(c_name))) AS email_hash FROM customer")
 def _(t):
     return t.customer.select("c_custkey", text.pseudonym(F.col("c_name"), "secret").alias("lookup"),
                              F.sha2(F.lower(F.trim("c_name")), 256).alias("email_hash"))

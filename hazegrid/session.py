@@ -16,8 +16,6 @@ JOB_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # rollups hold a few thousand groups per task: keep their percentile buffers hashed instead of sorting rows
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

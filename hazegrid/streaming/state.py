@@ -29,7 +29,7 @@ def seq_dedup(stream: DataFrame, key: str, seq: str, order: Sequence[str]) -> Da
 
     def step(k, parts, state):
         pdf = _rows(parts, order)
-        top = state.get[0] if state.exists else -1
+        top = state.get[0] if state.exists else np.iinfo(np.int64).min
         before = np.concatenate([[top], np.maximum.accumulate(np.maximum(pdf[seq].to_numpy(), top))[:-1]])
         state.update((int(max(top, pdf[seq].max())),))
         yield pdf.loc[pdf[seq].to_numpy() > before, cols]
