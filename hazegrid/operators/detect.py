@@ -38,6 +38,11 @@ def latest(readings: DataFrame, keys, ts: str = "ts", tie: str = "reading_id") -
     return top.select(*keys, "_r.*")
 
 
+def look_back(readings: DataFrame, now: Column, hours: int = 2) -> DataFrame:
+    """The rows of the last ``hours`` up to ``now``."""
+    return readings.where((F.col("ts") > now - F.make_dt_interval(hours=F.lit(hours))) & (F.col("ts") <= now))
+
+
 def stuck(window: DataFrame) -> DataFrame:
     """Sensors whose PM2.5 hardly moves; ``window`` holds the rows of the look-back time."""
     s = window.where(F.col("field") == "pm25").groupBy("sensor_id", "zone_id").agg(
@@ -49,11 +54,15 @@ def stuck(window: DataFrame) -> DataFrame:
 
 
 def implausible_ratio(window: DataFrame) -> DataFrame:
-    """Newest PM2.5 above 1.5 times the newest PM10, for sensors with enough rows."""
-    newest = lambda f: F.max_by(F.when(F.col("field") == f, F.col("value")),
-                                F.when(F.col("field") == f, F.struct("ts", "reading_id")))
-    s = window.groupBy("sensor_id", "zone_id").agg(F.count("*").alias("n"), newest("pm25").alias("pm25"),
-                                                   newest("pm10").alias("pm10"), F.max("ts").alias("ts"))
+    """PM2.5 above 1.5 times PM10 in the newest row that has both, for sensors with enough rows.
+
+    Rows are values of the same time; one time's values of a pollutant are averaged.
+    """
+    at = lambda f: F.avg(F.when(F.col("field") == f, F.col("value"))).alias(f)
+    row = window.groupBy("sensor_id", "zone_id", "ts").agg(F.count("*").alias("n"), at("pm25"), at("pm10"))
+    full = F.col("pm25").isNotNull() & F.col("pm10").isNotNull()
+    s = row.groupBy("sensor_id", "zone_id").agg(F.sum("n").alias("n"), F.max_by(
+        F.struct("pm25", "pm10", "ts"), F.when(full, F.col("ts"))).alias("r")).select("sensor_id", "zone_id", "n", "r.*")
     lim = F.col("pm10") * RATIO
     return s.where((F.col("n") >= MIN_POINTS) & (F.col("pm10") > 0) & (F.col("pm25") > lim)).select(
         "sensor_id", "zone_id", "ts", F.lit("implausible_ratio").alias("type"), F.lit("pm25").alias("pollutant"),

@@ -21,6 +21,14 @@ def c_factor(n) -> np.ndarray:
     return np.where(n > 2, 2 * h - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+def scrambled(key: np.ndarray, seed: int) -> np.ndarray:
+    """A 63-bit hash of each key for each seed."""
+    z = key + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))) >> np.uint64(1)
+
+
 def grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int, float, int, int, float]]:
     """Nodes (feature, split, left, right, path length at leaf); feature -1 marks a leaf."""
     nodes: list[tuple[int, float, int, int, float]] = []
@@ -89,11 +97,11 @@ class Forest:
 
 def fit(df: DataFrame, features: Sequence[str], id_col: str, trees: int = 150, psi: int = 256,
         contamination: float = 0.03, seed: int = 42, min_rows: int = 500) -> Forest | None:
-    """Fit on ``trees * psi`` rows picked by hash order, each tree on its own share.
+    """Fit every tree on its own ``psi`` rows, those with the smallest hashes under the tree's hash function.
 
-    The pick is a sampling step of the method: only those rows leave the scan (top-k by hash), and
-    every tree is grown in its own task. The decision offset is the contamination quantile of the
-    scores of *all* rows.
+    The subsample per tree is a step of the method and the same for any number of rows (all rows serve if there are fewer). A
+    task keeps at most ``psi`` rows per tree; every tree is grown in its own task. The decision offset is the contamination
+    quantile of the scores of *all* rows.
     """
     features = list(features)
     x = df.select(F.col(id_col).alias("_id"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
@@ -104,30 +112,35 @@ def fit(df: DataFrame, features: Sequence[str], id_col: str, trees: int = 150, p
     mean = np.array([stat[f"a{i}"] for i in range(len(features))])
     std = np.array([stat[f"s{i}"] or 1.0 for i in range(len(features))])
     psi = int(min(psi, stat["n"]))
-    want, copies = trees * psi, 1
-    if stat["n"] < want:  # fewer rows than the draw: let rows serve several trees
-        copies = math.ceil(want / stat["n"])
-    draw = x.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("_h", F.xxhash64("_id", "_copy", F.lit(seed)))
-    if stat["n"] > 4 * want:  # let only about twice the rows wanted reach the final top-k
-        share = 2.0 * want / stat["n"]
-        draw = draw.where(F.pmod(F.shiftrightunsigned("_h", 1), F.lit(1 << 53)) < int(share * (1 << 53)))
-    draw = draw.orderBy("_copy", "_h", "_id").limit(want)
-    if copies == 1:
-        tree = F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(trees))
-    else:
-        tree = F.pmod(F.xxhash64("_id", "_copy", F.lit(seed + 1)), F.lit(trees))
+    names = ", ".join(f"`{c}` double" for c in features)
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each tree the ``psi`` rows of a task with the smallest hashes under that tree's hash function."""
+        held: list[pd.DataFrame | None] = [None] * trees
+        for pdf in parts:
+            key = pdf["_h"].to_numpy().astype(np.uint64)
+            for k in range(trees):
+                h = scrambled(key, seed * 1000 + k)
+                at = np.argpartition(h, psi)[:psi] if len(h) > psi else np.arange(len(h))
+                new = pdf.iloc[at][features].assign(_h=h[at].astype(np.int64), _tree=k)
+                both = new if held[k] is None else pd.concat([held[k], new], ignore_index=True)
+                held[k] = both.nsmallest(psi, "_h", keep="all") if len(both) > psi else both
+        if held[0] is not None:
+            yield from (t[["_tree", "_h", *features]] for t in held)
+
+    drawn = x.withColumn("_h", F.xxhash64("_id")).mapInPandas(draw, f"_tree int, _h long, {names}")
     limit = math.ceil(math.log2(max(psi, 2)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         k = int(pdf["_tree"].iloc[0])
-        pdf = pdf.sort_values("_h")
+        pdf = pdf.sort_values(["_h", *features]).head(psi)
         z = (pdf[features].to_numpy(dtype=float) - mean) / std
         nodes = grow(z, np.random.default_rng(seed * 1000 + k), limit)
         a = np.array(nodes, dtype=float)
         return pd.DataFrame({"tree": k, "node": np.arange(len(a)), "feature": a[:, 0], "split": a[:, 1], "left": a[:, 2],
                              "right": a[:, 3], "path": a[:, 4]})
 
-    rows = (spread(draw.withColumn("_tree", tree), "_tree").groupBy("_tree").applyInPandas(
+    rows = (spread(drawn, "_tree").groupBy("_tree").applyInPandas(
         build, "tree long, node long, feature double, split double, left double, right double, path double").toPandas())
     rows = rows.sort_values(["tree", "node"])
     grown = [g[["feature", "split", "left", "right", "path"]].to_numpy() for _, g in rows.groupby("tree")]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aqi import POLLUTANTS
 from ..operators import detect, folds, forest
+from ..session import cut
 from .registry import query
 from .views import now
 
@@ -15,7 +16,7 @@ def wide(t):
     h = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")
     a = t.v_readings.groupBy("zone_id", h).agg(*[F.avg(F.when(F.col("field") == p, F.col("value"))).alias(p) for p in POLLUTANTS])
     w = t.v_weather.groupBy("zone_id", h).agg(*[F.avg(c).alias(c) for c in ("temperature", "humidity", "pressure")])
-    return a.join(w, ["zone_id", "ts"], "left").fillna(0.0, CELLS).withColumn("row_id", F.xxhash64("zone_id", "ts"))
+    return cut(a.join(w, ["zone_id", "ts"], "left").fillna(0.0, CELLS).withColumn("row_id", F.xxhash64("zone_id", "ts")))
 
 
 def forest_findings(t):
@@ -46,10 +47,14 @@ def _(t):
     return detect.stuck(hung).select("sensor_id").join(mean, "sensor_id")
 
 
-@query("det_implausible_ratio", """SELECT sensor_id, round(a,6) AS detected_value, round(b*1.5E0,6) AS threshold FROM (SELECT sensor_id, count(*) AS n, arg_max(value,(ts,reading_id)) FILTER (field='pm25') AS a, arg_max(value,(ts,reading_id)) FILTER (field='pm10') AS b FROM v_readings GROUP BY 1) WHERE n>=10 AND b>0 AND a>b*1.5E0""")
+@query("det_implausible_ratio", """WITH d AS (SELECT sensor_id, date_trunc('day',ts) AS day, count(*) AS n, avg(value) FILTER (field='pm25') AS a, avg(value) FILTER (field='pm10') AS b FROM v_readings WHERE ts > $NOW - INTERVAL 480 HOUR AND ts <= $NOW GROUP BY 1,2),
+l AS (SELECT sensor_id, sum(n) AS n, arg_max(a, day) FILTER (a IS NOT NULL AND b IS NOT NULL) AS a, arg_max(b, day) FILTER (a IS NOT NULL AND b IS NOT NULL) AS b FROM d GROUP BY 1)
+SELECT sensor_id, round(a,6) AS detected_value, round(b*1.5E0,6) AS threshold FROM l WHERE n>=10 AND b>0 AND a>b*1.5E0""")
 def _(t):
-    return detect.implausible_ratio(t.v_readings).select("sensor_id", F.round("detected_value", 6).alias("detected_value"),
-                                                         F.round("threshold", 6).alias("threshold"))
+    r = detect.look_back(t.v_readings, now(), 480)  # sparse events: days stand in for the sensors' rows
+    daily = r.withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    return detect.implausible_ratio(daily).select("sensor_id", F.round("detected_value", 6).alias("detected_value"),
+                                                  F.round("threshold", 6).alias("threshold"))
 
 
 @query("det_isolation_forest")
@@ -74,6 +79,12 @@ def _(t):
     level2 = forest_findings(t).where(F.col("score") < 0).select(
         F.lit(None).cast("long").alias("sensor_id"), "zone_id", "ts", F.lit("pollution_anomaly").alias("type"), F.lit("pm25").alias("pollutant"),
         detect.severity(F.col("score")).alias("severity"), F.col("pm25").alias("detected_value"), F.lit(0.0).alias("threshold"), "score")
-    found = detect.findings(detect.threshold_findings(r), level2, detect.stuck(r), detect.implausible_ratio(r))
-    alerts = folds.cooldown(found, ["zone_id", "type"], "ts", 1800)
-    return alerts.groupBy("zone_id", "type").agg(F.count("*").alias("alerts"), F.max("ts").alias("last_alert"))
+    window = detect.look_back(r, now(), 480)
+    newest = detect.latest(window, ["sensor_id", "field"])
+    found = cut(detect.findings(detect.threshold_findings(newest), level2, detect.stuck(window), detect.implausible_ratio(window)))
+    # one alert per zone and half hour, whatever the rule; it carries the gravest finding of its time
+    sent = folds.cooldown(found, ["zone_id"], "ts", 1800)
+    gravest = found.groupBy("zone_id", "ts").agg(F.min_by(
+        F.struct("type", "pollutant", "severity", F.round("detected_value", 6).alias("detected_value")),
+        F.struct(F.col("severity") != "danger", "type", "pollutant", "sensor_id")).alias("f"))
+    return sent.join(gravest, ["zone_id", "ts"]).select("zone_id", F.col("ts").alias("alert_at"), "f.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +12,19 @@ from ..operators import detect, messages, models
 from ..operators.supervise import attach
 from ..sources import sinks
 from . import state
+from ..session import shared_dir
 from .run import each_batch, to_table
 
 # fixed values: reject-rate window, limit and least number; silence limits in minutes
 DEAD_RATE, DEAD_MIN, SILENT_MIN, DROPOUT_MIN = 0.05, 5, 10, 30
 
 
-def ingest(raw: DataFrame, sensors: DataFrame, name: str = "ingest", seen_at: Column | None = None, every: str | None = None):
+def ingest(raw: DataFrame, sensors: DataFrame, name: str = "ingest", seen_at: Column | None = None, every: str | None = None,
+           path: str | None = None, checkpoint: str | None = None):
     """Messages to the reading table, rejects to the dead-letter table; returns both paths.
 
+    With ``path`` and ``checkpoint`` (folders for both tables) a restart goes on with new messages and the kept sequence state.
+
     Valid messages pass the sequence check in keyed state, get a stale flag and their zone (from
     the sensor table, else from the identifier). Rejects take a stateless second query, so that
     messages without a readable sensor never gather under one key.
@@ -26,13 +32,14 @@ def ingest(raw: DataFrame, sensors: DataFrame, name: str = "ingest", seen_at: Co
     checked = messages.validate(messages.parse(raw))
     bad = checked.where(F.col("error").isNotNull())
     dead = sinks.dead_letters(bad, F.col("ts") if seen_at is None else seen_at)
-    rejects, _ = to_table(dead, f"{name}-rejects", every=every)
+    at = lambda base, part: base and f"{base.rstrip('/')}/{part}"
+    rejects, _ = to_table(dead, f"{name}-rejects", at(path, "rejects"), every=every, checkpoint=at(checkpoint, "rejects"))
     good = messages.flatten(checked.where(F.col("error").isNull()))
     fresh = state.seq_dedup(good, "sensor_id", "seq", ["event_id"])
     zoned = fresh.join(sensors.select("sensor_id", F.col("slug").alias("_slug")), "sensor_id", "left")
     out = zoned.withColumn("zone", F.coalesce("_slug", messages.slug_from_serial(F.col("sensor_id")))).drop("_slug")
     out = out.withColumn("stale", messages.stale(F.col("ts"), F.current_timestamp() if seen_at is None else seen_at))
-    readings, _ = to_table(out.withColumn("date", F.to_date("ts")), f"{name}-readings", partition="date", every=every)
+    readings, _ = to_table(out.withColumn("date", F.to_date("ts")), f"{name}-readings", at(path, "readings"), "date", every, at(checkpoint, "readings"))
     return readings, rejects
 
 
@@ -91,19 +98,33 @@ def threshold_alerts(readings: DataFrame) -> DataFrame:
     return detect.threshold_findings(readings)
 
 
-def calibrate_with_newest(readings: DataFrame, registry: str, out: str, name: str = "model-reload"):
-    """Each micro-batch reads the newest model row again, so a new model is used without a restart."""
+def calibrate_with_newest(readings: DataFrame, registry: str, out: str, name: str = "model-reload", every: str | None = None,
+                          checkpoint: str | None = None):
+    """Each micro-batch reads the newest model row again, so a new model is used without a restart.
+
+    Output stands under the checkpoint's own folder and the batch number: a batch that is run again replaces its own rows only,
+    and a start from a new checkpoint touches nothing older.
+    """
+    checkpoint = checkpoint or shared_dir(readings.sparkSession, f"{name}-checkpoint")
+    run = _run_of(checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         model = batch.sparkSession.read.parquet(registry).orderBy(F.desc("version")).limit(1).select(
             F.col("version").alias("model_version"), "coef_a", "coef_b")
         fit = models.linear_calibration(F.col("value"), F.col("coef_a"), F.col("coef_b"))
-        attach(batch, model).withColumn("calibrated", fit).drop("coef_a", "coef_b").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        attach(batch, model).withColumn("calibrated", fit).drop("coef_a", "coef_b").write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
 
-    each_batch(readings, name, apply)
+    return each_batch(readings, name, apply, every=every, checkpoint=checkpoint)
 
 
-def live_counters(readings: DataFrame, out: str, name: str = "counters"):
-    """Running totals per zone and pollutant; every trigger writes its full state under its batch number."""
+def live_counters(readings: DataFrame, out: str, name: str = "counters", every: str | None = None, checkpoint: str | None = None):
+    """Running totals per zone and pollutant; every trigger writes its full state under its checkpoint's folder and batch number."""
+    checkpoint = checkpoint or shared_dir(readings.sparkSession, f"{name}-checkpoint")
+    run = _run_of(checkpoint)
     totals = readings.groupBy("zone_id", "field").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
-    each_batch(totals, name, lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/part={i}"), mode="complete")
+    return each_batch(totals, name, lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/run={run}/part={i}"),
+                      mode="complete", every=every, checkpoint=checkpoint)
+
+
+def _run_of(checkpoint: str) -> str:
+    return f"r{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_dir
 
 
-def kafka(spark: SparkSession, servers: str, pattern: str, **options: str) -> DataFrame:
-    """Messages of all topics that match ``pattern``, as ``topic`` and text ``value``."""
-    return (spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribePattern": pattern, **options})
+def kafka(spark: SparkSession, servers: str, pattern: str, per_trigger: int = 1_000_000, **options: str) -> DataFrame:
+    """Messages of all topics that match ``pattern``, as ``topic`` and text ``value``; at most ``per_trigger`` in a micro-batch."""
+    return (spark.readStream.format("kafka").options(**{"maxOffsetsPerTrigger": str(per_trigger), "kafka.bootstrap.servers": servers, "subscribePattern": pattern, **options})
             .load().selectExpr("topic", "CAST(value AS STRING) AS value", "timestamp AS received_at"))
 
 
@@ -23,9 +23,12 @@ def to_table(stream: DataFrame, name: str, path: str | None = None, partition: s
              checkpoint: str | None = None):
     """Append to a parquet table. Without ``every`` the input at hand is processed and the stream ends.
 
+    A job that may be restarted gives both ``path`` and ``checkpoint``: it then goes on where it stopped, with its keyed state.
     Returns the table's path and the running query (``None`` when it has ended).
     """
     spark = stream.sparkSession
+    if path and not checkpoint:
+        raise ValueError("a table at a fixed path needs a fixed checkpoint, or a restart would add its rows again")
     path = path or shared_dir(spark, name)
     w = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint or shared_dir(spark, f"{name}-checkpoint"))
     w = w.partitionBy(partition) if partition else w
