@@ -36,9 +36,10 @@ def ingest(raw: DataFrame, sensors: DataFrame, name: str = "ingest", seen_at: Co
     rejects, _ = to_table(dead, f"{name}-rejects", at(path, "rejects"), every=every, checkpoint=at(checkpoint, "rejects"))
     good = messages.flatten(checked.where(F.col("error").isNull()))
     fresh = state.seq_dedup(good, "sensor_id", "seq", ["event_id"])
+    # computed before the join: rows of the keyed state need a projection before they can be shuffled
+    fresh = fresh.withColumn("stale", messages.stale(F.col("ts"), F.current_timestamp() if seen_at is None else seen_at))
     zoned = fresh.join(sensors.select("sensor_id", F.col("slug").alias("_slug")), "sensor_id", "left")
     out = zoned.withColumn("zone", F.coalesce("_slug", messages.slug_from_serial(F.col("sensor_id")))).drop("_slug")
-    out = out.withColumn("stale", messages.stale(F.col("ts"), F.current_timestamp() if seen_at is None else seen_at))
     readings, _ = to_table(out.withColumn("date", F.to_date("ts")), f"{name}-readings", at(path, "readings"), "date", every, at(checkpoint, "readings"))
     return readings, rejects
 

@@ -126,3 +126,24 @@ def test_spatiotemporal(spark):
         c = sorted([(b, j) for j, z, b in an if z in near and t - 7200 <= b <= t + 1800], reverse=True)[:10]
         want |= {(i, j) for _, j in c}
     assert got == want
+
+
+def test_interval_mean_ignores_what_lies_outside(spark):
+    rows = [(1, 0, float("nan")), (1, 10, 1e17), (1, 7200, 2.0), (1, 7300, 4.0), (None, 7300, 7.0), (1, 99999, 1e17)]
+    r = spark.createDataFrame(rows, "k int, t long, v double").withColumn("ts", F.timestamp_seconds("t"))
+    l = spark.createDataFrame([(1, 1, 7500), (2, 1, 7200), (3, 1, 20000), (4, 1, 5)], "id int, k int, t long").withColumn("ts", F.timestamp_seconds("t"))
+    got = {x.id: x.m for x in joins.interval_mean(l, "id", r, ["k"], "ts", "ts", "v", 900, "m").collect()}
+    assert (got[1], got[2], got[3]) == (3.0, 2.0, None) and np.isnan(got[4])
+
+
+def test_cooldown_keeps_null_keys(spark):
+    d = spark.createDataFrame([(None, 0), (None, 10), (None, 40), (1, 0), (1, 5), (1, 31)], "k int, t long").withColumn("ts", F.timestamp_seconds("t"))
+    got = {(r.k, r.t) for r in folds.cooldown(d, ["k"], "ts", 30).select("k", F.unix_timestamp("ts").alias("t")).collect()}
+    assert got == {(None, 0), (None, 40), (1, 0), (1, 31)}
+
+
+def test_slow_kalman_warms_up_long_enough_or_raises(spark):
+    d = spark_frame(spark, frame(n=50))
+    assert folds.kalman(d, ["k"], "ts", "id", "v", q=1e-6).count() == 50
+    with pytest.raises(ValueError):
+        folds.kalman(d, ["k"], "ts", "id", "v", q=1e-12)

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hazegrid.operators import folds, windows
+from hazegrid.operators import folds, messages, windows
 from hazegrid.plans.views import Tables
-from hazegrid.streaming import run, state
+from hazegrid.streaming import jobs, run, state
 
 DIR = "/root/testdata/sf0.01"
 
@@ -46,3 +46,49 @@ def test_kalman(spark, parts):
     got = {r.reading_id: r.x for r in read(spark, state.kalman(s, "sensor_id", "ts", "reading_id", "value"), "kalman").collect()}
     want = {r.reading_id: r.x for r in folds.kalman(whole, ["sensor_id"], "ts", "reading_id", "value").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def two_inputs(spark, base):
+    """A folder with a file of the first half of the messages, and a function that adds the second half."""
+    m = Tables(spark, DIR).v_messages.withColumn("ts", F.col("ts").cast("timestamp"))
+    path = f"{base}/in"
+    m.where("ts < '2024-01-16'").coalesce(1).write.parquet(path)
+    return m, path, lambda: m.where("ts >= '2024-01-16'").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_ingest_goes_on_after_a_restart(spark, tmp_path):
+    m, path, add = two_inputs(spark, tmp_path)
+    sensors = spark.createDataFrame([], "sensor_id string, slug string")
+
+    def start(out):
+        s = run.files(spark, path, m.schema)
+        return jobs.ingest(messages.from_rows(s), sensors, path=f"{tmp_path}/{out}", checkpoint=f"{tmp_path}/{out}-checkpoint")
+
+    start("twice")
+    add()
+    readings, rejects = start("twice")
+    once, once_rejects = start("once")
+    for a, b, key in ((readings, once, "event_id"), (rejects, once_rejects, None)):
+        a, b = spark.read.parquet(a), spark.read.parquet(b)
+        assert a.count() == b.count() > 0
+        if key:
+            assert {r[0] for r in a.select(key).collect()} == {r[0] for r in b.select(key).collect()}
+    with pytest.raises(ValueError):
+        run.to_table(run.files(spark, path, m.schema), "x", path=f"{tmp_path}/x")
+
+
+def test_batches_of_a_restart_do_not_replace_older_ones(spark, tmp_path):
+    r = Tables(spark, DIR).v_readings.withColumn("ts", F.col("ts").cast("timestamp"))
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    spark.createDataFrame([(1, 1.0, 0.0)], "version int, coef_a double, coef_b double").write.parquet(f"{tmp_path}/models")
+    halves = [r.where(c).coalesce(1) for c in ("ts < '2024-01-16'", "ts >= '2024-01-16'")]
+    for i, half in enumerate(halves):
+        half.write.mode("append").parquet(src)
+        jobs.calibrate_with_newest(run.files(spark, src, r.schema), f"{tmp_path}/models", f"{out}/a", checkpoint=f"{tmp_path}/keep")
+        jobs.live_counters(run.files(spark, src, r.schema), f"{out}/b", checkpoint=f"{tmp_path}/keep-counters")
+        half.write.parquet(f"{tmp_path}/part{i}")
+        jobs.calibrate_with_newest(run.files(spark, f"{tmp_path}/part{i}", r.schema), f"{tmp_path}/models", f"{out}/c")  # a new checkpoint each time
+    n = r.count()
+    assert spark.read.parquet(f"{out}/a").count() == spark.read.parquet(f"{out}/c").count() == n
+    b = spark.read.parquet(f"{out}/b")
+    assert b.groupBy("batch").agg(F.sum("n").alias("n")).orderBy(F.desc("batch")).first()["n"] == n
