@@ -12,21 +12,27 @@ step on scores of texts not trained on then sets the level.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import letters
+from .common import saved
 
 BITS, SIZES = 16, range(3, 7)
 #: Labelled documents per class that the model is fitted on, and the most n-gram entries taken of them.
-SAMPLE, MAX_ENTRIES = 1500, 6_000_000
+SAMPLE, MAX_ENTRIES = 2000, 12_000_000
+#: Entries handled together in training; beside the sample itself only so many are held.
+BLOCK = 1 << 19
 DIM, EPOCHS, RATE, MOMENTUM = 4, 20, 100.0, 0.9
 #: An n-gram counts by its mean share to this negative power; empty n-grams that pad each bag.
 RARITY, PAD = 0.4, 500
 #: Share of class 1 for which 0.5 is the even score. Above its share among labels, as labels of class 1 are the rarer and noisier.
-SHARE_OF_1 = 0.375
+SHARE_OF_1 = 0.33
 
 
 def bag(text: str | None) -> np.ndarray:
@@ -45,54 +51,54 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _sums(values: np.ndarray, first: np.ndarray, where: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the stretches of ``values`` that begin at ``first``, put at ``where``."""
-    out = np.zeros(size, np.float32)
-    if len(first):
-        out[where] = np.add.reduceat(values, first)
-    return out
+def _blocks(bags: list[tuple[np.ndarray, np.ndarray]]):
+    """``(from, to, buckets, shares, rows)`` of a few bags after the other, about ``BLOCK`` entries each; rows count from ``from``."""
+    n = np.array([len(b) for b, _ in bags])
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // BLOCK)) + 1
+    for i, j in pairwise([0, *cuts.tolist(), len(bags)]):
+        at, share = (np.concatenate([b[k] for b in bags[i:j]]).astype(kind) for k, kind in ((0, np.intp), (1, float)))
+        yield i, j, at, share, np.repeat(np.arange(j - i), n[i:j])
 
 
 def _embed(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
     """Each n-gram's share of the logit, from gradient steps on all rows at once; classes weigh the same."""
-    size, n = 1 << BITS, np.array([len(b) for b, _ in bags])
-    at = np.concatenate([b for b, _ in bags]).astype(np.int32)
-    share = np.concatenate([(c / (c.sum() + PAD)).astype(np.float32) for _, c in bags])
-    by_bucket = np.argsort(at, kind="stable").astype(np.int32)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), n)[by_bucket]  # of each entry, in the order of buckets
-    bucket, bucket_first = np.unique(at[by_bucket], return_index=True)
-    some, row_first = np.flatnonzero(n), (np.cumsum(n) - n)[n > 0]
-    usual = _sums(share[by_bucket], bucket_first, bucket, size) / len(y)
+    size, usual = 1 << BITS, np.zeros(1 << BITS)
+    for _, _, at, share, _ in _blocks(bags):
+        usual += np.bincount(at, share, size)
+    usual /= len(y)
     scale = np.where(usual > 0, (usual + 1e-7) ** -RARITY, 0)
-    scale = (scale / max((usual * scale).sum(), 1e-12)).astype(np.float32)
-    share *= scale[at]
-    share_by_bucket = share[by_bucket]
-    del by_bucket
+    scale /= max((usual * scale).sum(), 1e-12)
     even = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))[:, None]
-    embed, soft, base = np.zeros((DIM, size), np.float32), np.random.default_rng(0).normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    embed, soft, base = np.zeros((DIM, size)), np.random.default_rng(0).normal(0, 0.5, (DIM, 2)), np.zeros(2)
     speed = [np.zeros_like(x) for x in (embed, soft, base)]
     for _ in range(EPOCHS):
-        doc = np.stack([_sums(share * e[at], row_first, some, len(y)) for e in embed], 1)
+        doc, scaled = np.zeros((len(y), DIM)), embed * scale
+        for i, j, at, share, row in _blocks(bags):
+            for k in range(DIM):
+                doc[i:j, k] = np.bincount(row, share * scaled[k][at], j - i)
         z = doc @ soft + base
         q = np.exp(z - z.max(axis=1, keepdims=True))
         q /= q.sum(axis=1, keepdims=True)
         q[np.arange(len(y)), y] -= 1
         q *= even
-        back = (q @ soft.T).astype(np.float32)
-        down = (np.stack([_sums(share_by_bucket * back[row, k], bucket_first, bucket, size) for k in range(DIM)]), doc.T @ q, q.sum(axis=0))
+        back, grams = q @ soft.T, np.zeros((DIM, size))
+        for i, j, at, share, row in _blocks(bags):
+            for k in range(DIM):
+                grams[k] += np.bincount(at, share * back[i:j, k][row], size)
+        down = (grams * scale, doc.T @ q, q.sum(axis=0))
         for v, x, g, rate in zip(speed, (embed, soft, base), down, (RATE, 0.1, 0.1)):
             v *= MOMENTUM
             v += g
-            x -= (rate * v).astype(x.dtype)
+            x -= rate * v
     return (soft[:, 1] - soft[:, 0]) @ embed * scale
 
 
 def _averages(bags: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> np.ndarray:
-    return np.array([float(table[b] @ c) / (c.sum() + PAD) for b, c in bags])
+    return np.array([float(table[b] @ s) for b, s in bags])
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, share_of_1: float = SHARE_OF_1) -> Model:
-    """The model of ``bags`` (distinct buckets and how often each occurs in a text) and their classes ``y``.
+    """The model of ``bags`` (a text's distinct buckets and the share of each in the padded bag) and their classes ``y``.
 
     The level is set on scores of texts that the scoring table was not trained on (two halves), with ``share_of_1`` as the
     share of class 1. With fewer than two rows of a class, all texts get a fixed score.
@@ -125,29 +131,30 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, share_of_1:
 def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents per class of those where ``learn`` (over the labels) is true, by a hash of ids.
 
-    Whole texts are turned to n-gram counts on the executors; the driver gets those of the sample, at most ``MAX_ENTRIES`` entries.
+    Whole texts are turned to n-gram shares on the executors and written; the driver reads those of the sample one partition after
+    the other, at most ``MAX_ENTRIES`` entries of six bytes.
     """
     pool = labels.where(learn & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
-        F.max((F.col(label) > 0).cast("int")).alias("_y"))
-    w = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
-    pool = pool.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
+        F.max((F.col(label) > 0).cast("int")).alias("_y")).withColumn("_h", F.xxhash64("_id"))
+    pool = reduce(DataFrame.union, [pool.where(F.col("_y") == y).orderBy("_h", "_id").limit(sample) for y in (0, 1)])
+    pool = pool.withColumn("_r", F.row_number().over(Window.partitionBy("_y").orderBy("_h", "_id"))).select("_id", "_y", "_r")
     rows = docs.select(F.col(id_col).alias("_d"), F.col(text).alias("_text")).join(F.broadcast(pool), F.col("_d") == F.col("_id"))
 
     def run(batches):
         for b in batches:
             got = [np.unique(bag(t), return_counts=True) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(x) for x, _ in got], pa.int64()), pa.array([x.astype("<u4").tobytes() for x, _ in got], pa.binary()),
-                 pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())], ["y", "r", "n", "at", "c"])
+                [b.column(0), b.column(1), pa.array([len(x) for x, _ in got], pa.int64()), pa.array([x.astype("<u2").tobytes() for x, _ in got], pa.binary()),
+                 pa.array([(c / (c.sum() + PAD)).astype("<f4").tobytes() for _, c in got], pa.binary())], ["y", "r", "n", "at", "share"])
 
-    bags = rows.select("_y", "_r", "_text").mapInArrow(run, "y int, r int, n long, at binary, c binary")
-    bags = bags.orderBy("r", "y", "n", F.xxhash64("at")).limit(2 * sample)
+    bags = saved(rows.select("_y", "_r", "_text").mapInArrow(run, "y int, r int, n long, at binary, share binary"), "bags")
+    bags = bags.orderBy("r", "y", "n", F.xxhash64("at"))
     out, y, entries = [], [], 0
     for r in bags.toLocalIterator():
-        if entries + r["n"] > MAX_ENTRIES:
+        if len(y) == 2 * sample or entries + r["n"] > MAX_ENTRIES:
             break
         entries += r["n"]
-        out.append((np.frombuffer(r["at"], "<u4"), np.frombuffer(r["c"], "<u4")))
+        out.append((np.frombuffer(r["at"], "<u2"), np.frombuffer(r["share"], "<f4")))
         y.append(r["y"])
     return train(out, np.array(y, np.int64))
 
