@@ -6,8 +6,8 @@ of its n-grams with words seen in training and so most of their vectors. As both
 share of the score is one number, and scoring is a table lookup and a mean over the whole text.
 
 N-grams count by a power of their rarity, the bag is padded with empty n-grams so that a few words alone decide little, and training
-stops early: plain gradient steps move first what agrees over many texts, before single texts are learned by heart. A logistic
-step on scores of texts not trained on then sets the level.
+stops after a few passes: gradient steps over blocks of mixed rows move first what agrees over many texts, before single texts are
+learned by heart. A logistic step on scores of texts not trained on then sets the level.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ from .common import saved
 BITS, SIZES = 16, range(3, 7)
 #: Labelled documents per class that the model is fitted on, and the most n-gram entries taken of them.
 SAMPLE, MAX_ENTRIES = 2000, 12_000_000
-#: Entries handled together in training; beside the sample itself only so many are held.
-BLOCK = 1 << 19
-DIM, EPOCHS, RATE, MOMENTUM = 4, 20, 100.0, 0.9
+#: Entries of one gradient step; beside the sample itself only so many are held.
+BLOCK = 1 << 18
+DIM, EPOCHS, RATE, SOFT_RATE, MOMENTUM = 4, 5, 1000.0, 0.05, 0.9
 #: An n-gram counts by its mean share to this negative power; empty n-grams that pad each bag.
 RARITY, PAD = 0.4, 500
 #: Share of class 1 for which 0.5 is the even score. Above its share among labels, as labels of class 1 are the rarer and noisier.
-SHARE_OF_1 = 0.33
+SHARE_OF_1 = 0.15
 
 
 def bag(text: str | None) -> np.ndarray:
@@ -61,35 +61,32 @@ def _blocks(bags: list[tuple[np.ndarray, np.ndarray]]):
 
 
 def _embed(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
-    """Each n-gram's share of the logit, from gradient steps on all rows at once; classes weigh the same."""
+    """Each n-gram's share of the logit, from gradient steps over blocks of shuffled rows; classes weigh the same."""
+    order = np.random.default_rng(1).permutation(len(y))
+    bags, y = [bags[i] for i in order], y[order]
     size, usual = 1 << BITS, np.zeros(1 << BITS)
     for _, _, at, share, _ in _blocks(bags):
         usual += np.bincount(at, share, size)
     usual /= len(y)
     scale = np.where(usual > 0, (usual + 1e-7) ** -RARITY, 0)
     scale /= max((usual * scale).sum(), 1e-12)
-    even = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))[:, None]
+    even = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))[:, None]
     embed, soft, base = np.zeros((DIM, size)), np.random.default_rng(0).normal(0, 0.5, (DIM, 2)), np.zeros(2)
     speed = [np.zeros_like(x) for x in (embed, soft, base)]
     for _ in range(EPOCHS):
-        doc, scaled = np.zeros((len(y), DIM)), embed * scale
         for i, j, at, share, row in _blocks(bags):
-            for k in range(DIM):
-                doc[i:j, k] = np.bincount(row, share * scaled[k][at], j - i)
-        z = doc @ soft + base
-        q = np.exp(z - z.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
-        q[np.arange(len(y)), y] -= 1
-        q *= even
-        back, grams = q @ soft.T, np.zeros((DIM, size))
-        for i, j, at, share, row in _blocks(bags):
-            for k in range(DIM):
-                grams[k] += np.bincount(at, share * back[i:j, k][row], size)
-        down = (grams * scale, doc.T @ q, q.sum(axis=0))
-        for v, x, g, rate in zip(speed, (embed, soft, base), down, (RATE, 0.1, 0.1)):
-            v *= MOMENTUM
-            v += g
-            x -= rate * v
+            scaled = embed * scale
+            doc = np.stack([np.bincount(row, share * e[at], j - i) for e in scaled], 1)
+            z = doc @ soft + base
+            q = np.exp(z - z.max(axis=1, keepdims=True))
+            q /= q.sum(axis=1, keepdims=True)
+            q[np.arange(j - i), y[i:j]] -= 1
+            q *= even[i:j] / (j - i)
+            grams = np.stack([np.bincount(at, share * g[row], size) for g in (q @ soft.T).T])
+            for v, x, g, rate in zip(speed, (embed, soft, base), (grams * scale, doc.T @ q, q.sum(axis=0)), (RATE, SOFT_RATE, SOFT_RATE)):
+                v *= MOMENTUM
+                v += g
+                x -= rate * v
     return (soft[:, 1] - soft[:, 0]) @ embed * scale
 
 
