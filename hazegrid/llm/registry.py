@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("quality_q", "simhash_q", "mixing_q", "passages_q", "tokens_q", "decontam_q", "langid_q", "toxicity_q", "secrets_q", "licenses_q", "vector_codes_q", "minhash_q")
+MODULES = ("quality_q", "simhash_q", "mixing_q", "passages_q", "tokens_q", "decontam_q", "langid_q", "toxicity_q", "secrets_q", "licenses_q", "vector_codes_q", "minhash_q", "spelling_q")
 
 
 def query(name: str, sql: str | None = None):
