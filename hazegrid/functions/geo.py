@@ -54,16 +54,20 @@ def unit_hash(*cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1_000_003)) / 1_000_003.0
 
 
-def anonymize_point(lon: Column, lat: Column, key: Column, inside, jitter: float = 0.0005,
-                    grid: float = 0.001, tries: int = 20) -> Column:
-    """Snap to the grid, then shift by at most ``jitter`` until ``inside(lon, lat)`` holds.
+def shifted(lon: Column, lat: Column, key: Column, jitter: float = 0.0005, grid: float = 0.001, tries: int = 20) -> Column:
+    """Array of ``tries`` positions: snapped to the grid and shifted by at most ``jitter``.
 
     The shift is derived from ``key`` and the try number, so a rerun publishes the same point.
-    When no try lands inside, the last one is used.
     """
     sx, sy = snap(lon, grid), snap(lat, grid)
-    cand = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: F.struct(
+    return F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: F.struct(
         (sx + (unit_hash(key, i, F.lit("x")) * 2 - 1) * jitter).alias("lon"),
         (sy + (unit_hash(key, i, F.lit("y")) * 2 - 1) * jitter).alias("lat")))
+
+
+def anonymize_point(lon: Column, lat: Column, key: Column, inside, jitter: float = 0.0005,
+                    grid: float = 0.001, tries: int = 20) -> Column:
+    """The first shifted position for which ``inside(lon, lat)`` holds; when none does, the last one."""
+    cand = shifted(lon, lat, key, jitter, grid, tries)
     ok = F.filter(cand, lambda p: inside(p["lon"], p["lat"]))
     return F.coalesce(F.get(ok, F.lit(0)), F.element_at(cand, -1))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import polygons
 from .joins import in_zone_box, locate
 
 # fixed values: columns whose change is not audited, and the replacement text
@@ -92,14 +93,30 @@ def acknowledge_all(alerts: DataFrame, now: Column, severity: str | None = None)
     return d.select(F.col("id").alias("alert_id"), F.lit("acknowledge").alias("action"), now.alias("at"))
 
 
+def published_positions(located: DataFrame, zones: DataFrame, key: str) -> DataFrame:
+    """``(key, p)``: the first shifted position in the row's own polygon zone, the last one if none is; any will do without a zone."""
+    tries = located.select(F.col(key).alias("_key"), F.col("zone_id").alias("_zone"), F.posexplode(geo.shifted(F.col("lon"), F.col("lat"), F.col(key))).alias("_try", "_p"))
+    tries = polygons.containing(tries.select("_key", "_zone", "_try", "_p.lon", "_p.lat"), zones)
+    ok = F.col("_zone").isNull() | F.coalesce(F.exists("zones", lambda z: z["zone_id"] == F.col("_zone")), F.lit(False))
+    best = F.min(F.struct((~ok).alias("no"), F.when(ok, F.col("_try")).otherwise(-F.col("_try")).alias("n"), "lon", "lat"))
+    return tries.groupBy("_key").agg(best.alias("p"))
+
+
 def intake(submitted: DataFrame, zones: DataFrame, citizens: DataFrame):
-    """New reports with zone and published position, and the citizens' updated counters."""
-    p = locate(submitted, zones).join(zones.select("zone_id", "lon_c", "lat_c", "half"), "zone_id", "left")
-    box = F.struct("lon_c", "lat_c", "half")
-    pt = geo.anonymize_point(F.col("lon"), F.col("lat"), F.col("report_id"),
-                             lambda x, y: F.col("lon_c").isNull() | in_zone_box(box, x, y))
-    reports = p.withColumn("p", pt).select("report_id", "citizen_id", "zone_id", F.col("p.lon").alias("lon"),
-                                           F.col("p.lat").alias("lat"), F.lit("pending").alias("nlp_status"))
+    """New reports with zone and published position, and the citizens' updated counters.
+
+    Zones are squares, or polygons if they have a column ``rings``.
+    """
+    p = locate(submitted, zones)
+    if "rings" in zones.columns:
+        at = published_positions(p, zones.where(F.col("niveau") == 3), "report_id")
+        p = p.join(at, F.col("report_id") == F.col("_key"))
+    else:
+        p = p.join(zones.select("zone_id", "lon_c", "lat_c", "half"), "zone_id", "left")
+        box = F.struct("lon_c", "lat_c", "half")
+        p = p.withColumn("p", geo.anonymize_point(F.col("lon"), F.col("lat"), F.col("report_id"),
+                                                  lambda x, y: F.col("lon_c").isNull() | in_zone_box(box, x, y)))
+    reports = p.select("report_id", "citizen_id", "zone_id", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"), F.lit("pending").alias("nlp_status"))
     added = submitted.groupBy("citizen_id").agg(F.count("*").alias("_n"))
     merged = citizens.select("citizen_id", "reports_count").join(added, "citizen_id", "full_outer").select(
         "citizen_id", (F.coalesce("reports_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("reports_count"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.timefeat import micros
+from . import polygons
 from .scan import HOUR, asof, numbered, running
 
 
@@ -80,10 +81,14 @@ def locate(points: DataFrame, zones: DataFrame, pick: str = "smallest", out: str
            size: float = 0.05) -> DataFrame:
     """Zone that contains each point: the smallest level-3 one, or the deepest of any level.
 
+    Zones with a column ``rings`` are polygons (see :mod:`polygons`), others squares around ``lon_c, lat_c``.
     Points meet only the zones of their grid cell, held in one array per cell, so the join neither
     multiplies points nor needs an aggregation afterwards.
     """
     z = zones.where(F.col("niveau") == 3) if pick == "smallest" else zones
+    if "rings" in zones.columns:
+        best = polygons.smallest if pick == "smallest" else polygons.deepest
+        return polygons.containing(points, z).withColumn(out, best(F.col("zones"))).drop("zones")
     cells = zones_by_cell(z, size)
     p = points.withColumn("_px", geo.cell(F.col("lon"), size)).withColumn("_py", geo.cell(F.col("lat"), size))
     j = p.join(cells, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")), "left")

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..operators import govern
 from ..operators.supervise import attach, hours
 from ..session import shared_dir
+from .joins_q import EDGE_SQL, HIT_SQL, zone_polygons
 from .registry import query
 from .views import now
 
@@ -62,13 +64,19 @@ def _(t):
     return govern.alert_state(a, ack.unionByName(res)).select("id", "statut_envoi", "acknowledged_at", "resolved_at")
 
 
-@query("gov_report_intake")
+#: Positions are shifted by a hash that SQL does not have: checked is that the shift stays within its bound.
+@query("gov_report_intake", f"""WITH {EDGE_SQL}, h AS ({HIT_SQL.format(p='v_reports')}), s AS (SELECT report_id, report_id % (SELECT count(*) + 10 FROM v_citizens) AS citizen_id FROM v_reports),
+n AS (SELECT citizen_id, count(*) AS n FROM s GROUP BY 1), z AS (SELECT report_id, arg_min(zone_id, area) AS zone_id FROM h JOIN ar USING (zone_id) WHERE niveau=3 GROUP BY 1)
+SELECT s.report_id, s.citizen_id, z.zone_id, n + CASE WHEN c.id IS NULL THEN 0 ELSE 1 END AS reports_count, 'pending' AS nlp_status, true AS shift_bounded FROM s LEFT JOIN z USING (report_id) JOIN n USING (citizen_id) LEFT JOIN v_citizens c ON c.id=s.citizen_id""")
 def _(t):
     c = t.v_citizens.select(F.col("id").alias("citizen_id"), F.lit(1).cast("long").alias("reports_count"))
     n = c.agg((F.count("*") + 10).alias("_n"))
     sub = attach(t.v_reports, n).select("report_id", (F.col("report_id") % F.col("_n")).alias("citizen_id"), "lon", "lat")
-    published, counters = govern.intake(sub, t.v_zones, c)
-    return published.join(counters, "citizen_id").select("report_id", "citizen_id", "zone_id", "lon", "lat", "reports_count")
+    published, counters = govern.intake(sub, zone_polygons(t), c)
+    given = t.v_reports.select("report_id", F.col("lon").alias("_x"), F.col("lat").alias("_y"))
+    off = F.greatest(F.abs(F.col("lon") - geo.snap(F.col("_x"), 0.001)), F.abs(F.col("lat") - geo.snap(F.col("_y"), 0.001)))
+    return published.join(counters, "citizen_id").join(given, "report_id").select(
+        "report_id", "citizen_id", "zone_id", "reports_count", "nlp_status", (off <= 0.0005 + 1e-9).alias("shift_bounded"))
 
 
 @query("gov_active_views", """WITH n AS (SELECT max(created_at) AS m FROM v_alerts) SELECT 'alerts_24h' AS view_name, CAST(id AS VARCHAR) AS key FROM v_alerts, n WHERE created_at > m - INTERVAL 24 HOUR AND statut_envoi IN ('pending','sent')

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import govern, joins, kriging, messages, scan
+from ..operators import govern, joins, kriging, messages, polygons, scan
 from .registry import query
 from .scalars_q import AZ_SQL, HAV_SQL
 from .views import now
@@ -134,6 +134,26 @@ def _(t):
     return p.select("report_id", F.coalesce("zone_id", F.lit(1)).alias("zone_id"))
 
 
+#: Even-odd rule by brute force: every point against every border piece.
+EDGE_SQL = """e AS (SELECT zone_id, niveau, ring, lon AS x1, lat AS y1, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS x2, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS y2
+ FROM v_zone_vertices WINDOW w AS (PARTITION BY zone_id, ring ORDER BY k)),
+ar AS (SELECT zone_id, sum(CASE WHEN ring=0 THEN s ELSE -s END) AS area FROM (SELECT zone_id, ring, abs(sum(x1*y2-x2*y1))/2 AS s FROM e GROUP BY 1,2) GROUP BY 1)"""
+HIT_SQL = "SELECT p.report_id, e.zone_id, e.niveau FROM {p} p JOIN e ON (e.y1>p.lat)<>(e.y2>p.lat) AND p.lon < e.x1+(p.lat-e.y1)*(e.x2-e.x1)/(e.y2-e.y1) GROUP BY 1,2,3 HAVING count(*)%2=1"
+
+
+def zone_polygons(t):
+    return polygons.rings(t.v_zone_vertices, ["zone_id", "niveau"])
+
+
+@query("join_polygon_zones", f"""WITH {EDGE_SQL}, h AS ({HIT_SQL.format(p='v_reports')})
+SELECT r.report_id, CAST(count(h.zone_id) AS INTEGER) AS n_zones, arg_min(h.zone_id, area) FILTER (h.niveau=3) AS smallest, arg_min(h.zone_id, h.zone_id - 1000*h.niveau) AS deepest
+FROM v_reports r LEFT JOIN h USING (report_id) LEFT JOIN ar ON ar.zone_id=h.zone_id GROUP BY 1""")
+def _(t):
+    p = polygons.containing(t.v_reports.select("report_id", "lon", "lat"), zone_polygons(t))
+    z = F.col("zones")
+    return p.select("report_id", F.coalesce(F.size(z), F.lit(0)).alias("n_zones"), polygons.smallest(z).alias("smallest"), polygons.deepest(z).alias("deepest"))
+
+
 @query("join_spatiotemporal", f"""WITH n AS (SELECT r.report_id, r.created_at, z.zone_id, {HAV_SQL.format(lat1='r.lat', lon1='r.lon', lat2='z.lat_c', lon2='z.lon_c')} AS km FROM v_reports r CROSS JOIN v_zones z)
 SELECT report_id, anomaly_id, rank, round(km,6) AS km FROM (SELECT n.report_id, n.km, a.id AS anomaly_id, CAST(row_number() OVER (PARTITION BY n.report_id ORDER BY a.detected_at DESC, a.id DESC) AS INTEGER) AS rank
 FROM n JOIN v_anomalies a ON a.zone_id=n.zone_id AND a.detected_at BETWEEN n.created_at - INTERVAL 2 HOUR AND n.created_at + INTERVAL 30 MINUTE WHERE km <= 2) WHERE rank<=10""")

@@ -237,14 +237,20 @@ def _(t):
                                              for c in ("lon", "lat") for n, g in (("insert", 0.001), ("read", 0.005))])
 
 
-@query("fn_anonymize_point")
+#: The shift comes from a hash that SQL does not have; what holds for every published point is checked instead.
+@query("fn_anonymize_point", """SELECT r.report_id, min(z.zone_id) AS zone_id, true AS shift_bounded, true AS moved, true AS stays_in_zone
+FROM v_reports r LEFT JOIN v_zones z ON r.lon BETWEEN z.lon_c-z.half AND z.lon_c+z.half AND r.lat BETWEEN z.lat_c-z.half AND z.lat_c+z.half GROUP BY 1""")
 def _(t):
     p = joins.locate(t.v_reports.select("report_id", "lon", "lat"), t.v_zones).join(
         t.v_zones.select("zone_id", "lon_c", "lat_c", "half"), "zone_id", "left")
     box = F.struct("lon_c", "lat_c", "half")
     a = geo.anonymize_point(F.col("lon"), F.col("lat"), F.col("report_id"),
                             lambda x, y: F.col("lon_c").isNull() | joins.in_zone_box(box, x, y))
-    return p.select("report_id", "zone_id", a.alias("p")).select("report_id", "zone_id", "p.*")
+    d = p.withColumn("p", a)
+    off = [F.abs(F.col(f"p.{c}") - geo.snap(F.col(c), 0.001)) for c in ("lon", "lat")]
+    deep = (F.abs(F.col("lon") - F.col("lon_c")) < F.col("half") - 0.001) & (F.abs(F.col("lat") - F.col("lat_c")) < F.col("half") - 0.001)
+    kept = F.col("lon_c").isNull() | ~deep | joins.in_zone_box(box, F.col("p.lon"), F.col("p.lat"))
+    return d.select("report_id", "zone_id", (F.greatest(*off) <= 0.0005 + 1e-9).alias("shift_bounded"), (F.greatest(*off) > 0).alias("moved"), kept.alias("stays_in_zone"))
 
 
 @query("fn_text_normalize", r"""SELECT report_id, md5(regexp_replace(regexp_replace(trim(lower(texte), ' '), '\s+', ' ', 'g'),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import joins, reports
+from .joins_q import EDGE_SQL, HIT_SQL, zone_polygons
 from .registry import query
 from .scalars_q import HAV_SQL
 from .views import POLLUTANT_TOKENS, URGENT_TOKENS
@@ -30,6 +31,12 @@ def _(t):
     return reports.citizen_alerts(reports.read(t.v_reports, POLLUTANT_TOKENS, URGENT_TOKENS), t.v_zones)
 
 
+@query("txt_citizen_alert_polygons", f"""WITH {EDGE_SQL}, h AS ({HIT_SQL.format(p='v_reports')}), c AS (SELECT report_id, texte, {CLEAN} AS clean FROM v_reports)
+SELECT c.report_id, coalesce(arg_min(h.zone_id, h.zone_id - 1000*h.niveau),1) AS zone_id, 'Signalement citoyen urgent : ' || left(any_value(texte),100) AS message FROM c LEFT JOIN h USING (report_id) WHERE {HIGH} GROUP BY 1""")
+def _(t):
+    return reports.citizen_alerts(reports.read(t.v_reports, POLLUTANT_TOKENS, URGENT_TOKENS), zone_polygons(t)).select("report_id", "zone_id", "message")
+
+
 @query("txt_correlate", f"WITH {NEAR} SELECT id, handled OR id IN (SELECT anomaly_id FROM m) AS handled FROM v_anomalies")
 def _(t):
     return reports.mark_handled(t.v_anomalies, joins.spatiotemporal(t.v_reports, t.v_anomalies, t.v_zones)).select("id", "handled")

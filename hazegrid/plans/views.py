@@ -32,6 +32,15 @@ VIEW_SQL = {
   'root.r' || CAST(n_regionkey AS VARCHAR(9)) || '.n' || CAST(n_nationkey AS VARCHAR(9)) AS path, 3 AS niveau,
   CAST(-17.55 + 0.05 * (n_nationkey % 5) AS DOUBLE) AS lon_c,
   CAST(14.62 + 0.04 * floor(n_nationkey / 5) AS DOUBLE) AS lat_c, CAST(0.015 AS DOUBLE) AS half FROM nation""",
+    # stars of twelve corners that overlap their neighbours, every third with a hole, and a city with a hole around them all
+    "v_zone_vertices": """SELECT z AS zone_id, 3 AS niveau, 0 AS ring, k, round(cx + r * (1 - 0.45E0 * (k % 2)) * cos(pi() * k / 6), 6) AS lon,
+  round(cy + r * (1 - 0.45E0 * (k % 2)) * sin(pi() * k / 6), 6) AS lat FROM (SELECT CAST(n_nationkey AS BIGINT) AS z, -17.55E0 + 0.05E0 * (n_nationkey % 5) AS cx,
+  14.62E0 + 0.04E0 * floor(n_nationkey / 5) AS cy, 0.03E0 + 0.0007E0 * n_nationkey AS r FROM nation) n
+  CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) v(k)
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT), 3, 1, k, round(-17.55E0 + 0.05E0 * (n_nationkey % 5) + 0.009E0 * cos(pi() * k / 2), 6),
+  round(14.62E0 + 0.04E0 * floor(n_nationkey / 5) + 0.009E0 * sin(pi() * k / 2), 6) FROM nation CROSS JOIN (VALUES (0), (1), (2), (3)) v(k) WHERE n_nationkey % 3 = 0
+  UNION ALL SELECT CAST(100 AS BIGINT), 1, ring, k, round(-17.45E0 + (0.12E0 - 0.09E0 * ring) * cos(pi() * k / 6), 6), round(14.70E0 + (0.12E0 - 0.09E0 * ring) * sin(pi() * k / 6), 6)
+  FROM region CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) v(k) CROSS JOIN (VALUES (0), (1)) w(ring) WHERE r_regionkey = 0""",
     "v_sensors": """SELECT sensor_id, sensor_id % 25 AS zone_id,
   CASE WHEN sensor_id % 10 = 0 THEN 'inactive' ELSE 'active' END AS status, last_seen
   FROM (SELECT user_id AS sensor_id, max(ts) AS last_seen FROM events GROUP BY user_id) t""",
