@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import timefeat as tf
 from ..functions.aqi import POLLUTANTS
+from ..session import cut
 from . import joins, scan
+from .panes import Rolling, std
 from .windows import full, hour_lags, hourly
 
 # fixed values: hour lags and rolling windows of the feature vector
@@ -81,35 +83,62 @@ def derivatives(now: Column, lag: dict[int, Column]) -> dict[str, Column]:
     return d
 
 
+def panes_of(readings: DataFrame) -> Rolling:
+    """Panes for all windows of the feature vector."""
+    spans = {"pm25": sorted({*MEAN_HOURS, *STD_HOURS, *MIN_MAX_HOURS}), "pm10": PM10_MEAN_HOURS, "co": (1,), "no2": (1,), "o3": (1,)}
+    return Rolling(readings, spans, {"pm25": (6, 24)})
+
+
+def rolling_at(panes: Rolling, anchors: DataFrame) -> DataFrame:
+    """The columns of :func:`rolling` for anchors at any time, the means of the last hour of every pollutant, and the number of PM2.5 values in it."""
+    s = panes.stats(anchors)
+    of = {f: F.first(F.when(F.col("field") == f, F.col("spans")), ignorenulls=True).alias(f"_{f}") for f in POLLUTANTS}  # one row each
+    d = s.groupBy("zone_id", "t").agg(*of.values())
+    at = lambda f, k: F.try_element_at(F.col(f"_{f}"), F.lit(k))
+    out = {f"pm25_rolling_mean_{label(k)}": at("pm25", k)["mean"] for k in MEAN_HOURS}
+    out |= {f"pm25_rolling_std_{k}h": std(at("pm25", k)) for k in STD_HOURS}
+    for k in MIN_MAX_HOURS:
+        out |= {f"pm25_rolling_min_{k}h": at("pm25", k)["lo"], f"pm25_rolling_max_{k}h": at("pm25", k)["hi"]}
+    out |= {f"pm10_rolling_mean_{k}h": at("pm10", k)["mean"] for k in PM10_MEAN_HOURS}
+    out |= {f"{p}_hour": at(p, 1)["mean"] for p in POLLUTANTS} | {"n_hour": at("pm25", 1)["n"]}
+    q = panes.quantiles(anchors, "pm25", {"pm25_rolling_median_6h": (6, 0.5), "pm25_rolling_p95_24h": (24, 0.95)})
+    d = d.select("zone_id", "t", *[c.alias(n) for n, c in out.items()])
+    return d.join(q.withColumnsRenamed({"zone_id": "_z", "t": "_t"}), (F.col("zone_id") == F.col("_z")) & (F.col("t") == F.col("_t")), "left").drop("_z", "_t")
+
+
 def zone_vector(readings: DataFrame, zones: DataFrame, sensors: DataFrame, weather: DataFrame, traffic: DataFrame,
                 sensor_meta: DataFrame, anchors: DataFrame, neighbor: str = "self") -> DataFrame:
-    """The 81 features for every anchor ``(zone_id, t)``, all zones and hours in one plan."""
-    h = hourly(readings, POLLUTANTS)
-    spine = anchors.select("zone_id", F.col("t").alias("hour")).join(h, ["zone_id", "hour"], "full_outer")
-    lags = hour_lags(spine, HOUR_LAGS).drop(*POLLUTANTS).withColumnRenamed("hour", "t")
-    last = h.select("zone_id", (F.col("hour") + F.expr("INTERVAL '1' HOUR")).alias("t"),
-                    *[F.col(p).alias(f"{p}_now") for p in POLLUTANTS])
-    d = anchors.join(last, ["zone_id", "t"], "left").fillna(0.0, [f"{p}_now" for p in POLLUTANTS])
-    d = d.join(lags, ["zone_id", "t"]).join(rolling(readings, anchors), ["zone_id", "t"])
+    """The 81 features for every anchor ``(zone_id, t)``, at any time, in one plan.
+
+    ``anchors`` hold all zones of the city at each of their times, as a run at that time does: neighbours and the city mean are taken from them.
+    Windows end at ``t``; lags are the means of the whole hours before the hour of ``t``.
+    """
+    panes = panes_of(readings)
+    h = panes.hours.groupBy("zone_id", F.timestamp_seconds(F.col("hour") * 3600).cast("timestamp_ntz").alias("hour")).agg(
+        *[F.first(F.when(F.col("field") == f, F.col("part.mean")), ignorenulls=True).alias(f) for f in POLLUTANTS])
+    spine = anchors.select("zone_id", F.date_trunc("hour", "t").cast("timestamp_ntz").alias("hour")).distinct().join(h, ["zone_id", "hour"], "full_outer")
+    lags = hour_lags(spine, HOUR_LAGS).drop(*POLLUTANTS)
+    d = cut(rolling_at(panes, anchors))
+    d = d.withColumns({f"{p}_now": F.coalesce(f"{p}_hour", F.lit(0.0)) for p in POLLUTANTS}).withColumn("hour", F.date_trunc("hour", "t").cast("timestamp_ntz"))
+    d = d.join(lags, ["zone_id", "hour"]).drop("hour")
     lag = {k: F.col(f"pm25_lag_{k}h") for k in HOUR_LAGS["pm25"]}
     now = F.col("pm25_now")
     d = d.select("*", *[c.alias(n) for n, c in {**derivatives(now, lag), **tf.cyclic(F.col("t")), **tf.calendar(F.col("t"))}.items()])
 
     wcols = ["temperature", "humidity", "pressure", "wind_speed", "wind_direction", "precipitation"]
-    wx = scan.asof(anchors, weather, ["zone_id"], "t", "ts", ["event_id"], wcols)
-    wx = wx.select("*", *[c.alias(n) for n, c in tf.weather(F.col("temperature"), F.col("humidity"), F.col("wind_direction")).items()])
-    a = anchors.withColumn("_t1", F.col("t") - F.expr("INTERVAL '1' HOUR")).withColumn("_id", F.struct("zone_id", "t"))
+    wx = scan.asof(anchors.select("zone_id", "t"), weather, ["zone_id"], "t", "ts", ["event_id"], wcols)
+    wx = cut(wx.select("*", *[c.alias(n) for n, c in tf.weather(F.col("temperature"), F.col("humidity"), F.col("wind_direction")).items()]))
+    a = anchors.select("zone_id", "t").withColumn("_t1", F.col("t") - F.expr("INTERVAL '1' HOUR")).withColumn("_id", F.struct("zone_id", "t"))
     tr = scan.asof(a, traffic, ["zone_id"], "t", "ts", ["event_id"], ["congestion_level"])
     tr = scan.asof(tr, traffic.select("zone_id", "ts", "event_id", F.col("congestion_level").alias("congestion_lag_1h")),
                    ["zone_id"], "_t1", "ts", ["event_id"], ["congestion_lag_1h"])
     tr = joins.interval_mean(tr.withColumnRenamed("_id", "_aid"), "_aid", traffic, ["zone_id"], "t", "ts", "congestion_level",
                              3 * 3600, "congestion_rolling_mean_3h").drop("_aid", "_t1")
 
-    means = last.select("zone_id", "t", F.col("pm25_now").alias("mean"))
+    means = d.select("zone_id", "t", F.col("pm25_hour").alias("mean"))
     up = joins.sector_mean(zones, wx, means, 0.0, out="pm25_upwind_mean", keys=["t"])
     down = joins.sector_mean(zones, wx, means, 180.0, out="pm25_downwind_mean", keys=["t"])
-    city = readings.where(F.col("field") == "pm25").groupBy(
-        (F.date_trunc("hour", "ts").cast("timestamp_ntz") + F.expr("INTERVAL '1' HOUR")).alias("t")).agg(F.avg("value").alias("pm25_city_mean"))
+    city = d.where("n_hour > 0").groupBy("t").agg((F.sum(F.col("n_hour") * F.col("pm25_hour")) / F.sum("n_hour")).alias("pm25_city_mean"))
     density = sensors.groupBy("zone_id").agg(F.count_if(F.col("status") == "active").alias("sensor_density"))
     d = (d.join(wx, ["zone_id", "t"]).join(tr, ["zone_id", "t"]).join(up, ["zone_id", "t"], "left")
          .join(down, ["zone_id", "t"], "left").join(city, "t", "left").join(density, "zone_id", "left")
@@ -128,7 +157,7 @@ def zone_vector(readings: DataFrame, zones: DataFrame, sensors: DataFrame, weath
     d = d.withColumn("pm25_spatial_gradient", tf.spatial_gradient(now, F.col("pm25_neighbor_mean")))
     sensor = F.datediff(F.col("t"), F.col("install_date"))
     return d.select("*", sensor.alias("sensor_age_days"), F.datediff("t", "last_calibration").alias("days_since_calibration")).drop(
-        "install_date", "last_calibration", *[f"{p}_now" for p in POLLUTANTS])
+        "install_date", "last_calibration", "n_hour", *[f"{p}_{x}" for p in POLLUTANTS for x in ("now", "hour")])
 
 
 def store_row(vector: DataFrame, names: Sequence[str]) -> DataFrame:

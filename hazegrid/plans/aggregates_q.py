@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from ..functions import aqi, text
 from ..functions.aqi import POLLUTANTS
-from ..operators import kriging, models, rollup
+from ..operators import kriging, models, rollup, sketches
 from ..operators.supervise import attach, hours, one_row, pct
 from ..operators.windows import hourly
+from ..session import shared_dir
 from .registry import query
 from .views import now
 
@@ -40,6 +41,31 @@ def _(t):
     return _roll(t, "1 day")
 
 
+#: Spans joined from stored hours. Percentiles are exact order statistics while a span holds fewer values than its sketch keeps.
+SPAN_SQL = """SELECT zone_id, field AS pollutant, '{span}' AS span, CAST(date_trunc('{span}', ts) AS TIMESTAMP) AS window_start, count(*) AS n, round(avg(value),6) AS mean, round(min(value),6) AS min, round(max(value),6) AS max,
+ round(stddev_samp(value),6) AS stddev, count(DISTINCT sensor_id) BETWEEN 0.98E0*count(DISTINCT sensor_id) AND 1.02E0*count(DISTINCT sensor_id) AS sensors_within, CASE WHEN count(*) <= 100 THEN round(quantile_disc(value,0.5),6) END AS p50, CASE WHEN count(*) <= 100 THEN round(quantile_disc(value,0.95),6) END AS p95,
+ true AS p50_within, true AS p95_within FROM v_readings GROUP BY 1,2,4"""
+
+
+@query("agg_rollup_from_sketches", " UNION ALL ".join(SPAN_SQL.format(span=s) for s in ("day", "month")))
+def _(t):
+    path = shared_dir(t.spark, "hour-sketches")
+    sketches.hour_sketches(t.v_readings).write.parquet(path)
+    hours_ = t.spark.read.parquet(path)
+    out, keys = None, ["zone_id", "field"]
+    for span in ("day", "month"):
+        at = lambda c: F.date_trunc(span, c).cast(NTZ)  # noqa: B023,E731
+        d = sketches.joined(hours_, keys, at("window_start"), "w").select(*keys, "w", *sketches.columns())
+        d = sketches.rank_checked(d, t.v_readings, keys, at("ts"), (0.5, 0.95), 2 * sketches.rank_error(), "w")
+        true = t.v_readings.groupBy(*keys, at("ts").alias("w")).agg(F.count_distinct("sensor_id").alias("_s"))
+        d = d.join(true, [*keys, "w"]).withColumn("sensors_within", F.abs(F.col("sensor_count") - F.col("_s")) <= 0.02 * F.col("_s"))
+        few = F.col("n") <= 100
+        d = d.select("zone_id", F.col("field").alias("pollutant"), F.lit(span).alias("span"), F.col("w").alias("window_start"), "n", *r6("mean", "min", "max", "stddev"), "sensors_within",
+                     *[F.when(few, F.round(c, 6)).alias(c) for c in ("p50", "p95")], "p50_within", "p95_within")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 @query("agg_exceedance_hours", """SELECT zone_id, CAST(hour AS DATE) AS day, CAST(sum(CASE WHEN m>15 THEN 1 ELSE 0 END) AS BIGINT) AS exceedance_hours
 FROM (SELECT zone_id, date_trunc('hour',ts) AS hour, avg(value) AS m FROM v_readings WHERE field='pm25' GROUP BY 1,2) GROUP BY 1,2""")
 def _(t):
@@ -292,6 +318,15 @@ def _(t):
     return models.hourly_series(hourly(t.v_readings, ["pm25"]), least=70).select("zone_id", "ds", *r6("y"))  # the given events are sparse
 
 
+#: The default gate of 168 hours, on series per residue class of zones, which have enough hours.
+@query("agg_prophet_hourly_week", """WITH h AS (SELECT zone_id % 4 AS zone_id, date_trunc('hour',ts) AS ds, greatest(0, avg(value)) AS y FROM v_readings WHERE field='pm25' GROUP BY 1,2)
+SELECT zone_id, ds, round(y,6) AS y FROM h WHERE y IS NOT NULL AND zone_id IN (SELECT zone_id FROM h GROUP BY 1 HAVING count(*) >= 168)""")
+def _(t):
+    from ..operators import models
+    wide = t.v_readings.withColumn("zone_id", F.col("zone_id") % 4)
+    return models.hourly_series(hourly(wide, ["pm25"])).select("zone_id", "ds", *r6("y"))
+
+
 @query("agg_deploy_checks", """SELECT 'sensor' AS check_name, CAST(sensor_id AS VARCHAR) AS key, count(*) AS n FROM v_readings WHERE ts >= $NOW - INTERVAL 6 HOUR GROUP BY 2 UNION ALL
 SELECT 'sensor_zone', sensor_id||'/'||zone_id, count(*) FROM v_readings WHERE ts >= $NOW - INTERVAL 3 HOUR GROUP BY 2 UNION ALL SELECT 'zone_pollutant', zone_id||'/'||field, count(*) FROM v_readings WHERE ts >= $NOW - INTERVAL 12 HOUR GROUP BY 2 UNION ALL
 SELECT 'zone_high', CAST(zone_id AS VARCHAR), 1 FROM (SELECT zone_id, arg_max(value, ts) AS v FROM v_readings WHERE field='pm25' GROUP BY 1) WHERE v > 35""")
