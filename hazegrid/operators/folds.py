@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefeat import micros
-from .scan import numbered, with_halo
+from .chains import affine_scan, chain, kalman_steps, last_of
+from .scan import numbered
 
 DAY_US = 86_400_000_000
 
@@ -64,8 +64,9 @@ def cooldown(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, chunk_us
 
     Equal times of a key collapse first. Then each (key, day) is reduced to a table "first alert
     here -> last alert of the day", needed only for starts within ``seconds`` of the day's begin;
-    a walk over these small tables gives every day its start; and the days are
-    expanded side by side. The walk per key grows with the time span, not with the row count.
+    the chain over these small tables gives every day its start; and the days are
+    expanded side by side. Links to the next alert are doubled, so no step runs alert by alert; the
+    tables of a key grow with the time span, not with the row count.
     """
     keys = list(keys)
     cd = seconds * 1_000_000
@@ -75,11 +76,7 @@ def cooldown(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, chunk_us
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf["_us"].to_numpy()
-        nxt = np.searchsorted(t, t + cd, "left")
-        last = t.copy()
-        for i in range(len(t) - 1, -1, -1):
-            if nxt[i] < len(t):
-                last[i] = last[nxt[i]]
+        last = t[last_of(np.searchsorted(t, t + cd, "left"))]
         day = int(pdf["_day"].iloc[0])
         m = int(np.searchsorted(t, day * chunk_us + cd, "left")) + 1
         head = {k: [pdf[k].iloc[0]] for k in keys}
@@ -88,14 +85,11 @@ def cooldown(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, chunk_us
     tables = by_group(cand, [*keys, "_day"], ["_us"], links, f"{ks}, _day long, _starts array<long>, _ends array<long>")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        due, days, starts = None, [], []
-        for day, s, e in zip(pdf["_day"], pdf["_starts"], pdf["_ends"]):
-            i = 0 if due is None else int(np.searchsorted(s, due, "left"))
-            if i < len(s):
-                days.append(day)
-                starts.append(int(s[i]))
-                due = int(e[i]) + cd
-        out = pd.DataFrame({"_day": days, "_start": starts})
+        starts, ends = (np.concatenate([np.asarray(x) for x in pdf[c]]) for c in ("_starts", "_ends"))
+        days = np.repeat(pdf["_day"].to_numpy(), [len(x) for x in pdf["_starts"]])
+        # a day's last alert bars all later starts of that day, so the next start lies in another day
+        on = chain(np.searchsorted(starts, ends + cd, "left"), 0)
+        out = pd.DataFrame({"_day": days[on], "_start": starts[on]})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "_day", "_start"]]
@@ -104,11 +98,8 @@ def cooldown(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, chunk_us
 
     def expand(pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf["_us"].to_numpy()
-        i, hit = int(np.searchsorted(t, pdf["_start"].iloc[0], "left")), []
-        while i < len(t):
-            hit.append(int(t[i]))
-            i = int(np.searchsorted(t, t[i] + cd, "left"))
-        out = pd.DataFrame({"_us": hit})
+        on = chain(np.searchsorted(t, t + cd, "left"), int(np.searchsorted(t, pdf["_start"].iloc[0], "left")))
+        out = pd.DataFrame({"_us": t[on]})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "_us"]]
@@ -122,45 +113,43 @@ def cooldown(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, chunk_us
 
 def kalman_gains(q: float, r: float, n: int) -> list[tuple[float, float]]:
     """(gain, variance) of the first ``n`` steps; they depend on the step number only."""
-    out, p = [], r
-    for _ in range(n):
-        prior = p + q
-        k = prior / (prior + r)
-        p = (1 - k) * prior
-        out.append((k, p))
-    return out
+    gain, p = kalman_steps(r, q, r, np.arange(1, n + 1))
+    return list(zip(gain.tolist(), p.tolist()))
 
 
 def kalman(df: DataFrame, keys: Sequence[str], ts: str, tie: str, z: str, q: float = 0.5, r: float = 4.0,
-           block: int = 8192, max_warm: int = 1_000_000) -> DataFrame:
+           block: int = 8192) -> DataFrame:
     """Filtered value, gain and standard deviation of every row, per key in time order.
 
-    The gain converges, so the influence of a row shrinks geometrically. Blocks of a
-    key run side by side, each warmed up on the rows in front of it until the weight of anything
-    earlier is below double precision; the first block starts from ``x = z``.
+    The gain depends on the row number only, so each step is a map ``x -> a * x + b``. Maps are composed block by block, the
+    blocks' compositions are scanned per key, and every block goes on from the value before it. The first step takes the measurement itself.
     """
     keys = list(keys)
-    prior = (q + math.sqrt(q * q + 4 * q * r)) / 2  # where the variance settles
-    warm = int(math.ceil(math.log(1e-20) / math.log1p(-prior / (prior + r)))) + 1
-    if warm > max_warm:
-        raise ValueError(f"the filter forgets too slowly for q={q}, r={r}: a block needs {warm} rows in front of it")
-    block = max(block, warm)
-    gains = kalman_gains(q, r, warm + 1)
-    g = np.array([a for a, _ in gains])
-    sd = np.sqrt([b for _, b in gains])
-    rows = with_halo(numbered(df.select(*keys, ts, tie, F.col(z).cast("double").alias("_z")), keys, ts, [ts, tie]),
-                     "rn", block, before=warm)
+    rows = numbered(df.select(*keys, ts, tie, F.col(z).cast("double").alias("_z")), keys, ts, [ts, tie])
+    rows = rows.withColumn("_block", F.floor((F.col("rn") - 1) / block).cast("long"))
+    ks = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+
+    def maps(pdf: pd.DataFrame):
+        n = pdf["rn"].to_numpy()
+        gain, p = kalman_steps(r, q, r, n)
+        own = np.where(n == 1, 1.0, gain)
+        return *affine_scan(1 - own, own * pdf["_z"].to_numpy()), gain, p
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, _, _ = maps(pdf)
+        return pdf[[*keys, "_block"]].iloc[-1:].assign(_a=a[-1], _b=b[-1])
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, b = affine_scan(pdf["_a"].to_numpy(), pdf["_b"].to_numpy())  # the first map forgets whatever was before
+        return pdf[[*keys, "_block"]].assign(_x=np.concatenate([[0.0], b[:-1]]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        step = np.minimum(pdf["rn"].to_numpy() - 1, warm)
-        k, zs = g[step], pdf["_z"].to_numpy()
-        xs, x = np.empty(len(zs)), zs[0]
-        for i, (ki, zi) in enumerate(zip(k.tolist(), zs.tolist())):
-            x += ki * (zi - x)
-            xs[i] = x
-        keep = (pdf["_own"] == pdf["_block"]).to_numpy()
-        return pdf.loc[keep, [*keys, ts, tie, "rn"]].assign(x=xs[keep], gain=k[keep], std=sd[step][keep])
-
-    head = df.select(*keys, ts, tie).schema
-    ks = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in head.fields)
-    return by_group(rows, [*keys, "_block"], ["rn"], run, f"{ks}, rn long, x double, gain double, std double")
+        a, b, gain, p = maps(pdf)
+        return pdf[[*keys, ts, tie, "rn"]].assign(x=a * pdf["_x"].to_numpy() + b, gain=gain, std=np.sqrt(p))
+
+    ends = by_group(rows, [*keys, "_block"], ["rn"], summary, f"{ks}, _block long, _a double, _b double")
+    before = by_group(ends, keys, ["_block"], carry, f"{ks}, _block long, _x double")
+    before = before.select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, "_block")], "_x")
+    same = [rows[c].eqNullSafe(before[f"_k_{c}"]) for c in (*keys, "_block")]
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys, ts, tie).schema.fields)
+    return by_group(rows.join(before, same).select(*rows.columns, "_x"), [*keys, "_block"], ["rn"], run, f"{out}, rn long, x double, gain double, std double")

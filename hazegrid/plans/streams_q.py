@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import messages
 from ..session import shared_dir
 from ..streaming import jobs, run, state
+from ..streaming.keyed import KeyedTable
+from ..streaming.watchdog import silence_stream
 from . import views
 from .registry import query
 from .views import now
@@ -46,14 +48,18 @@ def _(t):
     return table(t, s, "append", partition="date").groupBy("date").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("st_ingest", f"""WITH v AS (SELECT *, {VALID} AS error FROM v_messages), o AS (SELECT *, max(seq) OVER (PARTITION BY sensor_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM v WHERE error IS NULL)
-SELECT 'accepted' AS outcome, count(*) AS n FROM o WHERE m IS NULL OR seq>m UNION ALL SELECT error, count(*) FROM v WHERE error IS NOT NULL GROUP BY 1""")
+#: Accepted rows with zone and stale flag, and dead letters; both come from one pass over the stream.
+@query("st_ingest", f"""WITH v AS (SELECT *, {VALID} AS error FROM v_messages), o AS (SELECT *, max(seq) OVER (PARTITION BY sensor_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM v WHERE error IS NULL),
+k AS (SELECT DISTINCT 'ESP32-DK-CLICK-' || right('00'||CAST(sensor_id AS VARCHAR),3) AS sensor_id, min('n'||zone_id) AS slug FROM v_sensors GROUP BY 1)
+SELECT 'accepted' AS outcome, o.event_id, o.sensor_id, o.seq, CASE WHEN o.ts IS NOT NULL THEN coalesce(k.slug, lower(split_part(o.sensor_id,'-',3))) END AS zone, abs(epoch_us($NOW)-epoch_us(ts)) > 300000000 AS stale, round(pm25,4) AS pm25, NULL AS details FROM o LEFT JOIN k USING (sensor_id) WHERE m IS NULL OR seq>m
+UNION ALL SELECT 'rejected', event_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN broken THEN 'not valid JSON' ELSE 'failed: ' || array_to_string(list_filter([CASE WHEN regexp_full_match(sensor_id,'ESP32-DK-[A-Z]+-[0-9]{{3}}') THEN NULL ELSE 'sensor_id' END, CASE WHEN seq>=0 THEN NULL ELSE 'seq' END,
+ CASE WHEN humidity BETWEEN 0 AND 100 THEN NULL ELSE 'humidity' END, CASE WHEN coalesce(temperature BETWEEN -10 AND 60, false) THEN NULL ELSE 'temperature' END], lambda x: x IS NOT NULL), ', ') END FROM v WHERE error IS NOT NULL""")
 def _(t):
     known = t.v_sensors.select(F.concat(F.lit("ESP32-DK-CLICK-"), F.lpad(F.col("sensor_id").cast("string"), 3, "0")).alias("sensor_id"),
-                               F.concat(F.lit("n"), F.col("zone_id").cast("string")).alias("slug")).dropDuplicates(["sensor_id"])
-    readings, rejects = jobs.ingest(messages.from_rows(stream(t, "v_messages")), known, seen_at=now().cast("timestamp"))
-    a = t.spark.read.parquet(readings).agg(F.lit("accepted").alias("outcome"), F.count("*").alias("n"))
-    return a.unionByName(t.spark.read.parquet(rejects).groupBy(F.col("error").alias("outcome")).agg(F.count("*").alias("n")))
+                               F.concat(F.lit("n"), F.col("zone_id").cast("string")).alias("slug")).groupBy("sensor_id").agg(F.min("slug").alias("slug"))
+    path = jobs.ingest(messages.from_rows(stream(t, "v_messages")), known, seen_at=now().cast("timestamp"))
+    d = t.spark.read.parquet(path)
+    return d.select("outcome", "event_id", "sensor_id", "seq", "zone", "stale", F.round("pm25", 4).alias("pm25"), "details")
 
 
 @query("st_seq_dedup", """SELECT reading_id, sensor_id, seq FROM (SELECT *, max(seq) OVER (PARTITION BY sensor_id ORDER BY ts, reading_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM v_readings) WHERE m IS NULL OR seq > m""")
@@ -69,6 +75,51 @@ def _(t):
     return jobs.dead_letter_rate(m, "5 hours", "1 hour")
 
 
+RATE_SQL = f"""WITH v AS (SELECT ts, {VALID} AS error FROM v_messages) SELECT w AS window_start, count(*) AS messages, count(error) AS rejects, count(error)/CAST(count(*) AS DOUBLE)>0.05E0 AND count(error)>=5 AS warn
+FROM (SELECT time_bucket(INTERVAL 1 MINUTE, ts) - INTERVAL 1 MINUTE * i AS w, error FROM v, range(5) r(i)) GROUP BY 1"""
+
+
+def keyed(t, name, keys, **kw):
+    return KeyedTable(t.spark, shared_dir(t.spark, name), keys, **kw)
+
+
+#: The windows of five minutes, each minute, as a stream whose table holds the newest state of every window.
+@query("st_dead_letter_rate_stream", RATE_SQL)
+def _(t):
+    m = messages.validate(messages.parse(messages.from_rows(stream(t, "v_messages"))))
+    table = keyed(t, "dead-rate", ["window_start"])
+    jobs.into_keyed(jobs.dead_letter_rate(m), table, "dead-rate")
+    return ntz(table.read(), "window_start")
+
+
+@query("st_freshness_stream", """SELECT sensor_id, w + INTERVAL 10 MINUTE AS checked_at, max(ts) AS last_ts, CAST(1 AS INTEGER) AS is_fresh FROM (SELECT sensor_id, ts, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE * i AS w FROM v_readings, range(2) r(i) WHERE field='pm25') GROUP BY 1,2""")
+def _(t):
+    table = keyed(t, "freshness", ["sensor_id", "checked_at"])
+    jobs.into_keyed(jobs.freshness(stream(t, "v_readings")), table, "freshness")
+    return ntz(table.read(), "checked_at", "last_ts")
+
+
+@query("st_touch_sensor_stream", """SELECT s.sensor_id, greatest(b.seen, s.last_seen) AS last_seen, CASE WHEN b.seen IS NOT NULL THEN 'active' ELSE s.status END AS status, b.battery, b.rssi FROM v_sensors s
+LEFT JOIN (SELECT sensor_id, max(ts) AS seen, CAST(arg_max(seq % 101, ts) FILTER (seq % 7 <> 0) AS VARCHAR) AS battery, CAST(arg_max(-seq % 90, ts) AS VARCHAR) AS rssi FROM v_readings GROUP BY 1) b USING (sensor_id)""")
+def _(t):
+    r = stream(t, "v_readings").select("sensor_id", "ts", F.when(F.col("seq") % 7 != 0, F.col("seq") % 101).alias("battery"), (-F.col("seq") % 90).alias("rssi"))
+    table = keyed(t, "touch", ["sensor_id"])
+    jobs.into_keyed(jobs.touches(r), table, "touch")
+    s = t.v_sensors.withColumn("last_seen", F.col("last_seen").cast("timestamp")).withColumn("metadata", F.create_map(F.lit("site"), F.lit("roof")))
+    d = jobs.touched(s, table.read())
+    return ntz(d.select("sensor_id", "last_seen", "status", F.col("metadata")["battery_pct"].alias("battery"), F.col("metadata")["rssi_dbm"].alias("rssi")), "last_seen")
+
+
+#: Silences of 10 and 30 hours (the stand-in sensors report rarely), each reported at its own time once the watermark has passed it.
+@query("st_watchdog_stream", """WITH d AS (SELECT DISTINCT sensor_id, ts FROM v_readings), l AS (SELECT sensor_id, ts, lag(ts) OVER w AS prev, lead(ts) OVER w AS nxt FROM d WINDOW w AS (PARTITION BY sensor_id ORDER BY ts)),
+m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 MINUTE AS mark FROM d), e AS (SELECT l.*, mark, least(coalesce(nxt - INTERVAL 1 MICROSECOND, mark), mark) AS until FROM l, m WHERE ts <= mark)
+SELECT sensor_id, ts AS at, 'active' AS status FROM e WHERE prev IS NULL OR ts - prev > INTERVAL 10 HOUR UNION ALL SELECT sensor_id, ts + INTERVAL 10 HOUR, 'inactive' FROM e WHERE ts + INTERVAL 10 HOUR <= until
+UNION ALL SELECT sensor_id, ts + INTERVAL 30 HOUR, 'dropout' FROM e WHERE ts + INTERVAL 30 HOUR <= until""")
+def _(t):
+    s = silence_stream(stream(t, "v_readings").select("sensor_id", "ts"), 600, 1800)
+    return ntz(table(t, s, "silence").select("sensor_id", F.timestamp_micros("at_us").alias("at"), "status"), "at")
+
+
 @query("st_touch_sensor", """SELECT s.sensor_id, coalesce(b.seen, s.last_seen) AS last_seen, CASE WHEN b.seen IS NOT NULL THEN 'active' ELSE s.status END AS status, b.battery FROM v_sensors s
 LEFT JOIN (SELECT sensor_id, max(ts) AS seen, CAST(arg_max(seq % 101, ts) AS VARCHAR) AS battery FROM v_readings WHERE ts >= $NOW - INTERVAL 24 HOUR GROUP BY 1) b USING (sensor_id)""")
 def _(t):
@@ -104,12 +155,13 @@ def _(t):
     return table(t, s, "late")
 
 
-@query("st_tumbling_rollup", """SELECT * FROM (SELECT zone_id, field AS pollutant, date_trunc('hour',ts) AS window_start, date_trunc('hour',ts)+INTERVAL 1 HOUR AS window_end, count(*) AS n, round(avg(value),6) AS mean, round(min(value),6) AS min, round(max(value),6) AS max FROM v_readings GROUP BY 1,2,3,4)
+@query("st_tumbling_rollup", """SELECT * FROM (SELECT zone_id, field AS pollutant, date_trunc('hour',ts) AS window_start, date_trunc('hour',ts)+INTERVAL 1 HOUR AS window_end, count(*) AS n, round(avg(value),6) AS mean, round(min(value),6) AS min, round(max(value),6) AS max,
+ round(stddev_samp(value),6) AS stddev, round(quantile_disc(value,0.5),6) AS p50, round(quantile_disc(value,0.95),6) AS p95, count(DISTINCT sensor_id) AS sensor_count FROM v_readings GROUP BY 1,2,3,4)
 WHERE window_end <= (SELECT max(ts) FROM v_readings) - INTERVAL 5 MINUTE""")
 def _(t):
     s = jobs.tumbling_rollup(stream(t, "v_readings"))
     return ntz(table(t, s, "rollup"), "window_start", "window_end").select(
-        "zone_id", "pollutant", "window_start", "window_end", "n", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max")])
+        "zone_id", "pollutant", "window_start", "window_end", "n", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max", "stddev", "p50", "p95")], "sensor_count")
 
 
 @query("st_threshold_alerts", """WITH thr(field, w, d) AS (VALUES ('pm25',50.1E0,100.1E0),('pm10',155E0,255E0),('co',9.5E0,12.5E0),('no2',101E0,361E0),('o3',71E0,86E0))
@@ -139,8 +191,5 @@ def _(t):
 
 @query("st_live_counters", "SELECT zone_id, field, count(*) AS n, max(ts) AS last_ts FROM v_readings GROUP BY 1,2")
 def _(t):
-    out = shared_dir(t.spark, "counters")
-    jobs.live_counters(stream(t, "v_readings"), out)
-    d = t.spark.read.parquet(out)
-    last = d.agg(F.max("batch").alias("_b"))
-    return ntz(d.where(F.col("batch") == last.scalar()), "last_ts").select("zone_id", "field", "n", "last_ts")
+    counters = jobs.live_counters(stream(t, "v_readings"), shared_dir(t.spark, "counters"))
+    return ntz(counters.read(), "last_ts").select("zone_id", "field", "n", "last_ts")

@@ -24,14 +24,19 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> Dat
     return u.groupBy(*keys).agg(top).select(*keys, "_v.*").select(*cols)
 
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Existing rows plus the incoming rows whose key is new."""
-    return existing.unionByName(incoming.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti"))
+def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """Existing rows plus the incoming rows whose key is new; of several with one key the first in ``order`` (all other columns if not given)."""
+    rest = [c for c in incoming.columns if c not in keys]
+    first = incoming.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*(order or rest))).alias("_v")).select(*keys, "_v.*") if rest else incoming.distinct()
+    return existing.unionByName(first.select(*incoming.columns).join(existing.select(*keys), list(keys), "left_anti"))
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Replace exactly the partitions present in ``df``; a rerun gives the same table."""
-    (df.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Replace exactly the partitions present in ``df``; a rerun gives the same table.
+
+    Rows are dealt by partition, and a partition with very many rows is split over several tasks and files.
+    """
+    (df.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))
 
 
@@ -46,7 +51,8 @@ def export(readings: DataFrame, zone, start, end, pollutants: Sequence[str]) ->
     kind = readings.schema["ts"].dataType
     d = readings.where((F.col("zone_id") == zone) & (F.col("ts") >= F.lit(start).cast(kind))
                        & (F.col("ts") < F.lit(end).cast(kind)) & F.col("field").isin(*pollutants))
-    return d.groupBy("ts", "sensor_id").pivot("field", list(pollutants)).agg(F.first("value")).select(
+    # of several values of one pollutant at one time the smallest is written
+    return d.groupBy("ts", "sensor_id").pivot("field", list(pollutants)).agg(F.min("value")).select(
         "ts", "sensor_id", *pollutants)
 
 
@@ -62,11 +68,14 @@ def geojson(snapshots: DataFrame, grid: dict) -> DataFrame:
         "computed_at", F.size("features").alias("n_points"), doc.alias("geojson"))
 
 
-def dead_letters(rejected: DataFrame, at: Column) -> DataFrame:
-    """Reject records: time, error class, details, raw text and topic."""
+def dead_letter(at: Column) -> dict[str, Column]:
+    """The fields of a reject record: time, error class, details, raw text and topic."""
     details = F.when(F.size("failed") > 0, F.concat(F.lit("failed: "), F.array_join("failed", ", "))).otherwise("not valid JSON")
-    return rejected.select(at.alias("timestamp"), "error", details.alias("details"), F.col("value").alias("raw_payload"),
-                           F.col("topic").alias("message_topic"))
+    return {"timestamp": at, "error": F.col("error"), "details": details, "raw_payload": F.col("value"), "message_topic": F.col("topic")}
+
+
+def dead_letters(rejected: DataFrame, at: Column) -> DataFrame:
+    return rejected.select(*[c.alias(n) for n, c in dead_letter(at).items()])
 
 
 def register_models(models: DataFrame) -> DataFrame:

@@ -4,44 +4,64 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timefeat import micros
 from ..operators import detect, messages, models
 from ..operators.supervise import attach
+from ..session import shared_dir
 from ..sources import sinks
 from . import state
-from ..session import shared_dir
+from .keyed import KeyedTable
 from .run import each_batch, to_table
 
 # fixed values: reject-rate window, limit and least number; silence limits in minutes
 DEAD_RATE, DEAD_MIN, SILENT_MIN, DROPOUT_MIN = 0.05, 5, 10, 30
+#: Keys over which rejected messages are spread on their way through the keyed state.
+REJECT_KEYS = 4096
+DEAD = ("timestamp", "error", "details", "raw_payload", "message_topic")
 
 
 def ingest(raw: DataFrame, sensors: DataFrame, name: str = "ingest", seen_at: Column | None = None, every: str | None = None,
-           path: str | None = None, checkpoint: str | None = None):
-    """Messages to the reading table, rejects to the dead-letter table; returns both paths.
+           path: str | None = None, checkpoint: str | None = None, forget: int | None = None) -> str:
+    """Messages to one table of accepted readings and rejects, partitioned by outcome; returns its path.
 
-    With ``path`` and ``checkpoint`` (folders for both tables) a restart goes on with new messages and the kept sequence state.
-
-    Valid messages pass the sequence check in keyed state, get a stale flag and their zone (from
-    the sensor table, else from the identifier). Rejects take a stateless second query, so that
-    messages without a readable sensor never gather under one key.
+    The source is read, parsed and validated once. Valid messages pass the sequence check in keyed state, get a stale flag and their zone
+    (from the sensor table, else from the identifier); rejects pass through beside them, spread over keys of their own, so
+    messages without a readable sensor never gather under one key. Rows reach the table exactly once. With ``path`` and ``checkpoint`` a
+    restart goes on with new messages and the kept sequence state.
     """
     checked = messages.validate(messages.parse(raw))
-    bad = checked.where(F.col("error").isNotNull())
-    dead = sinks.dead_letters(bad, F.col("ts") if seen_at is None else seen_at)
-    at = lambda base, part: base and f"{base.rstrip('/')}/{part}"
-    rejects, _ = to_table(dead, f"{name}-rejects", at(path, "rejects"), every=every, checkpoint=at(checkpoint, "rejects"))
-    good = messages.flatten(checked.where(F.col("error").isNull()))
-    fresh = state.seq_dedup(good, "sensor_id", "seq", ["event_id"])
+    letter = sinks.dead_letter(F.col("ts") if seen_at is None else seen_at)
+    names = [c for c in DEAD if c != "error"]
+    flat = messages.flatten(checked.select("*", *[letter[c].alias(c) for c in names], F.col("error").alias("_error")))
+    good = F.col("_error").isNull()
+    kept = [c for c in ("event_id", "topic") if c in flat.columns]
+    fields = [c for c in flat.columns if c not in (*kept, *names, "_error")]
+    rows = flat.select(*kept, *[F.when(good, F.col(c)).alias(c) for c in fields], *[F.when(~good, F.col(c)).alias(c) for c in names], F.col("_error").alias("error"))
+    bad = F.col("error").isNotNull()
+    spread = F.concat(F.lit("#"), F.pmod(F.xxhash64("raw_payload"), F.lit(REJECT_KEYS)).cast("string"))
+    keyed = rows.select("*", F.when(bad, spread).otherwise(F.col("sensor_id")).alias("_key"), bad.alias("_bad"))
+    fresh = state.seq_dedup(keyed, "_key", "seq", ["event_id"], forget=forget, always="_bad")
     # computed before the join: rows of the keyed state need a projection before they can be shuffled
-    fresh = fresh.withColumn("stale", messages.stale(F.col("ts"), F.current_timestamp() if seen_at is None else seen_at))
+    seen = F.current_timestamp() if seen_at is None else seen_at
+    fresh = fresh.select(*rows.columns, messages.stale(F.col("ts"), seen).alias("stale"))
     zoned = fresh.join(sensors.select("sensor_id", F.col("slug").alias("_slug")), "sensor_id", "left")
-    out = zoned.withColumn("zone", F.coalesce("_slug", messages.slug_from_serial(F.col("sensor_id")))).drop("_slug")
-    readings, _ = to_table(out.withColumn("date", F.to_date("ts")), f"{name}-readings", at(path, "readings"), "date", every, at(checkpoint, "readings"))
-    return readings, rejects
+    zone = F.when(~bad, F.coalesce("_slug", messages.slug_from_serial(F.col("sensor_id"))))
+    out = zoned.withColumn("zone", zone).drop("_slug").withColumns({
+        "outcome": F.when(bad, "rejected").otherwise("accepted"), "date": F.to_date(F.coalesce("ts", "timestamp"))})
+    return to_table(out, name, path, ("outcome", "date"), every, checkpoint)[0]
+
+
+def accepted(spark: SparkSession, path: str) -> DataFrame:
+    """The readings of a table of :func:`ingest`."""
+    return spark.read.parquet(path).where(F.col("outcome") == "accepted").drop("outcome", *DEAD)
+
+
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """The dead letters of a table of :func:`ingest`."""
+    return spark.read.parquet(path).where(F.col("outcome") == "rejected").select(*DEAD)
 
 
 def dead_letter_rate(checked: DataFrame, width: str = "5 minutes", slide: str = "1 minute", watermark: str | None = "5 minutes") -> DataFrame:
@@ -118,13 +138,33 @@ def calibrate_with_newest(readings: DataFrame, registry: str, out: str, name: st
     return each_batch(readings, name, apply, every=every, checkpoint=checkpoint)
 
 
-def live_counters(readings: DataFrame, out: str, name: str = "counters", every: str | None = None, checkpoint: str | None = None):
-    """Running totals per zone and pollutant; every trigger writes its full state under its checkpoint's folder and batch number."""
-    checkpoint = checkpoint or shared_dir(readings.sparkSession, f"{name}-checkpoint")
-    run = _run_of(checkpoint)
-    totals = readings.groupBy("zone_id", "field").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
-    return each_batch(totals, name, lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/run={run}/part={i}"),
-                      mode="complete", every=every, checkpoint=checkpoint)
+def into_keyed(changes: DataFrame, table: KeyedTable, name: str, every: str | None = None, checkpoint: str | None = None):
+    """Rows that a stream changes replace the table's rows of their keys: retries and late rows correct what was written before."""
+    return each_batch(changes, name, table.write, mode="update", every=every, checkpoint=checkpoint)
+
+
+def live_counters(readings: DataFrame, out: str, name: str = "counters", every: str | None = None, checkpoint: str | None = None, compact_every: int = 16) -> KeyedTable:
+    """Running totals per zone and pollutant; a trigger writes the totals that changed."""
+    table = KeyedTable(readings.sparkSession, out, ["zone_id", "field"], every=compact_every)
+    into_keyed(readings.groupBy("zone_id", "field").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts")), table, name, every, checkpoint)
+    return table
+
+
+def touches(readings: DataFrame) -> DataFrame:
+    """Newest message time per sensor, and the newest battery level and signal strength that were sent."""
+    newest = lambda c: F.max_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.col("ts")))
+    return readings.groupBy("sensor_id").agg(F.max("ts").alias("last_seen"), newest("battery").alias("battery_pct"), newest("rssi").alias("rssi_dbm"))
+
+
+def touched(sensors: DataFrame, table: DataFrame) -> DataFrame:
+    """The sensor table with the rows of :func:`touches` merged in."""
+    t = table.select("sensor_id", F.col("last_seen").alias("_seen"), F.map_filter(
+        F.create_map(F.lit("battery_pct"), F.col("battery_pct"), F.lit("rssi_dbm"), F.col("rssi_dbm")), lambda k, v: v.isNotNull()).alias("_meta"))
+    j = sensors.join(t, "sensor_id", "left")
+    none = F.create_map().cast("map<string,string>")
+    old, new = F.coalesce("metadata", none), F.coalesce("_meta", none)
+    return j.select("sensor_id", F.greatest("_seen", "last_seen").alias("last_seen"), F.when(F.col("_seen").isNotNull(), "active").otherwise(F.col("status")).alias("status"),
+                    F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new).alias("metadata"))
 
 
 def _run_of(checkpoint: str) -> str:

@@ -19,7 +19,7 @@ def files(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", per
             .option("maxFilesPerTrigger", per_trigger).load(folder))
 
 
-def to_table(stream: DataFrame, name: str, path: str | None = None, partition: str | None = None, every: str | None = None,
+def to_table(stream: DataFrame, name: str, path: str | None = None, partition: str | tuple[str, ...] | None = None, every: str | None = None,
              checkpoint: str | None = None):
     """Append to a parquet table. Without ``every`` the input at hand is processed and the stream ends.
 
@@ -31,7 +31,7 @@ def to_table(stream: DataFrame, name: str, path: str | None = None, partition: s
         raise ValueError("a table at a fixed path needs a fixed checkpoint, or a restart would add its rows again")
     path = path or shared_dir(spark, name)
     w = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint or shared_dir(spark, f"{name}-checkpoint"))
-    w = w.partitionBy(partition) if partition else w
+    w = w.partitionBy(*((partition,) if isinstance(partition, str) else partition)) if partition else w
     if every:
         return path, w.trigger(processingTime=every).start(path)
     w.trigger(availableNow=True).start(path).awaitTermination()
