@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import cooldown
+
 # fixed values: warning and danger limit per pollutant
 THRESHOLDS = {"pm25": (50.1, 100.1), "pm10": (155.0, 255.0), "co": (9.5, 12.5), "no2": (101.0, 361.0), "o3": (71.0, 86.0)}
 STUCK_STD, RATIO, MIN_POINTS, SEVERE_SCORE = 0.1, 1.5, 10, -0.15
@@ -75,3 +77,11 @@ def findings(*levels: DataFrame) -> DataFrame:
     for l in levels[1:]:
         out = out.unionByName(l)
     return out
+
+
+def alerts(found: DataFrame, seconds: int = 1800) -> DataFrame:
+    """One alert per zone and cooldown, whatever the rule; it carries the gravest finding of its time."""
+    sent = cooldown(found, ["zone_id"], "ts", seconds)
+    gravest = found.groupBy("zone_id", "ts").agg(F.min_by(
+        F.struct("type", "pollutant", "severity", "detected_value"), F.struct(F.col("severity") != "danger", "type", "pollutant", "sensor_id")).alias("f"))
+    return sent.join(gravest, ["zone_id", "ts"]).select("zone_id", F.col("ts").alias("alert_at"), "f.*")

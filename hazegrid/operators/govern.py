@@ -86,6 +86,31 @@ def alert_state(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     return j.withColumn("statut_envoi", after).drop("_last")
 
 
+def resolved_anomalies(anomalies: DataFrame, alerts: DataFrame, actions: DataFrame) -> DataFrame:
+    """Anomalies after the actions: those whose alert was resolved are handled."""
+    done = actions.where(F.col("action") == "resolve").select("alert_id").distinct()
+    hit = alerts.join(done, alerts["id"] == done["alert_id"]).where(F.col("anomaly_id").isNotNull()).select(F.col("anomaly_id").alias("_a")).distinct()
+    j = anomalies.join(hit, F.col("id") == F.col("_a"), "left")
+    return j.withColumn("handled", F.coalesce("handled", F.lit(False)) | F.col("_a").isNotNull()).drop("_a")
+
+
+def update_consent(users: DataFrame, citizens: DataFrame, requests: DataFrame):
+    """Users, their citizens and audit rows after consent ``requests(user_id, data_consent, retention_days, at)``.
+
+    A user's latest request counts (of several at one time the one that withdraws). The date of consent moves only when consent is given.
+    """
+    r = requests.groupBy(F.col("user_id").alias("_u")).agg(F.max_by(F.struct("data_consent", "retention_days"), F.struct("at", ~F.col("data_consent"))).alias("_r"),
+                                                          F.max(F.when(F.col("data_consent"), F.col("at"))).alias("_given"))
+    u = users.join(r, F.col("id") == F.col("_u"), "left")
+    new_u = u.withColumns({"data_consent": F.coalesce("_r.data_consent", "data_consent"), "data_retention_days": F.coalesce("_r.retention_days", "data_retention_days"),
+                           "consent_date": F.coalesce("_given", "consent_date")}).select(*users.columns)
+    c = u.where(F.col("_u").isNotNull() & F.col("citizen_id").isNotNull()).groupBy(F.col("citizen_id").alias("_c")).agg(F.min("_r.data_consent").alias("_v"))
+    new_c = citizens.join(c, F.col("id") == F.col("_c"), "left").withColumn("data_consent", F.coalesce("_v", "data_consent")).select(*citizens.columns)
+    withdrawn = requests.where(~F.col("data_consent")).select(F.lit("UPDATE").alias("action"), F.lit("users").alias("resource"), F.col("user_id").cast("string").alias("resource_id"),
+                                                              F.col("at").alias("timestamp"), F.to_json(F.struct(F.lit(True).alias("consent_withdrawn"), "retention_days")).alias("details"))
+    return new_u, new_c, withdrawn
+
+
 def acknowledge_all(alerts: DataFrame, now: Column, severity: str | None = None) -> DataFrame:
     """Actions that acknowledge every pending alert, or those of one severity."""
     d = alerts.where(F.col("statut_envoi") == "pending")

@@ -9,13 +9,15 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.timefeat import micros
 from .scan import numbered
 from .supervise import attach
 
-# fixed values: linear fallback, forecast horizons in minutes, alert limits, fallback forecast
+# fixed values: alert text of a forecast; linear fallback, forecast horizons in minutes, alert limits, fallback forecast
+FORECAST_TEXT = ("PM2.5 prédit à ", " µg/m³ dans 1h")
 FALLBACK_GAIN, FALLBACK_SHIFT = 0.85, 1.2
 HORIZONS = {"h1": 60, "h6": 360, "h24": 1440}
 FORECAST_DANGER, FORECAST_WARNING = 100.1, 50.1
@@ -42,7 +44,7 @@ def forecast_fields(pred: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
         (F.col("ci_upper_h1") if h == "h1" else F.lit(None).cast("double")).alias("ci_upper")) for h, m in HORIZONS.items()]))
     d = pred.select(*keys, ts, rows.alias("r")).select(*keys, ts, "r.*")
     v, first = F.col("predicted_value"), F.col("horizon_minutes") == 60
-    text = F.concat(F.lit("PM2.5 prédit à "), F.rint(v).cast("int").cast("string"), F.lit(" µg/m³ dans 1h"))
+    text = F.concat(F.lit(FORECAST_TEXT[0]), F.rint(v).cast("int").cast("string"), F.lit(FORECAST_TEXT[1]))
     return d.select("*", (F.col(ts) + F.make_dt_interval(mins=F.col("horizon_minutes"))).alias("target_timestamp"),
                     F.when(first & (v > FORECAST_DANGER), "danger").when(first & (v > FORECAST_WARNING), "warning").alias("gravite"),
                     F.when(first & (v > FORECAST_WARNING), text).alias("alert"))
@@ -90,11 +92,30 @@ def hourly_series(hours: DataFrame, least: int = 168) -> DataFrame:
 
 
 def time_split(df: DataFrame, ts: str, order: Sequence[str], share: float = 0.85, keys: Sequence[str] = ()) -> DataFrame:
-    """Mark the first ``share`` of the rows in time order as training rows."""
-    n = numbered(df, keys, ts, order, "rn")
-    total = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    j = n.join(total, list(keys)) if keys else attach(n, total)
-    return j.withColumn("is_train", F.col("rn") <= F.floor(F.col("_n") * share)).drop("_n")
+    """Mark the first ``share`` of the rows in time order as training rows.
+
+    Without ``keys`` only the cut is looked for: rows are counted per hour, those of the hour that holds it per second, and
+    so on down to one time, whose rows alone are numbered. With ``keys`` the rows of each key are numbered as ``rn``.
+    """
+    if keys:
+        n = numbered(df, keys, ts, order, "rn")
+        j = n.join(df.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys))
+        return j.withColumn("is_train", F.col("rn") <= F.floor(F.col("_n") * share)).drop("_n")
+    us, lo, hi, left = micros(F.col(ts)), None, None, None
+    for width in (3_600_000_000, 1_000_000, 1):
+        part = F.floor(us / width).cast("long")
+        here = df if lo is None else df.where((us >= lo) & (us < hi))
+        counts = here.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # hours of the whole span, then at most an hour's seconds, a second's times
+        if left is None:
+            left = math.floor((counts.agg(F.sum("n")).first()[0] or 0) * share)
+        before = counts.select("part", "n", F.sum("n").over(W.orderBy("part")).alias("upto")).where(F.col("upto") >= left).orderBy("part").limit(1).first()
+        if before is None or left <= 0:
+            return df.withColumn("is_train", F.lit(False))
+        left -= before["upto"] - before["n"]
+        lo, hi = before["part"] * width, (before["part"] + 1) * width
+    at = us == lo
+    last = df.where(at).orderBy(*order).limit(left).agg(F.max(F.struct(*order)).alias("_last"))
+    return attach(df, last).withColumn("is_train", (us < lo) | (at & (F.struct(*order) <= F.col("_last")))).drop("_last")
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:

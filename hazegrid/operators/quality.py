@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.timefeat import micros
 from .supervise import hours, one_row
 
-# fixed values: seconds between messages of a sensor; metric, side of the limit, limit, alert type
+# fixed values: words of a quality alert; seconds between messages of a sensor; metric, side of the limit, limit, alert type
+ALERT_TEXT = ("Pipeline quality alert: ", " (seuil ")
 CYCLE_S = 30
 LIMITS = (("Q1_coverage", "min", 0.80, "data_coverage_low"), ("Q2_calibration_rate", "min", 0.90, "calibration_rate_low"),
           ("Q3_rmse_1h", "max", 15.0, "prediction_rmse_high_1h"), ("Q4_rmse_24h", "max", 25.0, "prediction_rmse_high_24h"),
@@ -61,23 +62,21 @@ def breaches(metrics: DataFrame, recent_alerts: DataFrame) -> DataFrame:
                                         F.col(m).cast("double").alias("value")) for m, side, limit, kind in LIMITS]))
     d = metrics.select(rows.alias("r")).select("r.*")
     bad = F.when(F.col("side") == "min", F.col("value") < F.col("limit")).otherwise(F.col("value") > F.col("limit"))
-    msg = F.concat(F.lit("Pipeline quality alert: "), "alert_type", F.lit(" = "), F.format_string("%.3f", "value"),
-                   F.lit(" (seuil "), F.col("limit").cast("string"), F.lit(")"))
+    msg = F.concat(F.lit(ALERT_TEXT[0]), "alert_type", F.lit(" = "), F.format_string("%.3f", "value"),
+                   F.lit(ALERT_TEXT[1]), F.col("limit").cast("string"), F.lit(")"))
     return d.where(bad).join(recent_alerts.select("alert_type").distinct(), "alert_type", "left_anti").select(
         "alert_type", "value", "limit", msg.alias("message"))
 
 
 def deploy_checks(readings: DataFrame, now: Column, spans: Sequence[int], limit: float) -> DataFrame:
     """Row counts per sensor, sensor and zone, zone and pollutant; zones whose newest PM2.5 is high."""
-    since = lambda h: readings.where(F.col("ts") >= now - hours(h))
-    s = lambda c: F.col(c).cast("string")
-    parts = [since(h).groupBy(F.lit(n).alias("check_name"), key.alias("key")).agg(F.count("*").alias("n"))
-             for n, h, key in zip(("sensor", "sensor_zone", "zone_pollutant"), spans,
-                                  (s("sensor_id"), F.concat_ws("/", s("sensor_id"), s("zone_id")), F.concat_ws("/", s("zone_id"), "field")))]
-    last = readings.where(F.col("field") == "pm25").groupBy("zone_id").agg(F.max_by("value", "ts").alias("v"))
-    parts.append(last.where(F.col("v") > limit).select(F.lit("zone_high").alias("check_name"), s("zone_id").alias("key"),
-                                                      F.lit(1).cast("long").alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    s = lambda c: F.col(c).cast("string")
+    pm = F.col("field") == "pm25"
+    # one scan: every reading offers itself to the checks it is recent enough for
+    marks = [F.when(F.col("ts") >= now - hours(h), F.struct(F.lit(n).alias("check_name"), key.alias("key"))) for n, h, key in zip(
+        ("sensor", "sensor_zone", "zone_pollutant"), spans, (s("sensor_id"), F.concat_ws("/", s("sensor_id"), s("zone_id")), F.concat_ws("/", s("zone_id"), "field")))]
+    marks.append(F.when(pm, F.struct(F.lit("zone_high").alias("check_name"), s("zone_id").alias("key"))))
+    d = readings.select("ts", "value", F.explode(F.array_compact(F.array(*marks))).alias("m")).select("ts", "value", "m.*")
+    g = d.groupBy("check_name", "key").agg(F.count("*").alias("n"), F.max_by("value", F.when(F.col("check_name") == "zone_high", F.col("ts"))).alias("v"))
+    high = F.col("check_name") == "zone_high"
+    return g.where(~high | (F.col("v") > limit)).select("check_name", "key", F.when(high, F.lit(1)).otherwise(F.col("n")).cast("long").alias("n"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.aqi import POLLUTANTS
-from ..operators import detect, folds, forest
+from ..operators import detect, forest
 from ..session import cut
 from .registry import query
 from .views import now
@@ -82,9 +82,34 @@ def _(t):
     window = detect.look_back(r, now(), 480)
     newest = detect.latest(window, ["sensor_id", "field"])
     found = cut(detect.findings(detect.threshold_findings(newest), level2, detect.stuck(window), detect.implausible_ratio(window)))
-    # one alert per zone and half hour, whatever the rule; it carries the gravest finding of its time
-    sent = folds.cooldown(found, ["zone_id"], "ts", 1800)
-    gravest = found.groupBy("zone_id", "ts").agg(F.min_by(
-        F.struct("type", "pollutant", "severity", F.round("detected_value", 6).alias("detected_value")),
-        F.struct(F.col("severity") != "danger", "type", "pollutant", "sensor_id")).alias("f"))
-    return sent.join(gravest, ["zone_id", "ts"]).select("zone_id", F.col("ts").alias("alert_at"), "f.*")
+    a = detect.alerts(found)
+    return a.select("zone_id", "alert_at", "type", "pollutant", "severity", F.round("detected_value", 6).alias("detected_value"))
+
+
+#: Structural rules over the last two hours of sensor rows, as the job runs them.
+STRUCT_SQL = """w AS (SELECT * FROM v_dense WHERE ts > $NOW - INTERVAL 2 HOUR AND ts <= $NOW),
+k AS (SELECT sensor_id, zone_id, max(ts) AS ts, 'stuck_sensor' AS type, avg(value) AS detected_value, 0.1E0 AS threshold FROM w WHERE field='pm25' GROUP BY 1,2 HAVING count(*)>=10 AND stddev_samp(value)<0.1E0),
+r AS (SELECT sensor_id, zone_id, ts, count(*) AS n, avg(value) FILTER (field='pm25') AS a, avg(value) FILTER (field='pm10') AS b FROM w GROUP BY 1,2,3),
+l AS (SELECT sensor_id, zone_id, sum(n) AS n, max(ts) AS ts, arg_max(a,ts) AS a, arg_max(b,ts) AS b FROM r WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1,2),
+i AS (SELECT sensor_id, zone_id, ts, 'implausible_ratio' AS type, a AS detected_value, b*1.5E0 AS threshold FROM l WHERE n>=10 AND b>0 AND a>b*1.5E0)"""
+
+
+@query("det_structural_2h", f"WITH {STRUCT_SQL} SELECT sensor_id, zone_id, ts, type, round(detected_value,6) AS detected_value, round(threshold,6) AS threshold FROM (SELECT * FROM k UNION ALL SELECT * FROM i)")
+def _(t):
+    w = detect.look_back(t.v_dense, now())
+    f = detect.findings(detect.stuck(w), detect.implausible_ratio(w))
+    return f.select("sensor_id", "zone_id", "ts", "type", F.round("detected_value", 6).alias("detected_value"), F.round("threshold", 6).alias("threshold"))
+
+
+#: Threshold and structural findings of the last two hours as alerts: one per zone and half hour, carrying the gravest finding of its time.
+@query("det_alerts_2h", f"""WITH RECURSIVE {STRUCT_SQL}, thr(field, lo, hi) AS (VALUES ('pm25',50.1E0,100.1E0),('pm10',155E0,255E0)),
+nw AS (SELECT sensor_id, field, zone_id, max(ts) AS ts, arg_max(value,(ts,reading_id)) AS value FROM w GROUP BY 1,2,3),
+h AS (SELECT sensor_id, zone_id, ts, 'threshold_exceeded' AS type, field AS pollutant, CASE WHEN value>=hi THEN 'danger' ELSE 'warning' END AS severity, value AS v FROM nw JOIN thr USING (field) WHERE value>=lo),
+f AS (SELECT * FROM h UNION ALL SELECT sensor_id, zone_id, ts, type, 'pm25', 'warning', detected_value FROM k UNION ALL SELECT sensor_id, zone_id, ts, type, 'pm25', 'warning', detected_value FROM i),
+a AS (SELECT DISTINCT zone_id, ts AS t FROM f), nx AS MATERIALIZED (SELECT x.zone_id, x.t, min(b.t) AS nxt FROM a x JOIN a b ON x.zone_id=b.zone_id AND b.t >= x.t + INTERVAL 30 MINUTE GROUP BY 1,2),
+s AS (SELECT zone_id, min(t) AS t FROM a GROUP BY 1 UNION ALL SELECT s.zone_id, nx.nxt FROM s JOIN nx ON nx.zone_id=s.zone_id AND nx.t=s.t)
+SELECT zone_id, alert_at, type, pollutant, severity, round(v,6) AS detected_value FROM (SELECT s.zone_id, s.t AS alert_at, f.*EXCLUDE (zone_id, ts), row_number() OVER (PARTITION BY s.zone_id, s.t ORDER BY severity<>'danger', type, pollutant, sensor_id) AS rn FROM s JOIN f ON f.zone_id=s.zone_id AND f.ts=s.t) WHERE rn=1""")
+def _(t):
+    w = detect.look_back(t.v_dense, now())
+    found = cut(detect.findings(detect.threshold_findings(detect.latest(w, ["sensor_id", "field", "zone_id"])), detect.stuck(w), detect.implausible_ratio(w)))
+    return detect.alerts(found).select("zone_id", "alert_at", "type", "pollutant", "severity", F.round("detected_value", 6).alias("detected_value"))

@@ -88,3 +88,26 @@ def _(t):
     v = lambda d, n, k: d.select(F.lit(n).alias("view_name"), F.col(k).cast("string").alias("key"))
     return (v(day, "alerts_24h", "id").unionByName(v(t.v_sensors.where(F.col("status") == "active"), "active_sensor", "sensor_id"))
             .unionByName(v(a.orderBy(F.desc("created_at"), "id").limit(5), "newest", "id")))
+
+
+@query("gov_alert_resolve", "SELECT id, handled OR id IN (SELECT anomaly_id FROM v_anomaly_alerts WHERE id % 3 = 0) AS handled FROM v_anomalies")
+def _(t):
+    a = t.v_anomaly_alerts
+    act = a.where(F.col("id") % 3 != 1).select(F.col("id").alias("alert_id"), F.when(F.col("id") % 3 == 0, "resolve").otherwise("acknowledge").alias("action"), F.col("created_at").alias("at"))
+    return govern.resolved_anomalies(t.v_anomalies, a, act).select("id", "handled")
+
+
+#: Every second citizen asks twice: gives consent, and every fourth then withdraws it.
+@query("gov_consent", """SELECT 'user' AS kind, id, CASE WHEN id%4=0 THEN false WHEN id%2=0 THEN true ELSE data_consent END AS data_consent, CASE WHEN id%4=0 THEN 30 WHEN id%2=0 THEN 365 ELSE retention_days END AS retention_days, CASE WHEN id%2=0 THEN $NOW END AS consent_date FROM v_citizens
+UNION ALL SELECT 'citizen', id, CASE WHEN id%4=0 THEN false WHEN id%2=0 THEN true ELSE data_consent END, NULL, NULL FROM v_citizens UNION ALL SELECT 'audit', id, NULL, 30, NULL FROM v_citizens WHERE id%4=0""")
+def _(t):
+    c = t.v_citizens
+    users = c.select("id", F.col("id").alias("citizen_id"), "data_consent", F.col("retention_days").alias("data_retention_days"), F.lit(None).cast("timestamp_ntz").alias("consent_date"))
+    ask = lambda w, v, days, at: c.where(w).select(F.col("id").alias("user_id"), F.lit(v).alias("data_consent"), F.lit(days).cast("bigint").alias("retention_days"), at.alias("at"))
+    asked = ask(F.col("id") % 2 == 0, True, 365, now()).unionByName(ask(F.col("id") % 4 == 0, False, 30, now() + hours(1)))
+    u, ci, audit = govern.update_consent(users, c.select("id", "data_consent"), asked)
+    none = lambda k: F.lit(None).cast(k)
+    return (u.select(F.lit("user").alias("kind"), "id", "data_consent", F.col("data_retention_days").cast("bigint").alias("retention_days"), "consent_date")
+            .unionByName(ci.select(F.lit("citizen").alias("kind"), "id", "data_consent", none("bigint").alias("retention_days"), none("timestamp_ntz").alias("consent_date")))
+            .unionByName(audit.select(F.lit("audit").alias("kind"), F.col("resource_id").cast("bigint").alias("id"), none("boolean").alias("data_consent"),
+                                      F.get_json_object("details", "$.retention_days").cast("bigint").alias("retention_days"), none("timestamp_ntz").alias("consent_date"))))

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.aqi import POLLUTANTS, daily_subindex
-from ..operators import supervise
+from ..operators import rollup, supervise
 from .registry import query
 from .scalars_q import DAILY_SQL
 from .views import now
@@ -64,11 +64,9 @@ def _(t):
 
 @query("set_union_subindices", f"WITH {DAILY_SQL} SELECT zone_id, day, max(iqa) AS iqa_value, count(iqa) AS n_pollutants FROM s GROUP BY 1,2")
 def _(t):
-    m = t.v_readings.groupBy("zone_id", F.to_date("ts").alias("day"), "field").agg(F.avg("value").alias("m"))
-    parts = None
-    for p in POLLUTANTS:
-        d = m.where(F.col("field") == p).select("zone_id", "day", daily_subindex(p, F.col("m")).alias("iqa"))
-        parts = d if parts is None else parts.unionByName(d)
+    # one scan: the means of a zone's day side by side, then one row per pollutant
+    m = rollup.pivot(t.v_readings.withColumn("day", F.to_date("ts")), ["zone_id", "day"], list(POLLUTANTS))
+    parts = m.select("zone_id", "day", F.explode(F.array(*[daily_subindex(p, F.col(p)) for p in POLLUTANTS])).alias("iqa"))
     return parts.groupBy("zone_id", "day").agg(F.max("iqa").alias("iqa_value"), F.count("iqa").alias("n_pollutants"))
 
 

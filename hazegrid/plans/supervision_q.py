@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timefeat import micros
 from ..operators import quality, supervise
+from ..operators.joins import nearest
 from ..operators.supervise import hours, pct
 from ..operators.windows import calibration_drift
 from .registry import query
@@ -76,6 +77,30 @@ def _(t):
     return quality.breaches(m, raised).select("alert_type", "message")
 
 
+#: All five metrics computed from the tables of the last ten days (the given predictions are sparse).
+REAL_SQL = """c AS (SELECT p.prediction_id, p.horizon_minutes, p.predicted_value, r.value, row_number() OVER (PARTITION BY p.prediction_id ORDER BY abs(epoch_us(r.ts)-epoch_us(p.target_timestamp)), r.ts, r.reading_id) AS rn
+ FROM v_predictions p JOIN v_readings r ON r.zone_id=p.zone_id AND r.ts BETWEEN p.target_timestamp - INTERVAL 30 MINUTE AND p.target_timestamp + INTERVAL 30 MINUTE WHERE p.created_at > $NOW - INTERVAL 240 HOUR),
+q AS (SELECT (SELECT round(count(*)/CAST((SELECT count(*) FILTER (status='active') FROM v_sensors)*120 AS DOUBLE),3) FROM v_readings WHERE ts >= $NOW - INTERVAL 1 HOUR) AS q1, (SELECT round(count(*) FILTER (value>2)/CAST(greatest(count(*),1) AS DOUBLE),3) FROM v_readings) AS q2,
+ (SELECT sqrt(avg(pow(predicted_value-value,2))) FROM c WHERE rn=1 AND horizon_minutes=60) AS q3, (SELECT sqrt(avg(pow(predicted_value-value,2))) FROM c WHERE rn=1 AND horizon_minutes=1440) AS q4,
+ (SELECT count(*) FILTER (statut_envoi='cancelled')/CAST(count(*) AS DOUBLE) FROM v_alerts) AS q5)"""
+
+
+@query("agg_quality_alerts_computed", f"""WITH {REAL_SQL}, m AS (SELECT 'data_coverage_low' AS alert_type, 'min' AS side, 0.8E0 AS lim, q1 AS v FROM q UNION ALL SELECT 'calibration_rate_low','min',0.9E0,q2 FROM q
+ UNION ALL SELECT 'prediction_rmse_high_1h','max',15,q3 FROM q UNION ALL SELECT 'prediction_rmse_high_24h','max',25,q4 FROM q UNION ALL SELECT 'false_alarm_rate_high','max',0.3E0,q5 FROM q)
+SELECT alert_type, round(v,6) AS value, 'Pipeline quality alert: '||alert_type||' = '||printf('%.3f',v)||' (seuil '||lim||')' AS message FROM m WHERE CASE WHEN side='min' THEN v<lim ELSE v>lim END""")
+def _(t):
+    r = t.v_readings
+    actual = nearest(t.v_predictions.where(F.col("created_at") > now() - supervise.hours(240)).select("prediction_id", "zone_id", "horizon_minutes", "predicted_value", "target_timestamp"),
+                     r.withColumn("actual_value", F.col("value")), ["zone_id"], "target_timestamp", "ts", ["reading_id"], "actual_value", 1800)
+    errors = quality.rmse(actual, (60, 1440)).agg(*[F.max(F.when(F.col("horizon_minutes") == h, F.col("rmse"))).alias(n) for h, n in ((60, "Q3_rmse_1h"), (1440, "Q4_rmse_24h"))])
+    m = supervise.one_row([
+        quality.coverage(r.where(F.col("ts") >= now() - supervise.hours(1)), t.v_sensors).withColumnRenamed("q1_coverage", "Q1_coverage"),
+        quality.calibration_rate(r, r.where(F.col("value") > 2)).withColumnRenamed("q2_calibration_rate", "Q2_calibration_rate"), errors,
+        quality.false_alarm_rate(t.v_alerts).withColumnRenamed("q5_false_alarm_rate", "Q5_false_alarm_rate")])
+    none = t.v_alerts.where("false").select(F.lit("").alias("alert_type"))
+    return quality.breaches(m, none).select("alert_type", F.round("value", 6).alias("value"), "message")
+
+
 @query("agg_pipeline_health", """SELECT flow, last_run, round(epoch($NOW-last_run)/60,1) AS age_min, CASE WHEN last_run IS NULL THEN 'unknown' WHEN round(epoch($NOW-last_run)/60,1)<=warn THEN 'ok' WHEN round(epoch($NOW-last_run)/60,1)<=crit THEN 'warn' ELSE 'stale' END AS health FROM (
  SELECT 'feature_engineering' AS flow, max(ts) AS last_run, 10 AS warn, 30 AS crit FROM v_features UNION ALL SELECT 'predictions', max(created_at), 45, 90 FROM v_predictions UNION ALL SELECT 'kriging', max(computed_at), 90, 180 FROM v_metrics
  UNION ALL SELECT 'anomaly_detector', max(detected_at), 5, 15 FROM v_anomalies UNION ALL SELECT 'retraining', max(training_end), 1440, 2880 FROM v_models)""")

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import joins, reports
+from ..operators import joins, reports, similarity
 from .joins_q import EDGE_SQL, HIT_SQL, zone_polygons
 from .registry import query
 from .scalars_q import HAV_SQL
@@ -63,3 +63,73 @@ def _(t):
 @query("txt_fulltext", r"""SELECT report_id FROM v_reports WHERE list_contains(string_split(regexp_replace(lower(texte),'[^\p{L}\p{N}]+',' ','g'),' '),'the') AND list_contains(string_split(regexp_replace(lower(texte),'[^\p{L}\p{N}]+',' ','g'),' '),'with')""")
 def _(t):
     return reports.fulltext(t.v_reports, F.col("texte"), ["the", "with"]).select("report_id")
+
+
+#: What a run of the report job leaves behind: processed reports, alert rows, correlations and the summary.
+@query("txt_report_job", f"""WITH {NEAR}, {EDGE_SQL}, hh AS ({HIT_SQL.format(p='v_reports')}), c AS (SELECT report_id, texte, {CLEAN} AS clean FROM v_reports WHERE nlp_status='pending'), u AS (SELECT *, {HIGH} AS high FROM c)
+SELECT 'alert' AS kind, report_id AS id, coalesce(arg_min(hh.zone_id, hh.zone_id - 1000*hh.niveau),1) AS ref, 'Signalement citoyen urgent : ' || left(any_value(texte),100) AS detail FROM u LEFT JOIN hh USING (report_id) WHERE high GROUP BY 2
+UNION ALL SELECT 'correlation', report_id, anomaly_id, NULL FROM m WHERE report_id IN (SELECT report_id FROM c) UNION ALL SELECT 'summary', count(*), count(*) FILTER (high), NULL FROM u""")
+def _(t):
+    _, alerts, matches, summary = reports.run(t.v_reports, t.v_anomalies, _both(t), POLLUTANT_TOKENS, URGENT_TOKENS)
+    none = F.lit(None).cast("string").alias("detail")
+    a = alerts.select(F.lit("alert").alias("kind"), F.col("report_id").alias("id"), F.col("zone_id").alias("ref"), F.col("message").alias("detail"))
+    m = matches.select(F.lit("correlation").alias("kind"), F.col("report_id").alias("id"), F.col("anomaly_id").alias("ref"), none)
+    return a.unionByName(m).unionByName(summary.select(F.lit("summary").alias("kind"), F.col("processed").alias("id"), F.col("high_urgency").alias("ref"), none))
+
+
+def _both(t):
+    """Polygon zones with the centroids that the search for anomalies nearby uses."""
+    c = t.v_zones.select("zone_id", "lon_c", "lat_c", "half")
+    return zone_polygons(t).join(c, "zone_id", "left")
+
+
+#: The keyword lists of the job itself, on all reports.
+@query("txt_report_keywords", f"""WITH c AS (SELECT report_id, {CLEAN} AS clean FROM v_reports), e AS (SELECT report_id, clean, list_filter({text.POLLUTANT_WORDS}, lambda w: contains(clean, w)) AS found FROM c)
+SELECT report_id, array_to_string(found, ',') AS entities, CASE WHEN {" OR ".join(f"contains(clean, '{u}')" for u in text.URGENT_PHRASES)} THEN 'high' WHEN len(found)>=2 THEN 'medium' ELSE 'low' END AS urgency FROM e""")
+def _(t):
+    return reports.read(t.v_reports).select("report_id", F.array_join("entities", ",").alias("entities"), "urgency")
+
+
+_BITS = "1 - 2*((('0x' || substr(md5('0:' || w), 1, 8))::BIGINT >> b) % 2)"
+
+
+@query("txt_embed_hashed", rf"""WITH c AS (SELECT report_id, {CLEAN} AS clean FROM v_reports), w AS (SELECT report_id, unnest(string_split(regexp_replace(trim(lower(clean), ' '), '\s+', ' ', 'g'),' ')) AS w FROM c),
+n AS (SELECT report_id, count(*) FILTER (w <> '') AS n FROM w GROUP BY 1), b AS (SELECT report_id, b, sum({_BITS}) AS s FROM w, range(32) r(b) WHERE w <> '' GROUP BY 1,2)
+SELECT n.report_id, CAST(32 AS INTEGER) AS dims, round(coalesce(max(s) FILTER (b=0),0)/greatest(max(n),1),6) AS first, round(coalesce(max(s) FILTER (b=31),0)/greatest(max(n),1),6) AS last, round(coalesce(sum(abs(s)),0)/greatest(max(n),1),6) AS size FROM n LEFT JOIN b USING (report_id) GROUP BY 1""")
+def _(t):
+    e = F.col("embedding")
+    return reports.embed_hashed(t.v_reports, 32).select("report_id", F.size(e).alias("dims"), F.round(F.get(e, F.lit(0)), 6).alias("first"), F.round(F.get(e, F.lit(31)), 6).alias("last"),
+                                                        F.round(F.aggregate(e, F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("size"))
+
+
+_ENDINGS = "|".join(reports.FRENCH_ENDINGS)
+_LEX = ("list_distinct(list_transform(list_filter(string_split(regexp_replace(lower({}),'[^\\p{{L}}\\p{{N}}]+',' ','g'),' '), lambda w: w <> '' AND NOT list_contains("
+        + str(list(reports.FRENCH_STOP)) + ", w)), lambda w: regexp_replace(w, '^(.{{3,}}?)(?:" + _ENDINGS + ")$', '\\1')))")
+
+
+#: Words are found in any inflexion: the text and what is looked for lose the same endings.
+@query("txt_fulltext_french", f"SELECT report_id FROM v_reports WHERE len({_LEX.format(chr(39) + 'des contes pour et' + chr(39))}) > 0 AND list_has_all({_LEX.format('texte')}, {_LEX.format(chr(39) + 'des contes pour et' + chr(39))})")
+def _(t):
+    return reports.search(t.v_reports, F.col("texte"), "des contes pour et").select("report_id")
+
+
+def _grams(x):
+    return f"(SELECT list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({x}),'[^\\p{{L}}\\p{{N}}]+',' ','g'),' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w)+2), lambda i: substr('  '||w||' ', i::INT, 3))))))"
+
+
+#: All pairs of similar names of two tables.
+@query("txt_fuzzy_join", f"""WITH a AS (SELECT DISTINCT c_name AS name, {_grams('c_name')} AS g FROM customer), b AS (SELECT DISTINCT s_name AS name, {_grams('s_name')} AS g FROM supplier),
+p AS (SELECT a.name AS left_name, b.name AS right_name, len(list_intersect(a.g, b.g)) AS k, len(a.g) AS n, len(b.g) AS m FROM a, b)
+SELECT left_name, right_name, round(k/CAST(n+m-k AS DOUBLE),6) AS similarity FROM p WHERE k/CAST(n+m-k AS DOUBLE) > 0.3E0""")
+def _(t):
+    p = similarity.name_pairs(t.customer.select(F.col("c_name").alias("name")), t.supplier.select(F.col("s_name").alias("name")))
+    return p.withColumn("similarity", F.round("similarity", 6))
+
+
+#: The ten most similar vectors of every fiftieth one, by inverted lists.
+@query("txt_similar_many", """WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)
+SELECT query, CAST(rank AS INTEGER) AS rank, round(s,6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def _(t):
+    index = similarity.VectorIndex(t.embeddings, "vec_id", "embedding", cells=32)
+    r = index.search(t.embeddings.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", 10, exact=True)
+    return r.select("query", "rank", F.round("similarity", 6).alias("similarity"))

@@ -99,6 +99,10 @@ VIEW_SQL = {
   CASE WHEN event_id % 19 = 0 THEN 140.0E0 ELSE CAST(event_id % 101 AS DOUBLE) END AS humidity,
   CASE WHEN event_id % 29 = 0 THEN NULL ELSE CAST(event_id % 75 - 12 AS DOUBLE) END AS temperature,
   event_id % 37 = 0 AS broken, value AS pm25, value * 1.6 AS pm10, user_id FROM events""",
+    # the same events packed into the last four hours, so that a look-back of two hours has rows of every sensor; every fourth sensor hangs
+    "v_dense": """SELECT event_id * 2 AS reading_id, TIMESTAMP '2024-01-30 20:00:00' + INTERVAL '1' SECOND * CAST((event_id * 37) % 14400 AS INT) AS ts, user_id AS sensor_id, user_id % 25 AS zone_id,
+  'pm25' AS field, CASE WHEN user_id % 4 = 1 THEN 20 + value / 10000 ELSE value END AS value FROM events UNION ALL
+  SELECT event_id * 2 + 1, TIMESTAMP '2024-01-30 20:00:00' + INTERVAL '1' SECOND * CAST((event_id * 37) % 14400 AS INT), user_id, user_id % 25, 'pm10', value * (0.5E0 + (event_id % 10) * 0.15E0) FROM events""",
     "v_citizens": """SELECT c_custkey AS id, c_name AS pseudonyme, c_nationkey AS zone_id, c_mktsegment AS segment,
   c_acctbal AS balance, c_acctbal >= 0 AS data_consent, 30 + c_custkey % 700 AS retention_days FROM customer""",
 }
