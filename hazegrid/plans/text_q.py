@@ -108,9 +108,9 @@ _LEX = ("list_distinct(list_transform(list_filter(string_split(regexp_replace(lo
 
 
 #: Words are found in any inflexion: the text and what is looked for lose the same endings.
-@query("txt_fulltext_french", f"SELECT report_id FROM v_reports WHERE len({_LEX.format(chr(39) + 'des contes pour et' + chr(39))}) > 0 AND list_has_all({_LEX.format('texte')}, {_LEX.format(chr(39) + 'des contes pour et' + chr(39))})")
+@query("txt_fulltext_french", f"SELECT report_id FROM v_reports WHERE len({_LEX.format(chr(39) + 'les ouelles' + chr(39))}) > 0 AND list_has_all({_LEX.format('texte')}, {_LEX.format(chr(39) + 'les ouelles' + chr(39))})")
 def _(t):
-    return reports.search(t.v_reports, F.col("texte"), "des contes pour et").select("report_id")
+    return reports.search(t.v_reports, F.col("texte"), "les ouelles").select("report_id")
 
 
 def _grams(x):

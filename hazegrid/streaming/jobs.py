@@ -104,7 +104,7 @@ def tumbling_rollup(readings: DataFrame, every: str = "1 hour", late: str = "5 m
     v = F.col("value")
     return readings.withWatermark("ts", late).groupBy("zone_id", F.col("field").alias("pollutant"), F.window("ts", every).alias("w")).agg(
         F.count("*").alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_samp(v).alias("stddev"),
-        F.approx_percentile(v, F.array(F.lit(0.5), F.lit(0.95)), F.lit(10000)).alias("q"), F.approx_count_distinct("sensor_id").alias("sensor_count")).select(
+        F.approx_percentile(v, F.array(F.lit(0.5), F.lit(0.95)), F.lit(10000)).alias("q"), F.hll_sketch_estimate(F.hll_sketch_agg(F.col("sensor_id").cast("string"), F.lit(14))).alias("sensor_count")).select(
         "zone_id", "pollutant", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "mean", "min", "max", "stddev",
         F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "sensor_count")
 
