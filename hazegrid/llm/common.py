@@ -40,6 +40,20 @@ def hidden(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Remainders by which rows are thinned before a join; as many longs are broadcast at most (some 100 MB).
+SLOTS = 1 << 22
+
+
+def thinned(df: DataFrame, of: Column, wanted: DataFrame, wanted_of: Column, slots: int = SLOTS) -> DataFrame:
+    """The rows of ``df`` whose long ``of`` may be among ``wanted_of`` of ``wanted``, without shuffling them.
+
+    Only remainders are compared, so that what is broadcast has a fixed bound; rows that remain by chance fall to the join that follows.
+    """
+    name = hidden(df, "_slot")
+    few = wanted.select(F.pmod(wanted_of, F.lit(slots)).alias(name)).distinct()
+    return df.withColumn(name, F.pmod(of, F.lit(slots))).join(F.broadcast(few), name, "left_semi").drop(name)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, root)``, root being the smallest node reachable; roots are left out.
 

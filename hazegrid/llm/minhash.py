@@ -6,11 +6,11 @@ a signature. Nodes that meet in a bucket are candidates. The number of equal bit
 fields that agree by chance, estimates their similarity; candidates below a bound that a linked pair misses less than once in
 10^9 are dropped, and all others are confirmed on the full sets.
 
-Components need no pair of every two members. (1) Each node is confirmed with one leader of its buckets. (2) While that joins anything,
-in each bucket that still holds several components, the most similar pair of every two is confirmed. (3) Every remaining candidate
-pair between two components of a bucket is confirmed, so no link is lost. Members of one component are never compared again, so a
-group of copies of any size costs a few pairs per member. A large bucket is cut into chunks: each holds a share of the members, and only
-those outside the leader's component visit every chunk.
+Components need no pair of every two members. (1) Each node is confirmed with one leader of its buckets, which joins most of a group.
+(2) Buckets that still hold several components are compared: a candidate pair between two components belongs to the first bucket its
+members share. Members with a candidate, and only they, are sent there with their full sets, and there a pair is confirmed only while its
+members are still apart, so a bucket of any size gives at most one link per member and no link between components is lost. A large
+bucket is cut into chunks: each holds a share of the members, and those outside the leader's component visit every chunk.
 """
 
 from __future__ import annotations
@@ -23,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, saved, thinned
 
 SHINGLE, PERCENT = 3, 85
-HASHES, ROWS, BITS = 128, 4, 2
+HASHES, ROWS, BITS = 128, 5, 2
+#: A linked pair meets in none of the buckets with a chance below 10^-6.
 BANDS = HASHES // ROWS
-#: Members of a bucket held at once, and shares into which the partners of one node are cut for confirmation.
-CHUNK, SALTS = 20_000, 32
+#: Shingles of a bucket's members held at once, partners of one node that are confirmed together, and pairs compared at once.
+CHUNK, PARTNERS, AT_ONCE = 2_000_000, 256, 1 << 17
 #: Chance that a pair at the threshold is dropped by its estimate.
 MISS = 1e-9
 REMEMBERED = 500_000
@@ -81,7 +82,7 @@ def signature(m: np.ndarray) -> bytes:
 def band_keys(m: np.ndarray) -> np.ndarray:
     """One bucket key per band."""
     h = np.arange(BANDS, dtype=np.uint64)
-    for part in m.reshape(BANDS, ROWS).T:
+    for part in m[:BANDS * ROWS].reshape(BANDS, ROWS).T:
         h = (h ^ part) * _MIX
         h ^= h >> np.uint64(31)
     return h.view(np.int64)
@@ -166,7 +167,8 @@ def sets_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shing
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes())], pa.binary()), pa.array([s.tobytes()], pa.binary())], ["digest", "shingles"])
 
     want = nodes.select(F.col("least").alias("_least")).distinct()
-    texts = docs.join(want, docs[id_col].eqNullSafe(want["_least"]), "left_semi").select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    few = thinned(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()), F.xxhash64("_id"), want, F.xxhash64("_least"))
+    texts = few.join(want, F.col("_id").eqNullSafe(F.col("_least")), "left_semi").select("text")
     # rows that repeat an id or a text give a set more than once
     found = texts.mapInArrow(run, "digest binary, shingles binary").join(nodes.select("nid", "digest"), "digest").select("nid", "shingles")
     return found.groupBy("nid").agg(F.min("shingles").alias("shingles"))
@@ -190,68 +192,158 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
                     b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    p = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    shares = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("shares"))
+    p = pairs.join(shares, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("salt"))
     own = p.select("a", "salt").distinct().join(sets, F.col("a") == sets["nid"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
     rest = p.join(sets, F.col("b") == sets["nid"]).select("a", "salt", "b", "shingles")
     return own.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def across(live: DataFrame, labels: DataFrame, nodes: DataFrame, most: int, every: bool) -> DataFrame:
-    """Candidate pairs ``(a, b)`` between components that share a bucket of ``live(key, nid)``: the most similar pair of every two
-    components, or all if ``every``. ``labels(nid, label)`` leaves out nodes that are their own component."""
-    def flush(rows, queries):
-        t_id, t_label, t_sig = rows
-        q_id, q_label, q_sig = queries
-        for i in range(0, len(q_id), max(1, (1 << 20) // max(1, len(t_id)))):
-            part = slice(i, i + max(1, (1 << 20) // max(1, len(t_id))))
-            d = np.zeros((len(q_id[part]), len(t_id)), np.int64)
-            for w in range(t_sig.shape[1]):
-                d += differing(q_sig[part, None, w, None], t_sig[None, :, w, None])
-            q, t = np.nonzero((d <= most) & (q_label[part, None] != t_label[None, :]))
-            if not len(q):
-                continue
-            x, y, d = q_id[part][q], t_id[t], d[q, t]
-            lx, ly = q_label[part][q], t_label[t]
-            swap = lx > ly
-            lx, ly = np.where(swap, ly, lx), np.where(swap, lx, ly)
-            if not every:
-                order = np.lexsort((y, x, d, ly, lx))
-                order = order[np.r_[True, (np.diff(lx[order]) != 0) | (np.diff(ly[order]) != 0)]]
-                x, y, d, lx, ly = x[order], y[order], d[order], lx[order], ly[order]
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (lx, ly, d, np.minimum(x, y), np.maximum(x, y))], ["la", "lb", "d", "a", "b"])
+def similar_sizes(n_a, n_b, percent: int = PERCENT):
+    """Whether two sets can reach the similarity by their sizes."""
+    return 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
 
-    def run(batches):
-        at, targets, queries = None, [], []
 
-        def joined(parts):
-            ids, labels_, sigs = zip(*parts)
-            return np.concatenate(ids), np.concatenate(labels_), np.concatenate(sigs)
+class _Side:
+    """Some members of a bucket as arrays."""
 
-        for batch in batches:
-            key, chunk, role, nid, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(key), -1)
-            change = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(chunk) != 0) | (np.diff(role) != 0)]) if len(key) else []
-            for lo, hi in zip(change, [*change[1:], len(key)]):
-                if (key[lo], chunk[lo]) != at:
-                    at, targets = (key[lo], chunk[lo]), []
-                piece = (nid[lo:hi], label[lo:hi], sig[lo:hi])
-                if role[lo] == 0:
-                    targets.append(piece)
-                elif targets:
-                    targets = [joined(targets)]
-                    yield from flush(targets[0], piece)
-
-    rows = live.join(labels, "nid", "left").select("key", "nid", F.coalesce("label", "nid").alias("label"))
+    NAMES = ("nid", "label", "n", "inner", "sig", "bands")
+
+    def __init__(self, batch: pa.RecordBatch, lo: int, hi: int):
+        part = batch.slice(lo, hi - lo)
+        col = {c: part.column(part.schema.get_field_index(c)) for c in part.schema.names}
+        self.nid, self.label, self.n = (col[c].to_numpy(zero_copy_only=False) for c in ("nid", "label", "n"))
+        self.inner = col["inner"].to_numpy(zero_copy_only=False)
+        self.sig = np.frombuffer(b"".join(col["sig"].to_pylist()), np.uint64).reshape(len(part), -1)
+        self.bands = col["bands"].flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+        self.sets = [np.frombuffer(x.as_py(), np.uint64) for x in col["shingles"]] if "shingles" in col else None
+
+    @staticmethod
+    def joined(sides: list[_Side]) -> _Side:
+        out = sides[0]
+        if len(sides) > 1:
+            for c in _Side.NAMES:
+                setattr(out, c, np.concatenate([getattr(s, c) for s in sides]))
+            if out.sets is not None:
+                out.sets = [x for s in sides for x in s.sets]
+        return out
+
+
+def candidates(q: _Side, t: _Side, band: int, most: int, percent: int):
+    """Blocks of candidate pairs ``(row of q, row of t, differing fields)`` whose first common bucket is that of ``band``.
+
+    Members inside the leader's component (``inner``) are only asked about, never ask; two that both ask meet once.
+    """
+    at_once = max(1, AT_ONCE // max(1, len(t.nid)))
+    for i in range(0, len(q.nid), at_once):
+        part = slice(i, i + at_once)
+        x, y = np.nonzero((q.label[part, None] != t.label[None, :]) & (t.inner[None, :] | (q.nid[part, None] < t.nid[None, :]))
+                          & similar_sizes(q.n[part, None], t.n[None, :], percent))
+        x += i
+        d = differing(q.sig[x], t.sig[y])
+        ok = np.flatnonzero(d <= most)
+        x, y, d = x[ok], y[ok], d[ok]
+        ok = np.flatnonzero((q.bands[x] == t.bands[y]).argmax(axis=1) == band)
+        yield x[ok], y[ok], d[ok]
+
+
+def shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of one sorted set with each of the others."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(one, flat)
+    hit = one[np.minimum(at, len(one) - 1)] == flat
+    return np.add.reduceat(hit, np.cumsum([0, *map(len, others[:-1])]))
+
+
+def grown(q: _Side, t: _Side, pairs, percent: int = PERCENT):
+    """Links ``(a, b)`` that join whatever components of ``q`` and ``t`` are linked by the given pairs; most similar pairs first."""
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while root.get(k, k) != k:
+            root[k] = root.get(root[k], root[k])
+            k = root[k]
+        return k
+
+    for x, y, d in pairs:
+        order = np.lexsort((d, x))
+        x, y = x[order], y[order]
+        for i, j in zip(np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else [], [*np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)]):
+            me, own, left = int(x[i]), q.sets[x[i]], y[i:j]
+            while len(left):
+                mine = find(int(q.label[me]))
+                left = left[np.array([find(int(k)) != mine for k in t.label[left]], bool)]
+                now, left = left[:64], left[64:]
+                if not len(now):
+                    break
+                both = shared(own, [t.sets[k] for k in now])
+                for k in now[100 * both >= percent * (len(own) + t.n[now] - both)].tolist():
+                    a, b = find(int(q.label[me])), find(int(t.label[k]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        yield int(q.nid[me]), int(t.nid[k])
+
+
+def _buckets(batches):
+    """``(band, targets, queries)`` of each part of each (bucket, chunk), whose targets come first."""
+    at, targets = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, band, chunk, role = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "band", "chunk", "role"))
+        cuts = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(band) != 0) | (np.diff(chunk) != 0) | (np.diff(role) != 0)])
+        for lo, hi in zip(cuts, [*cuts[1:], len(key)]):
+            if (key[lo], band[lo], chunk[lo]) != at:
+                at, targets = (key[lo], band[lo], chunk[lo]), []
+            side = _Side(batch, lo, hi)
+            if role[lo] == 0:
+                targets.append(side)
+            elif targets:
+                targets = [_Side.joined(targets)]
+                yield at, targets[0], side
+
+
+def across(live: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
+    """Confirmed links ``(a, b)`` that join the components which share buckets of ``live(key, band, nid)`` and have a linked pair.
+
+    ``labels(nid, label)`` leaves out nodes that are their own component.
+    """
+    kinds = "key long, band int, chunk int, role int, nid long"
+
+    def involved(batches):
+        for (key, band, chunk), t, q in _buckets(batches):
+            in_q, in_t = np.zeros(len(q.nid), bool), np.zeros(len(t.nid), bool)
+            for x, y, _ in candidates(q, t, band, most, percent):
+                in_q[x] = in_t[y] = True
+            for role, side, some in ((0, t, in_t), (1, q, in_q)):
+                nid = side.nid[some]
+                if len(nid):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nid), key)), pa.array(np.full(len(nid), band, np.int32)), pa.array(np.full(len(nid), chunk, np.int32)),
+                                                      pa.array(np.full(len(nid), role, np.int32)), pa.array(nid)], ["key", "band", "chunk", "role", "nid"])
+
+    def links(batches):
+        for (_, band, _), t, q in _buckets(batches):
+            found = list(grown(q, t, candidates(q, t, band, most, percent), percent))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    rows = live.join(labels, "nid", "left").select("key", "band", "nid", F.coalesce("label", "nid").alias("label")).join(nodes.select("nid", "n"), "nid")
     rows = saved(rows, "live")
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("nid", "label")).alias("first"), F.count(F.lit(1)).alias("size"))
-    mixed = mixed.where("lo <> hi").select("key", F.col("first.label").alias("main"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    rows = rows.join(mixed, "key").join(nodes.select("nid", "sig"), "nid")
-    target = rows.select("key", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"), "nid", "label", "sig")
-    query = rows.where("label <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "nid", "label", "sig")
-    found = target.union(query).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "role").mapInArrow(run, "la long, lb long, d long, a long, b long")
-    if every:
-        return found.select("a", "b").distinct()
-    return found.groupBy("la", "lb").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    mixed = rows.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("nid", "label")).alias("first"), F.sum("n").alias("size"))
+    mixed = mixed.where("lo <> hi").select("key", "band", F.col("first.label").alias("main"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    rows = rows.join(mixed, ["key", "band"]).select("*", (F.col("label") == F.col("main")).alias("inner"))
+    target = rows.select("key", "band", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"), "nid", "label", "inner")
+    query = rows.where(~F.col("inner")).select("key", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "nid", "label", "inner")
+    side = nodes.select("nid", "n", "sig", "bands")
+
+    def met(df):
+        by = ["key", "band", "chunk"]
+        return df.repartition(*by).sortWithinPartitions(*by, "role", "nid")
+
+    places = saved(target.union(query), "places")
+    few = met(places.join(side, "nid")).mapInArrow(involved, kinds).distinct()
+    few = saved(few, "involved").join(places, ["key", "band", "chunk", "role", "nid"]).join(side, "nid").join(sets, "nid")
+    return met(few).mapInArrow(links, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -263,9 +355,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sigs = saved(signatures(docs, id_col, text_col, shingle), "signatures")
     nodes = sigs.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = saved(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")  # written once, so the numbers stay
-    band = nodes.select("nid", F.explode("bands").alias("key"))
+    band = nodes.select("nid", F.posexplode("bands").alias("band", "key"))
     buckets = band.groupBy("key").agg(F.min("nid").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader")
-    live = saved(band.join(buckets, "key"), "live")
+    buckets = saved(buckets, "buckets")
+    live = saved(thinned(band, F.col("key"), buckets, F.col("key")).join(buckets, "key"), "live")
     most = most_differing(percent)
 
     involved = live.select("nid").distinct().join(nodes.select("nid", "digest", "least"), "nid")
@@ -278,21 +371,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # any clearly similar leader will do, and the smallest is the one that most others have
     star = star.groupBy("nid").agg(F.min(F.struct(F.greatest("d", F.lit(most // 4)).alias("d"), "leader")).alias("to"))
     links = saved(confirmed(star.select(F.col("to.leader").alias("a"), F.col("nid").alias("b")), sets, percent), "links")
-    every = False
-    labels = components(links).select(F.col("node").alias("nid"), F.col("root").alias("label"))
-    while True:
-        pairs = saved(across(live.select("key", "nid"), labels, nodes, most, every), "pairs")
-        more = None
-        if not pairs.isEmpty():
-            more = saved(confirmed(pairs, sets, percent), "links")
-            if not more.isEmpty():
-                links = links.union(more)
-                labels = components(links).select(F.col("node").alias("nid"), F.col("root").alias("label"))
-            elif not every:
-                every = True
-                continue
-        if more is None or every:
-            break
+    def labelled(links):
+        return components(links).select(F.col("node").alias("nid"), F.col("root").alias("label"))
+
+    more = saved(across(live.select("key", "band", "nid"), labelled(links), nodes, sets, most, percent), "links")
+    labels = labelled(links.union(more))
     member = nodes.join(labels, "nid", "left").select("digest", "least", F.coalesce("label", "nid").alias("label"))
     least = member.groupBy("label").agg(F.min("least").alias("component_id"))
     member = member.join(least, "label").select("digest", "component_id")
