@@ -1,16 +1,18 @@
-"""Spelling variants: near words by a trie whose levels are walked as joins.
-
-The words of the lexicon hang in a trie. Its edges are a table: an *inner* edge leads from a node (a prefix of at least two words) by one
-character to another such node; a *leaf* edge carries the whole rest of the single word below it, empty if the word ends at the node.
-A frontier of states (word, position, node, edits) starts with every word at the root and is joined with the edges of one level
-after the other. A state without edits goes on along its own path, or uses its one edit: a character replaced by a larger one,
-or a character of the word deleted. A state with an edit goes on only where characters agree. At a leaf edge the two rests are compared,
-and a state that ends with one edit names a neighbour. Insertions and smaller replacements are the same pairs seen from the
+"""Spelling variants: near words by tries whose levels are walked as joins.
+
+The words of the lexicon hang in two tries, one of the words and one of the words read backwards. Edges are a table: an *inner* edge
+leads from a node (a prefix of at least two words) by one character to another such node; a *leaf* edge carries the whole rest of the
+single word below it, empty if the word ends at the node. A frontier of states (word, position, node, edits) is joined with the edges of
+one level after the other. A state without edits goes on along its own path, or uses its one edit: a character replaced by a larger
+one, or a character of the word deleted. A state with an edit goes on only where characters agree. At a leaf edge the two rests are
+compared, and a state that ends with one edit names a neighbour. Insertions and smaller replacements are the same pairs seen from the
 other word, so each pair is found from one side and then turned round.
 
-The walk takes as many rounds as the longest prefix that two words share. A node has at most as many edges as the alphabet has letters,
-so one word's states cannot multiply beyond that; the first two levels, where all words meet at few nodes, have at most
-91 + 90 * 91 edges and are broadcast, deeper ones are joined with skewed nodes split.
+The edit lies in the second half of the word, or in the second half of the word read backwards. So each word enters the frontier of
+either trie at the node of its first half, and never branches at the shallow levels, where few nodes have all words below them.
+
+The walk takes as many rounds as the longest prefix or ending that two words share. A node has at most as many edges as the alphabet has
+letters, so one word's states cannot multiply beyond that; nodes with very many words are split by the join.
 """
 
 from __future__ import annotations
@@ -30,8 +32,6 @@ MIN_LENGTH, MIN_COUNT, RATIO = 6, 5, 5
 DAMAGE = 199
 #: Distinct words a task counts before it hands them on.
 AT_ONCE = 200_000
-#: Levels whose edges are broadcast: their number is bounded by the alphabet.
-SMALL_LEVELS = 2
 RUNS = re.compile("[A-Za-zÀ-ÿ]+")
 
 
@@ -83,16 +83,31 @@ def lexicon(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
-def edges(words: DataFrame) -> DataFrame:
-    """The trie of ``words(word)``: ``(level, node, label, child, leaf)``; ``child`` is a node's prefix, or a leaf's word."""
-    steps = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("level"))
-    steps = steps.select("word", "level", F.left("word", F.col("level")).alias("node"), F.substring("word", F.col("level") + 1, F.lit(1)).alias("c"))
-    e = steps.groupBy("level", "node", "c").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("word"))
+def sides(words: DataFrame) -> DataFrame:
+    """``(word, path, half)``: each word forwards, marked ``>``, and backwards, marked ``<``, and the level at which it enters that trie.
+
+    An edit before the middle of a word lies at or behind ``half`` in the word read backwards.
+    """
+    n = F.length("word")
+    half = F.floor(n / 2).cast("int")
+    side = F.array(F.struct(F.concat(F.lit(">"), F.col("word")).alias("path"), half.alias("half")),
+                   F.struct(F.concat(F.lit("<"), F.reverse("word")).alias("path"), (n - half).cast("int").alias("half")))
+    return words.select("word", F.inline(side))
+
+
+def edges(paths: DataFrame) -> DataFrame:
+    """Both tries of ``paths(word, path, half)``: ``(level, node, label, child, leaf)``; ``child`` is a node's prefix, or a leaf's word.
+
+    A word has edges from the level at which it enters on: words within one edit enter no later than one another's first edit.
+    """
+    steps = paths.select("word", "path", F.explode(F.sequence("half", F.length("path") - 1)).alias("level"))
+    steps = steps.select("word", "path", "level", F.left("path", F.col("level") + 1).alias("node"), F.substring("path", F.col("level") + 2, F.lit(1)).alias("c"))
+    e = steps.groupBy("level", "node", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "word")).alias("w"))
     below = e.groupBy("level", "node").agg(F.sum("n").alias("words")).where("words > 1")  # other nodes lie under a leaf edge
     e = e.join(below, ["level", "node"])
     leaf = F.col("n") == 1
-    return e.select("level", "node", F.when(leaf, F.substring("word", F.col("level") + 1, F.length("word"))).otherwise(F.col("c")).alias("label"),
-                    F.when(leaf, F.col("word")).otherwise(F.concat("node", "c")).alias("child"), leaf.alias("leaf"))
+    return e.select("level", "node", F.when(leaf, F.substring("w.path", F.col("level") + 2, F.length("w.path"))).otherwise(F.col("c")).alias("label"),
+                    F.when(leaf, F.col("w.word")).otherwise(F.concat("node", "c")).alias("child"), leaf.alias("leaf"))
 
 
 def _one_edit(rest: Column, label: Column) -> Column:
@@ -102,41 +117,45 @@ def _one_edit(rest: Column, label: Column) -> Column:
 
 
 def step(frontier: DataFrame, level_edges: DataFrame) -> DataFrame:
-    """One level: the states after it and the words reached, as ``(word, position, node, edits, near)``; ``near`` is null for states."""
+    """One level: the states after it and the words reached, as ``(word, rest, node, edits, near)``; ``near`` is null for states.
+
+    ``rest`` is what is left of the path behind the state's position.
+    """
     j = frontier.join(level_edges, "node")
-    at = F.col("position")
-    rest = F.substring("word", at + 1, F.length("word"))
-    c, d = F.substring("word", at + 1, F.lit(1)), F.substring("word", at + 2, F.lit(1))
-    label, fresh = F.col("label"), F.col("edits") == 0
-    reached = F.col("leaf") & F.when(fresh, _one_edit(rest, label)).otherwise(rest == label)
-    moves = F.when(~F.col("leaf"), F.array_compact(F.array(
-        F.when(label == c, F.struct((at + 1).alias("position"), F.col("edits").alias("edits"))),
-        F.when(fresh & (c != "") & (label > c), F.struct((at + 1).alias("position"), F.lit(1).alias("edits"))),
-        F.when(fresh & (label == d) & (c != d), F.struct((at + 2).alias("position"), F.lit(1).alias("edits"))))))
-    done = F.when(reached, F.array(F.struct(at.alias("position"), F.lit(1).alias("edits"))))
-    j = j.select("word", "child", F.col("leaf"), F.explode(F.coalesce(moves, done)).alias("s"))
-    return j.select("word", "s.position", F.when(~F.col("leaf"), F.col("child")).alias("node"), "s.edits", F.when(F.col("leaf"), F.col("child")).alias("near"))
+    rest, label, fresh, leaf = F.col("rest"), F.col("label"), F.col("edits") == 0, F.col("leaf")
+    c, d = F.left(rest, F.lit(1)), F.substring(rest, 2, 1)
+    goes = F.when(leaf, F.when(fresh, _one_edit(rest, label)).otherwise(rest == label)).otherwise(
+        (label == c) | (fresh & (((c != "") & (label > c)) | ((label == d) & (c != d)))))
+    j = j.where(goes)
+    state = F.struct(F.substring(rest, 2, 1 << 30).alias("rest"), F.when(label == c, F.col("edits")).otherwise(1).alias("edits"))
+    cut = F.struct(F.substring(rest, 3, 1 << 30).alias("rest"), F.lit(1).alias("edits"))
+    replaced = (label == c) | (fresh & (c != "") & (label > c))
+    deleted = fresh & (label == d) & (c != d)
+    states = F.when(leaf, F.array(state)).when(replaced & deleted, F.array(state, cut)).when(deleted, F.array(cut)).otherwise(F.array(state))
+    j = j.select("word", "child", "leaf", F.inline(states))
+    return j.select("word", "rest", F.when(~F.col("leaf"), F.col("child")).alias("node"), "edits", F.when(F.col("leaf"), F.col("child")).alias("near"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """``(word, near)``: all pairs of ``words(word)`` that differ by exactly one inserted, deleted or replaced code point, both ways round."""
-    trie = saved(edges(words.select("word").distinct()), "trie")
-    depth = trie.agg(F.max("level")).first()[0]
-    frontier = words.select("word").distinct().select("word", F.lit(0).alias("position"), F.lit("").alias("node"), F.lit(0).alias("edits"))
-    found = []
-    for level in range(0 if depth is None else depth + 1):
-        e = trie.where(F.col("level") == level).select("node", "label", "child", "leaf")
-        both = saved(step(frontier, F.broadcast(e) if level < SMALL_LEVELS else e), "frontier")
+    paths = saved(sides(words.select("word").distinct()), "paths")
+    trie = saved(edges(paths), "trie")
+    levels = trie.agg(F.min("level"), F.max("level")).first()
+    enter = paths.select("word", F.substring("path", F.col("half") + 2, F.length("path")).alias("rest"), F.left("path", F.col("half") + 1).alias("node"),
+                         F.lit(0).alias("edits"), "half")
+    found, frontier = [], None
+    for level in range(levels[0] or 0, -1 if levels[1] is None else levels[1] + 1):
+        here = enter.where(F.col("half") == level).drop("half")
+        frontier = here if frontier is None else frontier.union(here)
+        both = saved(step(frontier, trie.where(F.col("level") == level).select("node", "label", "child", "leaf")), "frontier")
         found.append(both.where("near IS NOT NULL").select("word", "near"))
-        frontier = both.where("near IS NULL").select("word", "position", "node", "edits")
-        if frontier.isEmpty():
-            break
+        frontier = both.where("near IS NULL").select("word", "rest", "node", "edits")
     if not found:
         return words.where("false").select("word", F.col("word").alias("near"))
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.union(f)
-    return pairs.select(F.explode(F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near")))).alias("p")).select("p.*").distinct()
+    return pairs.select(F.inline(F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"))))).distinct()
 
 
 def roots(forms: DataFrame, max_rounds: int = 64) -> DataFrame:
