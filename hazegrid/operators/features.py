@@ -14,7 +14,7 @@ from ..functions import timefeat as tf
 from ..functions.aqi import POLLUTANTS
 from ..session import cut
 from . import joins, scan
-from .panes import Rolling, std
+from .panes import Rolling, merged, part_of, std
 from .windows import full, hour_lags, hourly
 
 # fixed values: hour lags and rolling windows of the feature vector
@@ -32,16 +32,15 @@ def label(h: int) -> str:
 
 
 def zone_hours(readings: DataFrame) -> DataFrame:
-    """Per zone and hour: count, sum, sum of squares, min, max of PM2.5, and PM10 sum and count.
+    """Per zone and hour: number, mean, squared deviations, min and max of PM2.5, and number and mean of PM10.
 
     These partials are all that rolling statistics at full hours need, so readings are shuffled
     once, already combined.
     """
-    v = lambda f: F.when(F.col("field") == f, F.col("value"))
+    v = lambda f: F.when(F.col("field") == f, F.col("value"))
     h = F.date_trunc("hour", "ts").cast("timestamp_ntz")
     return readings.where(F.col("field").isin("pm25", "pm10")).groupBy("zone_id", h.alias("hour")).agg(
-        F.count(v("pm25")).alias("n"), F.sum(v("pm25")).alias("s"), F.sum(v("pm25") * v("pm25")).alias("q"),
-        F.min(v("pm25")).alias("lo"), F.max(v("pm25")).alias("hi"), F.count(v("pm10")).alias("n10"), F.sum(v("pm10")).alias("s10"))
+        part_of(v("pm25")).alias("part"), F.count(v("pm10")).alias("n10"), F.avg(v("pm10")).alias("mean10"))
 
 
 def rolling(readings: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -53,16 +52,15 @@ def rolling(readings: DataFrame, anchors: DataFrame) -> DataFrame:
     out = {}
     for k in MEAN_HOURS:
         f = w.rangeBetween(-k, -1)
-        n, s = F.sum("n").over(f), F.sum("s").over(f)
-        out[f"pm25_rolling_mean_{label(k)}"] = F.when(n > 0, s / n)
-        if k in STD_HOURS:
-            var = (F.sum("q").over(f) - s * s / n) / (n - 1)
-            out[f"pm25_rolling_std_{k}h"] = F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
+        n = F.sum("part.n").over(f)
+        out[f"pm25_rolling_mean_{label(k)}"] = F.when(n > 0, F.sum(F.col("part.n") * F.col("part.mean")).over(f) / n)
+        if k in STD_HOURS:  # deviations are merged, not taken as a difference of large sums
+            out[f"pm25_rolling_std_{k}h"] = std(merged(F.collect_list("part").over(f)))
         if k in MIN_MAX_HOURS:
-            out[f"pm25_rolling_min_{k}h"], out[f"pm25_rolling_max_{k}h"] = F.min("lo").over(f), F.max("hi").over(f)
+            out[f"pm25_rolling_min_{k}h"], out[f"pm25_rolling_max_{k}h"] = F.min("part.lo").over(f), F.max("part.hi").over(f)
         if k in PM10_MEAN_HOURS:
             n10 = F.sum("n10").over(f)
-            out[f"pm10_rolling_mean_{k}h"] = F.when(n10 > 0, F.sum("s10").over(f) / n10)
+            out[f"pm10_rolling_mean_{k}h"] = F.when(n10 > 0, F.sum(F.col("n10") * F.col("mean10")).over(f) / n10)
     r = u.select("zone_id", "t", *[c.alias(n) for n, c in out.items()]).where(F.col("t").isNotNull())
     # percentiles: distinct values with counts per zone and hour, offered to the hours they serve
     v = readings.where(F.col("field") == "pm25").groupBy("zone_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
