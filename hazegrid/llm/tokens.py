@@ -36,7 +36,7 @@ NULL_KEY = -(1 << 63)
 
 # ---- shards
 
-def table(keys: list[int], counts: list[int]) -> bytes:
+def table(keys, counts) -> bytes:
     """The rows at a shard's end: keys, ids per document, their number and a mark."""
     return (np.array(keys, "<i8").tobytes() + np.array(counts, "<u4").tobytes() + np.array([len(keys), MAGIC], "<u8").tobytes())
 
@@ -56,7 +56,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                  shard_bytes: int = SHARD_BYTES) -> None:
     """Encode every whole text (null: empty) and write the shards in ascending order of the ids, null ids first.
 
-    Rows with the same id are neighbours, in the order of a hash of their texts.
+    Rows with the same id are neighbours, in the order of a hash of their texts; if they are very many, they fill several shards.
     """
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -65,21 +65,29 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     def run(batches):
         enc, keys, counts = encoder(tokenizer, width), [], []
         for b in batches:
-            ids = enc.encode(b.column(1).to_pylist())
-            keys += b.column(0).to_pylist()
-            counts += [len(x) // width + 1 for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["value"])
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array([table(keys, counts)], pa.binary())], ["value"])
-
-    d = d.repartitionByRange(n, "key").sortWithinPartitions("key", F.xxhash64("text"))
-    rows = d.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+            ids, n = enc.encode_array(b.column(1))
+            keys.append(b.column(0).to_numpy(zero_copy_only=False))
+            counts.append(n + 1)
+            yield pa.RecordBatch.from_arrays([ids], ["value"])
+        if sum(map(len, keys)):
+            yield pa.RecordBatch.from_arrays([pa.array([table(np.concatenate(keys), np.concatenate(counts))], pa.binary())], ["value"])
+
+    d = d.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, "key", "hash").sortWithinPartitions("key", "hash")
+    rows = d.select("key", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     rows.write.option("lineSep", "\0" * width).text(f"{path}/shards")
 
 
-def stored(spark: SparkSession, path: str, width: int = 2, with_ids: bool = False) -> DataFrame:
-    """Each document read back from the shards: ``(shard, ord, key, at, n, crc[, ids])``; ``at`` counts ids from the shard's start,
-    ``n`` includes the closing id, ``crc`` is taken over the ids as 32-bit integers."""
+def shard_paths(spark: SparkSession, path: str, shards: set[int] | None = None) -> list[str]:
+    """The files of the named shards, or a pattern for all; their contents are not read."""
+    if shards is None:
+        return [f"{path}/shards/part-*"]
+    files = spark.read.format("binaryFile").load(f"{path}/shards/part-*").select("path") if shards else None
+    return [r["path"] for r in files.where(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").isin(*shards)).collect()] if shards else []
+
+
+def stored(spark: SparkSession, path: str, width: int = 2, with_ids: bool = False, shards: set[int] | None = None) -> DataFrame:
+    """Each document read back from the shards, from the named ones only if ``shards`` is given: ``(shard, ord, key, at, n, crc[, ids])``;
+    ``at`` counts ids from the shard's start, ``n`` includes the closing id, ``crc`` is taken over the ids as 32-bit integers."""
     def run(batches):
         for b in batches:
             for shard, content in zip(b.column(0).to_pylist(), b.column(1)):
@@ -99,7 +107,8 @@ def stored(spark: SparkSession, path: str, width: int = 2, with_ids: bool = Fals
                     yield pa.RecordBatch.from_arrays(cols, names)
 
     try:
-        files = spark.read.format("binaryFile").load(f"{path}/shards/part-*")
+        paths = shard_paths(spark, path, shards)
+        files = spark.read.format("binaryFile").load(paths) if paths else spark.createDataFrame([], "path string, content binary")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -148,12 +157,14 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (mix(keys, 1000) >> np.uint64(32)).astype(np.uint32)
 
 
-INDEX = "part int, parts int, n int, sizes binary, bits binary, prints binary, shard binary, ord binary, docs binary, at binary"
+INDEX = "part int, parts int, n int, sizes binary, bits binary, prints binary, shard binary, last binary, ord binary, docs binary, at binary"
 
 
 def write_index(docs: DataFrame, path: str, part_keys: int = PART_KEYS) -> DataFrame:
-    """Index the distinct keys of ``docs(key, shard, ord, at)`` under ``path``; a key's documents are neighbours in one shard."""
-    keys = docs.groupBy("key").agg(F.min(F.struct("shard", "ord", "at")).alias("p"), F.count(F.lit(1)).alias("docs")).select("key", "p.*", "docs")
+    """Index the distinct keys of ``docs(key, shard, ord, at)`` under ``path``: where a key's first document lies, how many it has, and the
+    last shard that they reach."""
+    keys = docs.groupBy("key").agg(F.min(F.struct("shard", "ord", "at")).alias("p"), F.max("shard").alias("last"), F.count(F.lit(1)).alias("docs")).select(
+        "key", "p.*", "last", "docs")
     parts = max(1, -(-docs.count() // part_keys))
     keys = keys.withColumns({"parts": F.lit(parts), "part": F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")})
 
@@ -163,7 +174,7 @@ def write_index(docs: DataFrame, path: str, part_keys: int = PART_KEYS) -> DataF
         s = np.argsort(slots(k, sizes, bits))
         col = lambda c, kind: pdf[c].to_numpy()[s].astype(kind).tobytes()
         return pd.DataFrame([[pdf["part"].iloc[0], pdf["parts"].iloc[0], len(k), sizes.astype("<i8").tobytes(), np.packbits(bits).tobytes(),
-                              fingerprint(k[s]).astype("<u4").tobytes(), col("shard", "<i4"), col("ord", "<i8"), col("docs", "<i4"), col("at", "<i8")]],
+                              fingerprint(k[s]).astype("<u4").tobytes(), col("shard", "<i4"), col("last", "<i4"), col("ord", "<i8"), col("docs", "<i8"), col("at", "<i8")]],
                             columns=[c.split()[0] for c in INDEX.split(", ")])
 
     keys.groupBy("part").applyInPandas(run, INDEX).write.parquet(f"{path}/index")
@@ -171,12 +182,12 @@ def write_index(docs: DataFrame, path: str, part_keys: int = PART_KEYS) -> DataF
 
 
 def lookup(index: DataFrame, keys: DataFrame, parts: int | None = None) -> DataFrame:
-    """``(key, shard, ord, docs, at)`` for the keys of ``keys(key)`` that the index has."""
+    """``(key, shard, last, ord, docs, at)`` for the keys of ``keys(key)`` that the index has."""
     if parts is None:
         parts = (index.agg(F.max("parts")).first() or [None])[0] or 1
 
     def run(entry: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        names = ["key", "shard", "ord", "docs", "at"]
+        names = ["key", "shard", "last", "ord", "docs", "at"]
         if entry.empty or want.empty:
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
         e, k = entry.iloc[0], want["key"].to_numpy(np.int64)
@@ -187,11 +198,11 @@ def lookup(index: DataFrame, keys: DataFrame, parts: int | None = None) -> DataF
         ok[ok] = np.frombuffer(e["prints"], "<u4")[s[ok]] == fingerprint(k[ok])
         s = s[ok]
         return pd.DataFrame({"key": k[ok], **{c: np.frombuffer(e[c], t)[s].astype(np.int64) for c, t in
-                                              (("shard", "<i4"), ("ord", "<i8"), ("docs", "<i4"), ("at", "<i8"))}})
+                                              (("shard", "<i4"), ("last", "<i4"), ("ord", "<i8"), ("docs", "<i8"), ("at", "<i8"))}})
 
     want = keys.select(F.coalesce(F.col("key"), F.lit(NULL_KEY)).alias("key")).distinct()
     want = want.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    return index.groupBy("part").cogroup(want.groupBy("part")).applyInPandas(run, "key long, shard int, ord long, docs long, at long")
+    return index.groupBy("part").cogroup(want.groupBy("part")).applyInPandas(run, "key long, shard int, last int, ord long, docs long, at long")
 
 
 # ---- both
@@ -206,24 +217,23 @@ def write(docs: DataFrame, path: str | None, tokenizer: str, id_col: str = "doc_
 
 
 def read(spark: SparkSession, path: str, keys: DataFrame, width: int = 2) -> DataFrame:
-    """``(key, ids)`` of the documents of ``keys(key)``: only shards that the index names are read."""
+    """``(key, ids)`` of the documents of ``keys(key)``: the index names their shards, and no other file is opened."""
     hits = saved(lookup(spark.read.schema(INDEX).parquet(f"{path}/index"), keys), "hits")
-    docs = stored(spark, path, width, with_ids=True)
-    at = hits.select("shard", F.explode(F.sequence("ord", F.col("ord") + F.col("docs") - 1)).alias("ord"))
-    return docs.join(at, ["shard", "ord"]).select(F.nullif("key", F.lit(NULL_KEY)).alias("key"), "ids")
+    named = {r[0] for r in hits.select(F.explode(F.sequence("shard", "last"))).distinct().collect()}  # as many as files to open
+    docs = stored(spark, path, width, with_ids=True, shards=named)
+    return docs.join(hits.select("key"), "key").select(F.nullif("key", F.lit(NULL_KEY)).alias("key"), "ids")
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2, path: str | None = None) -> DataFrame:
     """``(id, start, n_tokens, crc)`` of every document from the files, found through the index by its key.
 
-    ``start`` counts the ids of all documents before it. Rows with the same id, or none, come one after the other. An empty table
-    writes no shard and gives no rows.
+    ``start`` counts the ids of all documents before it, by the place that the index has for its key. Rows with the same id, or none,
+    come one after the other. An empty table writes no shard and gives no rows.
     """
     path, back, index = write(docs, path, tokenizer, id_col, text_col, width)
-    hits = lookup(index, docs.select(F.col(id_col).cast("long").alias("key")))
-    at = hits.select("shard", F.explode(F.sequence("ord", F.col("ord") + F.col("docs") - 1)).alias("ord"))
+    hits = lookup(index, docs.select(F.col(id_col).cast("long").alias("key"))).select("key", F.struct("shard", "ord").alias("first"), F.col("at").alias("indexed"))
     per = back.groupBy("shard").agg(F.sum("n").alias("k"))  # one row per shard
     per = per.select("shard", F.coalesce(F.sum("k").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    out = back.join(at, ["shard", "ord"]).join(per, "shard")
-    return out.select(F.nullif("key", F.lit(NULL_KEY)).alias("id"), (F.col("before") + F.col("at")).alias("start"),
-                      F.col("n").alias("n_tokens"), F.col("crc"))
+    out = back.join(hits, "key").join(per, "shard")
+    at = F.when(F.struct("shard", "ord") == F.col("first"), F.col("indexed")).otherwise(F.col("at"))  # further documents of a key follow its first
+    return out.select(F.nullif("key", F.lit(NULL_KEY)).alias("id"), (F.col("before") + at).alias("start"), F.col("n").alias("n_tokens"), F.col("crc"))

@@ -62,6 +62,34 @@ def test_keyed_reading(spark, tmp_path):
     assert got == {k: ids(f"text number {k // 7} of many") + [0] for k in (0, 7, 3493)}
 
 
+def test_reading_opens_only_the_shards_that_the_index_names(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"text {i} of many") for i in range(400)], "doc_id long, text string")
+    path, back, index = T.write(d, str(tmp_path / "ids"), PATH)
+    everywhere = {r["shard"]: r["key"] for r in back.select("shard", "key").collect()}
+    assert len(everywhere) > 3
+    one = min(everywhere)
+    (hit,) = T.lookup(index, spark.createDataFrame([(everywhere[one],)], "key long")).collect()
+    assert (hit["shard"], hit["last"], hit["docs"]) == (one, one, 1)
+    assert len(T.shard_paths(spark, path, {one})) == 1
+    for f in (tmp_path / "ids" / "shards").glob("part-*"):  # any other shard would stop the read
+        if int(f.name.split("-")[1]) != one:
+            f.write_bytes(b"broken" * 9)
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    got = T.read(spark, path, spark.createDataFrame([(everywhere[one],), (-5,)], "key long")).collect()
+    assert [(r["key"], r["ids"]) for r in got] == [(everywhere[one], ids(f"text {everywhere[one]} of many") + [0])]
+
+
+def test_rows_without_an_id_fill_several_shards(spark, tmp_path):
+    d = spark.createDataFrame([(None if i % 2 else i, f"text {i} of {i * i}") for i in range(2000)], "doc_id long, text string")
+    path = str(tmp_path / "ids")
+    got = sorted(((r["id"] is not None, r["id"]), r["start"], r["n_tokens"]) for r in T.digests(d, PATH, path=path).collect())
+    starts = sorted((s, n) for _, s, n in got)
+    assert [s for s, _ in starts] == list(np.cumsum([0] + [n for _, n in starts[:-1]])) and len(got) == 2000
+    assert T.stored(spark, path).where(f"key = {T.NULL_KEY}").select("shard").distinct().count() > 1
+    got = T.read(spark, path, spark.createDataFrame([(None,), (8,)], "key long")).collect()
+    assert sorted(r["ids"] for r in got) == sorted(ids(f"text {i} of {i * i}") + [0] for i in range(2000) if i % 2 or i == 8)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_hash_is_minimal_and_perfect(n):
     k = np.random.default_rng(n).choice(1 << 40, n, replace=False).astype(np.int64)
