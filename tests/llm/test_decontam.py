@@ -43,12 +43,16 @@ def test_equals_brute_force(spark):
     assert run(spark, docs, items) == brute(docs, items)
 
 
-def test_blocks_of_windows_give_the_same(spark, monkeypatch):
-    docs, items = [(i, f"{i} {PROSE} {PROSE}") for i in range(5)], [(1, PROSE), (2, "quick brown fox"), (3, "not there at all")]
-    want = run(spark, docs, items)
-    monkeypatch.setattr(D, "WINDOWS_AT_ONCE", 3)
-    monkeypatch.setattr(D, "SHINGLES_AT_ONCE", 3)
-    assert run(spark, docs, items) == want == brute(docs, items)
+def test_few_slots_and_many_windows_give_the_same(spark, monkeypatch):
+    """Also with slots that let everything through, and far more windows than documents."""
+    rnd = random.Random(6)
+    vocab = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.choice((1, 2, 3, 12, 30))))) for i in range(400)]
+    docs = [(i, f"{i} " + " ".join(rnd.choice(vocab) for _ in range(30)) + " " + items[i * 7][1]) for i in range(40)]
+    want = brute(docs, items)
+    for slots in (1, 7, 1 << 22):
+        monkeypatch.setattr(D, "SLOTS", slots)
+        assert run(spark, docs, items) == want
 
 
 def test_clean_and_empty_tables(spark):
