@@ -117,21 +117,23 @@ def takes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
 
 
 def amounts(docs: DataFrame, **how) -> DataFrame:
-    """``(id, size, n, target, taken)`` for each row of ``docs``."""
+    """``(id, size, n, target, taken, first_slot)`` for each row of ``docs``; the slot in the mix at which it comes first, null if never."""
     m, d = takes(docs, **how)
-    m = m.groupBy(F.col("source").alias("_s"), F.col("a").alias("_a")).agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    m = m.groupBy(F.col("source").alias("_s"), F.col("a").alias("_a")).agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.min("slot").alias("first_slot"))
     out = d.join(m, d["source"].eqNullSafe(m["_s"]) & (F.col("a") == F.col("_a")) & (F.col("size") > 0), "left")
-    return out.select("id", "size", "n", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("id", "size", "n", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", n_chars: str | None = "n_chars", **how) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", n_chars: str | None = "n_chars", slot: str | None = None,
+          **how) -> DataFrame:
     """The documents of the mix, one row for each pass that takes one: the whole text, or the words taken of it.
 
-    Rows that share id, text and source are taken as often as all of them, with the other columns of one of them.
+    With ``slot`` a column of that name tells at which slot of the schedule a row comes; in its order any stretch of the mix holds all
+    sources nearly in proportion. Rows that share id, text and source are taken as often as all of them, with the other columns of one of them.
     """
     m, _ = takes(docs, id_col, text, source, **how)
     i, k, t, f = (hidden(docs, x) for x in ("_mix_id", "_mix_mark", "_takes", "_flat"))
-    m = m.groupBy(F.col("id").alias(i), F.col("mark").alias(k)).agg(F.collect_list(F.struct("pass", "first", "last", "size")).alias(t))
+    m = m.groupBy(F.col("id").alias(i), F.col("mark").alias(k)).agg(F.collect_list(F.struct("pass", "first", "last", "size", "slot")).alias(t))
     own = docs.withColumn(f, F.xxhash64(text, source)).dropDuplicates([id_col, f])
     out = own.join(m, own[id_col].eqNullSafe(m[i]) & (own[f] == m[k])).withColumn(t, F.explode(t))
     whole = (F.col(f"{t}.first") == 0) & (F.col(f"{t}.last") == F.col(f"{t}.size"))
@@ -140,4 +142,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     out = out.withColumn(text, F.when(whole, F.col(text)).otherwise(part))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.when(whole, F.col(n_chars)).otherwise(F.length(text)).cast(docs.schema[n_chars].dataType))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns, *([F.col(f"{t}.slot").alias(slot)] if slot else []))
+
+
+def write_mixed(docs: DataFrame, path: str, **how) -> None:
+    """Write the mix in the order of its slots: files in order, rows in order within each, and all sources in every file."""
+    slot = hidden(docs, "_slot")
+    m = mixed(docs, slot=slot, **how)
+    m.repartitionByRange(F.col(slot)).sortWithinPartitions(slot).drop(slot).write.parquet(path)

@@ -3,7 +3,8 @@
 Each document gets word and line counts and a few ratios in thousandths. Per language and source the ratios are gathered in
 quantile sketches: counts of log-linear buckets, whose bounds depend on the value alone. Two sketches merge by adding counts, so
 the sketch of a language is the sum over its sources, the result does not depend on the order of rows or on lost tasks, and a
-hot source is combined map-side. The fences of a group come from its quartiles and are joined back to the documents.
+hot source is combined map-side. The fences of a group come from the quartiles of its sketch, merged with those of its language and of all
+documents at a small weight, and are joined back to the documents.
 Built-in functions only.
 """
 
@@ -22,8 +23,8 @@ WINDOW = 5
 RATIOS = {"chars_per_word": 250, "symbols_per_word": 50, "dup_lines_share": 100}
 #: A ratio beyond the upper quartile by so many spreads is out.
 SPREADS = 6
-#: Groups with fewer documents use the sketch of their language, or of all documents.
-MIN_GROUP = 50
+#: A group's sketch is merged with its language's, and that with the one of all documents, each weighing as many documents.
+PRIOR = 50
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -81,30 +82,36 @@ def base_failed(words: Column, repeats: Column) -> Column:
 
 
 def fences(rows: DataFrame) -> DataFrame:
-    """Upper fences from ``rows(lang, source, <ratios>)``: one row per group, with the group's own or a merged sketch.
+    """Upper fences from ``rows(lang, source, <ratios>)``: one row per group, from its sketch merged with those of its language and of all.
 
-    A null language or source is a group of its own.
+    The others weigh little beside a large group and much beside a small one, so no number of documents turns a fence over. A null
+    language or source is a group of its own.
     """
     ratio = F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), F.col(k).alias("v")) for k in RATIOS))).alias("r")
     sketch = saved(rows.select("lang", "source", ratio).groupBy("lang", "source", "r.ratio", bucket(F.col("r.v")).alias("b"))
                    .agg(F.count(F.lit(1)).alias("n")), "sketches")
 
-    def quartiles(*keys):
-        s = sketch.groupBy(*keys, "ratio", "b").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*keys, "ratio")
-        s = s.withColumns({"cum": F.sum("n").over(w.orderBy("b")), "all": F.sum("n").over(w)})
-        return s.groupBy(*keys, "ratio").agg(
-            F.max("all").alias("docs"), F.min(F.when(F.col("cum") * 4 >= F.col("all"), F.col("b"))).alias("q1"),
-            F.min(F.when(F.col("cum") * 4 >= F.col("all") * 3, F.col("b"))).alias("q3"))
-
-    level = [quartiles("lang", "source"), quartiles("lang"), quartiles()]
-    own, by_lang, every = (x.select(*(c for c in x.columns if c in ("lang", "source")), "ratio", F.struct("docs", "q1", "q3").alias(f"s{i}"))
-                           for i, x in enumerate(level))
-    x = own.alias("o").join(by_lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.ratio") == F.col("l.ratio")))
-    x = x.join(every.alias("e"), F.col("o.ratio") == F.col("e.ratio")).select("o.lang", "o.source", "o.ratio", "s0", "s1", "s2")
-    s = F.when(F.col("s0.docs") >= MIN_GROUP, F.col("s0")).when(F.col("s1.docs") >= MIN_GROUP, F.col("s1")).otherwise(F.col("s2"))
+    dec = "decimal(38,0)"
+    big = lambda c: F.col(c).cast("decimal(18,0)")
+    groups = sketch.select("lang", "source", "ratio").distinct()
+    by_lang = sketch.groupBy("lang", "ratio", "b").agg(F.sum("n").alias("n"))
+    every = sketch.groupBy("ratio", "b").agg(F.sum("n").alias("n"))
+    totals = by_lang.groupBy(F.col("lang").alias("_l"), F.col("ratio").alias("_r")).agg(F.sum("n").alias("in_lang"))
+    totals = totals.join(every.groupBy(F.col("ratio").alias("_a")).agg(F.sum("n").alias("in_all")), F.col("_r") == F.col("_a")).drop("_a")
+    of = lambda d: d.join(totals, d["lang"].eqNullSafe(totals["_l"]) & (d["ratio"] == totals["_r"])).drop("_l", "_r")
+    # weights in whole numbers: own + PRIOR * (language + PRIOR * all / all's documents) / (language's documents + PRIOR), times both divisors
+    own = of(sketch).select("lang", "source", "ratio", "b", (big("n").cast(dec) * ((F.col("in_lang") + PRIOR) * F.col("in_all")).cast("decimal(19,0)")).cast(dec).alias("w"))
+    g, lg, ev = groups.alias("g"), by_lang.alias("l"), every.alias("e")
+    mid = of(g.join(lg, F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.ratio") == F.col("l.ratio"))).select("g.lang", "g.source", "g.ratio", "l.b", "l.n"))
+    mid = mid.select("lang", "source", "ratio", "b", (F.lit(PRIOR) * big("n") * big("in_all")).cast(dec).alias("w"))
+    far = g.join(ev, F.col("g.ratio") == F.col("e.ratio")).select("g.lang", "g.source", "g.ratio", "e.b", (F.lit(PRIOR * PRIOR) * F.col("e.n")).cast(dec).alias("w"))
+    m = own.unionByName(mid).unionByName(far).groupBy("lang", "source", "ratio", "b").agg(F.sum("w").cast(dec).alias("w"))
+    w = Window.partitionBy("lang", "source", "ratio")
+    m = m.withColumns({"cum": F.sum("w").over(w.orderBy("b")).cast("decimal(37,0)"), "whole": F.sum("w").over(w).cast("decimal(37,0)")})
+    x = m.groupBy("lang", "source", "ratio").agg(F.min(F.when(F.col("cum") * 4 >= F.col("whole"), F.col("b"))).alias("q1"),
+                                                 F.min(F.when(F.col("cum") * 4 >= F.col("whole") * 3, F.col("b"))).alias("q3"))
     least = F.element_at(F.create_map(*(F.lit(v) for kv in RATIOS.items() for v in kv)), F.col("ratio"))
-    fence = s["q3"] + SPREADS * F.greatest(s["q3"] - s["q1"], least)
+    fence = F.col("q3") + SPREADS * F.greatest(F.col("q3") - F.col("q1"), least)
     return x.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == k, fence)).alias(f"max_{k}") for k in RATIOS))
 
 

@@ -24,12 +24,15 @@ r AS (SELECT c.*, coalesce(rep.n_repeat_words, 0) AS n_repeat_words, (word_chars
   FROM c LEFT JOIN rep USING (rid)),
 u AS (SELECT lang, source, ratio, {_BUCKET} AS b FROM (
   {" UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {k}::BIGINT AS v FROM r" for k in _NAMES)})),
-q0 AS (SELECT lang, source, ratio, count(*) AS docs, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM u GROUP BY ALL),
-q1 AS (SELECT lang, ratio, count(*) AS docs, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM u GROUP BY ALL),
-q2 AS (SELECT ratio, count(*) AS docs, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM u GROUP BY ALL),
-p AS (SELECT q0.lang, q0.source, q0.ratio, CASE WHEN q0.docs >= {Q.MIN_GROUP} THEN q0.q1 WHEN q1.docs >= {Q.MIN_GROUP} THEN q1.q1 ELSE q2.q1 END AS lo,
-  CASE WHEN q0.docs >= {Q.MIN_GROUP} THEN q0.q3 WHEN q1.docs >= {Q.MIN_GROUP} THEN q1.q3 ELSE q2.q3 END AS hi
-  FROM q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.ratio = q1.ratio JOIN q2 ON q0.ratio = q2.ratio),
+s AS (SELECT lang, source, ratio, b, count(*) AS n FROM u GROUP BY ALL), gr AS (SELECT DISTINCT lang, source, ratio FROM s),
+sl AS (SELECT lang, ratio, b, sum(n) AS n FROM s GROUP BY ALL), sa AS (SELECT ratio, b, sum(n) AS n FROM s GROUP BY ALL),
+tl AS (SELECT lang, ratio, sum(n)::HUGEINT AS in_lang FROM sl GROUP BY ALL), ta AS (SELECT ratio, sum(n)::HUGEINT AS in_all FROM sa GROUP BY ALL),
+m AS (SELECT lang, source, ratio, b, sum(w) AS w FROM (
+  SELECT s.lang, s.source, s.ratio, s.b, s.n * (in_lang + {Q.PRIOR}) * in_all AS w FROM s JOIN tl ON tl.lang IS NOT DISTINCT FROM s.lang AND tl.ratio = s.ratio JOIN ta ON ta.ratio = s.ratio
+  UNION ALL SELECT gr.lang, gr.source, gr.ratio, sl.b, {Q.PRIOR} * sl.n * in_all FROM gr JOIN sl ON sl.lang IS NOT DISTINCT FROM gr.lang AND sl.ratio = gr.ratio JOIN ta ON ta.ratio = gr.ratio
+  UNION ALL SELECT gr.lang, gr.source, gr.ratio, sa.b, {Q.PRIOR * Q.PRIOR} * sa.n FROM gr JOIN sa ON sa.ratio = gr.ratio) GROUP BY ALL),
+cu AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, ratio ORDER BY b) AS cum, sum(w) OVER (PARTITION BY lang, source, ratio) AS whole FROM m),
+p AS (SELECT lang, source, ratio, min(b) FILTER (cum * 4 >= whole) AS lo, min(b) FILTER (cum * 4 >= whole * 3) AS hi FROM cu GROUP BY ALL),
 f AS (SELECT lang, source, {", ".join(f"max(CASE WHEN ratio = '{k}' THEN hi + {Q.SPREADS} * greatest(hi - lo, {v}) END) AS max_{k}" for k, v in Q.RATIOS.items())}
   FROM p GROUP BY lang, source)
 SELECT r.doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

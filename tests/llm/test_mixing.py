@@ -63,3 +63,20 @@ def test_mixed_rows_hold_the_words_taken(spark):
     assert words == taken[6]
     assert M.amounts(odd(spark)).count() == len(odd_rows())
     assert M.mixed(empty(spark)).count() == 0 and M.amounts(empty(spark)).count() == 0
+
+
+def test_mix_is_written_in_the_order_of_its_slots(spark, tmp_path):
+    d = spark.createDataFrame([(i, " ".join(["w"] * 40), "en", "abc"[i % 3], 0) for i in range(600)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = M.mixed(d, slot="at", block=16).orderBy("at").collect()
+    first = {r["id"]: r["first_slot"] for r in M.amounts(d, block=16).collect()}
+    seen = set()
+    for r in rows:
+        if r["doc_id"] not in seen:
+            seen.add(r["doc_id"])
+            assert r["at"] == first[r["doc_id"]]
+    share = {s: sum(r["source"] == s for r in rows) / len(rows) for s in "abc"}
+    for k in range(60, len(rows), 60):  # every stretch holds the sources in proportion
+        assert all(abs(sum(r["source"] == s for r in rows[k - 60:k]) / 60 - share[s]) < 0.15 for s in "abc")
+    M.write_mixed(d, str(tmp_path / "mix"), block=16)
+    back = [r["doc_id"] for f in sorted((tmp_path / "mix").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]
+    assert sorted(back) == sorted(r["doc_id"] for r in rows)

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from hazegrid.llm import quality as Q
 from tests.llm.helpers import PROSE, clashing, empty, odd, odd_rows
 
@@ -40,6 +42,18 @@ def test_fences_follow_their_group(spark):
     assert bad == {9999}
 
 
+def test_one_more_document_moves_a_fence_a_little(spark):
+    """A group's fence goes over from its language's to its own without a jump."""
+    sym = " ".join(w + " #" for w in PROSE.split())
+    last = None
+    for n in (5, 20, 49, 50, 51, 80, 300):
+        rows = [(f"{PROSE} {i}", "en", "plain") for i in range(400)] + [(f"{sym} {i}", "en", "code") for i in range(n)]
+        d, names = Q.measured(spark.createDataFrame(rows, "text string, lang string, source string"))
+        f = {r["source"]: r["max_symbols_per_word"] for r in Q.fences(d.select("lang", "source", *(F.col(names[k]).alias(k) for k in Q.RATIOS))).collect()}
+        assert n not in (50, 51) or f["code"] == last
+        last = f["code"]
+
+
 def test_bucket_keeps_five_digits(spark):
     got = [r[0] for r in spark.range(1000).select(Q.bucket(__import__("pyspark").sql.functions.col("id"))).collect()]
     assert all(g <= v and (v - g) * 16 <= v for v, g in enumerate(got)) and len(set(got)) < 120
