@@ -142,8 +142,15 @@ def test_cooldown_keeps_null_keys(spark):
     assert got == {(None, 0), (None, 40), (1, 0), (1, 31)}
 
 
-def test_slow_kalman_warms_up_long_enough_or_raises(spark):
-    d = spark_frame(spark, frame(n=50))
-    assert folds.kalman(d, ["k"], "ts", "id", "v", q=1e-6).count() == 50
-    with pytest.raises(ValueError):
-        folds.kalman(d, ["k"], "ts", "id", "v", q=1e-12)
+def test_slow_kalman_needs_no_warm_up(spark):
+    """However slowly a filter forgets, blocks go on from the exact value before them."""
+    pdf = frame(n=50)
+    for q in (1e-6, 1e-12):
+        got = {r["id"]: r["x"] for r in folds.kalman(spark_frame(spark, pdf), ["k"], "ts", "id", "v", q=q, block=8).collect()}
+        for _, g in pdf.sort_values(["k", "t", "id"]).groupby("k"):
+            x, p = g["v"].iloc[0], 4.0
+            for i, v in zip(g["id"], g["v"]):
+                prior = p + q
+                k = prior / (prior + 4.0)
+                x, p = x + k * (v - x), (1 - k) * prior
+                assert got[i] == pytest.approx(x, rel=1e-6)
