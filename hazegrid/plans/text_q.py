@@ -42,12 +42,6 @@ def _(t):
     return reports.mark_handled(t.v_anomalies, joins.spatiotemporal(t.v_reports, t.v_anomalies, t.v_zones)).select("id", "handled")
 
 
-@query("txt_embed")
-def _(t):
-    e = reports.embed(t.v_reports)
-    return e.select("report_id", F.size("embedding").alias("dims"), F.element_at("embedding", 1).alias("first"))
-
-
 @query("txt_similar", f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {WANTED}),6) AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10")
 def _(t):
     return reports.similar(t.embeddings, "vec_id", "embedding", WANTED, 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
@@ -90,16 +84,17 @@ def _(t):
     return reports.read(t.v_reports).select("report_id", F.array_join("entities", ",").alias("entities"), "urgency")
 
 
-_BITS = "1 - 2*((('0x' || substr(md5('0:' || w), 1, 8))::BIGINT >> b) % 2)"
+#: Component b of a word by the bit b of the two digests; some components of the mean are compared.
+_BIT = "2 * ((('0x' || substr(h, b // 4 + 1, 1))::INT >> (3 - b % 4)) % 2) - 1"
 
 
-@query("txt_embed_hashed", rf"""WITH c AS (SELECT report_id, {CLEAN} AS clean FROM v_reports), w AS (SELECT report_id, unnest(string_split(regexp_replace(trim(lower(clean), ' '), '\s+', ' ', 'g'),' ')) AS w FROM c),
-n AS (SELECT report_id, count(*) FILTER (w <> '') AS n FROM w GROUP BY 1), b AS (SELECT report_id, b, sum({_BITS}) AS s FROM w, range(32) r(b) WHERE w <> '' GROUP BY 1,2)
-SELECT n.report_id, CAST(32 AS INTEGER) AS dims, round(coalesce(max(s) FILTER (b=0),0)/greatest(max(n),1),6) AS first, round(coalesce(max(s) FILTER (b=31),0)/greatest(max(n),1),6) AS last, round(coalesce(sum(abs(s)),0)/greatest(max(n),1),6) AS size FROM n LEFT JOIN b USING (report_id) GROUP BY 1""")
+@query("txt_embed", rf"""WITH c AS (SELECT report_id, {CLEAN} AS clean FROM v_reports), w AS (SELECT report_id, unnest(string_split(regexp_replace(trim(lower(clean), ' '), '\s+', ' ', 'g'),' ')) AS w FROM c),
+n AS (SELECT report_id, count(*) FILTER (w <> '') AS n FROM w GROUP BY 1), d AS (SELECT report_id, w, count(*) AS k, sha256('0:' || w) || sha256('1:' || w) AS h FROM w WHERE w <> '' GROUP BY ALL),
+s AS (SELECT report_id, b, sum(k * ({_BIT})) AS s FROM d, (VALUES (0), (1), (31), (100), (255), (256), (299)) v(b) GROUP BY 1,2)
+SELECT n.report_id, CAST(300 AS INTEGER) AS dims, {', '.join(f"round(coalesce(max(s) FILTER (b={b}),0)/greatest(max(n),1),6) AS c{b}" for b in (0, 1, 31, 100, 255, 256, 299))} FROM n LEFT JOIN s USING (report_id) GROUP BY 1""")
 def _(t):
     e = F.col("embedding")
-    return reports.embed_hashed(t.v_reports, 32).select("report_id", F.size(e).alias("dims"), F.round(F.get(e, F.lit(0)), 6).alias("first"), F.round(F.get(e, F.lit(31)), 6).alias("last"),
-                                                        F.round(F.aggregate(e, F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("size"))
+    return reports.embed(t.v_reports).select("report_id", F.size(e).alias("dims"), *[F.round(F.get(e, F.lit(b)), 6).alias(f"c{b}") for b in (0, 1, 31, 100, 255, 256, 299)])
 
 
 _ENDINGS = "|".join(reports.FRENCH_ENDINGS)

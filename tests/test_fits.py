@@ -85,7 +85,7 @@ def test_inverted_lists_find_the_nearest(spark, monkeypatch):
 
 def test_hashed_vectors_are_fixed_and_mean_something(spark):
     d = spark.createDataFrame([(1, "Fumée noire au marché"), (2, "fumée NOIRE au  marché"), (3, "odeur de gaz"), (4, ""), (5, None), (6, "fumée noire au port")], "report_id int, texte string")
-    v = {r["report_id"]: np.array(r["embedding"]) if r["embedding"] else None for r in reports.embed_hashed(d, 70).collect()}
+    v = {r["report_id"]: np.array(r["embedding"]) if r["embedding"] else None for r in reports.embed(d, 70).collect()}
     assert all(len(x) == 70 for k, x in v.items() if x is not None) and (v[1] == v[2]).all() and not v[4].any()
     cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
     assert cos(v[1], v[6]) > 0.6 > 0.4 > cos(v[1], v[3])
