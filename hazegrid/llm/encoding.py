@@ -12,9 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most parts whose ids a worker remembers (some 60 bytes each); beyond that, those met longest ago are forgotten.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Bytes of text that are taken apart at once.
-AT_ONCE = 1 << 23
+AT_ONCE = 1 << 22
 
 
 class _Known:
