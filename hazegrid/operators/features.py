@@ -14,7 +14,7 @@ from ..functions import timefeat as tf
 from ..functions.aqi import POLLUTANTS
 from ..session import cut
 from . import joins, scan
-from .panes import Rolling, merged, part_of, std
+from .panes import Rolling, framed, part_of, std
 from .windows import full, hour_lags, hourly
 
 # fixed values: hour lags and rolling windows of the feature vector
@@ -48,16 +48,17 @@ def rolling(readings: DataFrame, anchors: DataFrame) -> DataFrame:
     hour_no = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / 3600).cast("long")
     z = zone_hours(readings).withColumn("_h", hour_no("hour"))
     u = anchors.select("zone_id", "t", hour_no("t").alias("_h")).unionByName(z.drop("hour"), allowMissingColumns=True)
+    u = u.withColumn("centre", F.avg("part.mean").over(W.partitionBy("zone_id")))
     w = W.partitionBy("zone_id").orderBy("_h")
     out = {}
     for k in MEAN_HOURS:
         f = w.rangeBetween(-k, -1)
-        n = F.sum("part.n").over(f)
-        out[f"pm25_rolling_mean_{label(k)}"] = F.when(n > 0, F.sum(F.col("part.n") * F.col("part.mean")).over(f) / n)
-        if k in STD_HOURS:  # deviations are merged, not taken as a difference of large sums
-            out[f"pm25_rolling_std_{k}h"] = std(merged(F.collect_list("part").over(f)))
+        part = framed(f)
+        out[f"pm25_rolling_mean_{label(k)}"] = part["mean"]
+        if k in STD_HOURS:
+            out[f"pm25_rolling_std_{k}h"] = std(part)
         if k in MIN_MAX_HOURS:
-            out[f"pm25_rolling_min_{k}h"], out[f"pm25_rolling_max_{k}h"] = F.min("part.lo").over(f), F.max("part.hi").over(f)
+            out[f"pm25_rolling_min_{k}h"], out[f"pm25_rolling_max_{k}h"] = part["lo"], part["hi"]
         if k in PM10_MEAN_HOURS:
             n10 = F.sum("n10").over(f)
             out[f"pm10_rolling_mean_{k}h"] = F.when(n10 > 0, F.sum(F.col("n10") * F.col("mean10")).over(f) / n10)

@@ -41,6 +41,20 @@ def part_of(value: Column) -> Column:
                     F.min(value).alias("lo"), F.max(value).alias("hi")).cast(PART)
 
 
+def framed(frame) -> Column:
+    """Partial statistics of the rows ``part`` in a window frame.
+
+    Means are summed relative to ``centre``, a value near all of them, so nothing is lost to their common size.
+    """
+    p, c = F.col("part"), F.col("centre")
+    d = p["mean"] - c
+    n = F.coalesce(F.sum(p["n"]).over(frame), F.lit(0))
+    s1, s2 = F.sum(p["n"] * d).over(frame), F.sum(p["m2"] + p["n"] * d * d).over(frame)
+    some = F.nullif(n, F.lit(0))
+    return F.struct(n.alias("n"), (c + s1 / some).alias("mean"), F.greatest(s2 - s1 * s1 / some, F.lit(0.0)).alias("m2"),
+                    F.min(p["lo"]).over(frame).alias("lo"), F.max(p["hi"]).over(frame).alias("hi")).cast(PART)
+
+
 def std(part: Column) -> Column:
     return F.when(part["n"] > 1, F.sqrt(part["m2"] / (part["n"] - 1)))
 
@@ -112,8 +126,8 @@ class Rolling:
         a = a.withColumn("field", F.explode(F.array(*[F.lit(f) for f in self.fields])))
         u = a.unionByName(self.hours, allowMissingColumns=True)
         w = W.partitionBy(*self.keys, "field").orderBy("hour")
-        mid = u.select(*self.keys, "t", "field", *[F.collect_list("part").over(w.rangeBetween(-(k - 1), -1)).alias(f"m{k}") if k <= 24 else
-                                                   self._sums(w.rangeBetween(-(k - 1), -1)).alias(f"m{k}") for k in every if k > 1])
+        u = u.withColumn("centre", F.avg("part.mean").over(W.partitionBy(*self.keys, "field")))
+        mid = u.select(*self.keys, "t", "field", *[F.array(framed(w.rangeBetween(-(k - 1), -1))).alias(f"m{k}") for k in every if k > 1])
         mid = mid.where(F.col("t").isNotNull())
         edge = edge.select(*[F.col(c).alias(f"_{c}") for c in (*self.keys, "t", "field")], "edges")
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*self.keys, "t", "field")]
@@ -126,14 +140,6 @@ class Rolling:
 
         return j.select(*self.keys, "t", "field", F.create_map(*[x for k in every for x in (F.lit(k), merged(parts(k)))]).alias("spans"))
 
-    @staticmethod
-    def _sums(frame) -> Column:
-        """Long spans are asked for means, least and largest values only: one part without deviations."""
-        n = F.sum("part.n").over(frame)
-        mean = F.sum(F.col("part.n") * F.col("part.mean")).over(frame) / F.nullif(n, F.lit(0))
-        return F.array(F.struct(F.coalesce(n, F.lit(0)).alias("n"), mean.alias("mean"), F.lit(None).cast("double").alias("m2"),
-                                F.min("part.lo").over(frame).alias("lo"), F.max("part.hi").over(frame).alias("hi")).cast(PART))
-
     def quantiles(self, anchors: DataFrame, field: str, wanted: dict[str, tuple[int, float]]) -> DataFrame:
         """``(*keys, t, *names)``: exact percentiles of ``field``; ``wanted`` maps a name to span and share. Anchors without values are left out."""
         spans = sorted({k for k, _ in wanted.values()})
