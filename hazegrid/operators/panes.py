@@ -3,7 +3,7 @@
 A window ``[t - k h, t)`` is put together from whole hours, whole panes of the two hours that its ends fall into, and the rows of
 the two panes that its ends fall into. Readings are scanned twice: once into panes (value counts, so that statistics and exact
 percentiles come from the same small table), once for the rows of the end panes. Statistics are kept as number, mean and sum of squared
-deviations and merged by Chan's formula, so a large mean costs no digits of the deviation.
+deviations; they are merged by Chan's formula, whole hours by sums relative to a centre, so a large mean costs no digits of the deviation.
 """
 
 from __future__ import annotations
