@@ -6,7 +6,7 @@ from ..operators import messages
 from ..session import shared_dir
 from ..streaming import jobs, run, state
 from ..streaming.keyed import KeyedTable
-from ..streaming.watchdog import silence_stream
+from ..streaming.watchdog import STATE, silence_stream
 from . import views
 from .registry import query
 from .views import now
@@ -117,7 +117,7 @@ SELECT sensor_id, ts AS at, 'active' AS status FROM e WHERE prev IS NULL OR ts -
 UNION ALL SELECT sensor_id, ts + INTERVAL 30 HOUR, 'dropout' FROM e WHERE ts + INTERVAL 30 HOUR <= until""")
 def _(t):
     s = silence_stream(stream(t, "v_readings").select("sensor_id", "ts"), 600, 1800)
-    return ntz(table(t, s, "silence").select("sensor_id", F.timestamp_micros("at_us").alias("at"), "status"), "at")
+    return ntz(table(t, s, "silence", conf=STATE).select("sensor_id", F.timestamp_micros("at_us").alias("at"), "status"), "at")
 
 
 @query("st_touch_sensor", """SELECT s.sensor_id, coalesce(b.seen, s.last_seen) AS last_seen, CASE WHEN b.seen IS NOT NULL THEN 'active' ELSE s.status END AS status, b.battery FROM v_sensors s

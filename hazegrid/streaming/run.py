@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
@@ -19,11 +22,25 @@ def files(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", per
             .option("maxFilesPerTrigger", per_trigger).load(folder))
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: Mapping[str, str] | None):
+    """Session settings while a stream starts; a stream keeps those it has started with."""
+    old = {k: spark.conf.get(k, None) for k in conf or ()}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def to_table(stream: DataFrame, name: str, path: str | None = None, partition: str | tuple[str, ...] | None = None, every: str | None = None,
-             checkpoint: str | None = None):
+             checkpoint: str | None = None, conf: Mapping[str, str] | None = None):
     """Append to a parquet table. Without ``every`` the input at hand is processed and the stream ends.
 
     A job that may be restarted gives both ``path`` and ``checkpoint``: it then goes on where it stopped, with its keyed state.
+    ``conf`` are settings of this stream only.
     Returns the table's path and the running query (``None`` when it has ended).
     """
     spark = stream.sparkSession
@@ -32,9 +49,11 @@ def to_table(stream: DataFrame, name: str, path: str | None = None, partition: s
     path = path or shared_dir(spark, name)
     w = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint or shared_dir(spark, f"{name}-checkpoint"))
     w = w.partitionBy(*((partition,) if isinstance(partition, str) else partition)) if partition else w
+    with settings(spark, conf):
+        q = (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start(path)
     if every:
-        return path, w.trigger(processingTime=every).start(path)
-    w.trigger(availableNow=True).start(path).awaitTermination()
+        return path, q
+    q.awaitTermination()
     return path, None
 
 

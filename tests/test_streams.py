@@ -9,7 +9,7 @@ from hazegrid.operators import folds, messages, windows
 from hazegrid.plans.views import Tables
 from hazegrid.streaming import jobs, run, state
 from hazegrid.streaming.keyed import KeyedTable
-from hazegrid.streaming.watchdog import silence_stream
+from hazegrid.streaming.watchdog import STATE, silence_stream
 
 DIR = "/root/testdata/sf0.01"
 
@@ -166,6 +166,25 @@ def test_watchdog_over_batches_with_late_rows_and_a_restart(spark, tmp_path):
     assert got == sorted((k, t, s) for k, ts in times.items() for t, s in changes(ts, 600, 1800, mark))
 
 
+def test_watchdog_starts_in_a_session_with_another_state_store(spark, tmp_path):
+    """The store it needs is set for its own start, and the session's setting stands again afterwards; rows without a time are left out."""
+    src, (name, ours) = str(tmp_path / "in"), *STATE.items()
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    start, times = 1_704_100_000, {None: [30, 70], **{k: [7 * k, 60, 2000 + k, 9000] for k in range(1, 9)}}
+    rows = [(k, start + t) for k, ts in times.items() for t in ts] + [(3, None)]
+    empty = spark.createDataFrame([], "sensor_id long, t long")
+    spark.createDataFrame(rows, empty.schema).selectExpr("sensor_id", "timestamp_seconds(t) as ts").coalesce(1).write.parquet(src)
+    d = silence_stream(run.files(spark, src, empty.selectExpr("sensor_id", "timestamp_seconds(t) as ts").schema), 10, 60)
+    spark.conf.set(name, other)
+    try:
+        path, _ = run.to_table(d, "silence", str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"), conf=STATE)
+        assert spark.conf.get(name) == other
+    finally:
+        spark.conf.set(name, ours)
+    got = sorted((r["sensor_id"] or 0, r["at_us"] // 1_000_000 - start, r["status"]) for r in spark.read.parquet(path).collect())
+    assert got == sorted((k or 0, t, s) for k, ts in times.items() for t, s in changes(ts, 600, 3600, 8940))
+
+
 def test_state_of_silent_keys_is_forgotten(spark, tmp_path):
     src = str(tmp_path / "in")
     empty = spark.createDataFrame([], "sensor_id string, ts timestamp, seq long")
