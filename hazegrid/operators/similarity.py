@@ -14,36 +14,60 @@ from ..session import cut, spread
 
 # ---- names
 
+#: Names of one side that meet under one trigram in one group of a task.
+BLOCK = 2_000
+
+
+def _blocks(prefix: DataFrame, heavy: DataFrame, mine: str, other: str) -> DataFrame:
+    """Rows of one side under ``(gram, lc, rc)``: a row stands in one block of its own side, beside each block of the other one."""
+    d = prefix.join(F.broadcast(heavy), "gram", "left")
+    of = {c: F.coalesce(c, F.lit(1).cast("long")) for c in ("nl", "nr")}
+    d = d.withColumns({f"{mine}c": F.pmod(F.xxhash64("name"), of[f"n{mine}"]), f"{other}c": F.explode(F.sequence(F.lit(0).cast("long"), of[f"n{other}"] - 1))})
+    return spread(d.drop("nl", "nr"), "gram", "lc", "rc")
+
+
 def name_pairs(left: DataFrame, right: DataFrame, limit: float = 0.3) -> DataFrame:
     """``(left_name, right_name, similarity)`` of all pairs of distinct names of ``left(name)`` and ``right(name)`` whose trigram
     similarity is above ``limit`` (greater than 0).
 
-    Trigrams are ordered by rarity over both tables. Two sets of sizes a and b that are similar enough share at least one trigram among the
-    first ``size - ceil(limit * size) + 1`` of each (prefix filter), sizes differ at most by the factor ``limit``, and what can
-    still follow behind the first shared trigram bounds the intersection; the pairs that pass are compared in full. Names without a letter or
-    digit are similar to none.
+    Trigrams that both tables have are ordered by rarity. Sets of sizes n and m that are similar enough share more than
+    ``limit / (1 + limit) * (n + m)`` of them, so the first one they share stands so far in front on both sides that as many are left from it on
+    (prefix filter, with the least m there is; sizes differ at most by the factor ``limit``). Names meet under the trigrams of their prefixes
+    and are compared there at once: first by what is left behind, then by 64 bits of each set, which bound the shared ones, then in full.
+    A pair comes from its first shared trigram only, so candidates are neither written nor gathered; a trigram that many names
+    have is cut into blocks of both sides. Names without a letter or digit are similar to none.
     """
     both = left.select("name", F.lit(0).alias("side")).union(right.select("name", F.lit(1).alias("side"))).where(F.col("name").isNotNull()).distinct()
-    g = cut(both.select("name", "side", text.trigrams(F.col("name")).alias("grams")).where(F.size("grams") > 0))
-    one = g.select("name", "side", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    rarity = one.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = one.join(rarity, "gram").groupBy("name", "side").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("r"))
-    least = F.ceil(F.col("size") * limit - 1e-9)
-    prefix = ranked.select("name", "side", "size", F.posexplode(F.slice("r", 1, (F.col("size") - least + 1).cast("int"))).alias("pos", "x")).select("name", "side", "size", "pos", "x.gram")
-    a = prefix.where("side = 0").select(F.col("name").alias("left_name"), F.col("size").alias("n"), F.col("pos").alias("i"), "gram")
-    b = prefix.where("side = 1").select(F.col("name").alias("right_name"), F.col("size").alias("m"), F.col("pos").alias("j"), "gram")
-    n, m = F.col("n"), F.col("m")
-    c = a.join(b, "gram").where((m >= limit * n - 1e-9) & (n >= limit * m - 1e-9))
-    # the first shared trigram stands at i and j: at most as many more as are left behind it
-    first = c.groupBy("left_name", "right_name").agg(F.min(F.struct("i", "j", "n", "m")).alias("f")).select("left_name", "right_name", "f.*")
-    most = F.least(n - F.col("i"), m - F.col("j"))
-    pairs = first.where(most >= limit / (1 + limit) * (n + m) - 1e-9).select("left_name", "right_name")
-    gl = g.where("side = 0").select(F.col("name").alias("left_name"), F.col("grams").alias("x"))
-    gr = g.where("side = 1").select(F.col("name").alias("right_name"), F.col("grams").alias("y"))
-    d = pairs.join(gl, "left_name").join(gr, "right_name")
-    shared = F.size(F.array_intersect("x", "y"))
-    s = shared / (F.size("x") + F.size("y") - shared)
-    return d.select("left_name", "right_name", s.alias("similarity")).where(F.col("similarity") > limit)
+    g = both.select("name", "side", text.trigrams(F.col("name")).alias("grams")).where(F.size("grams") > 0)
+    g = cut(g.withColumn("id", F.monotonically_increasing_id()))
+    one = g.select("id", F.explode("grams").alias("gram"), "side")
+    known = one.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("side").alias("a"), F.max("side").alias("b")).where("a < b")
+    known = cut(known.orderBy("df", "gram").select("gram", F.monotonically_increasing_id().alias("rank")))
+    sets = one.join(known, "gram").groupBy("id").agg(F.sort_array(F.collect_list("rank")).alias("x"))
+    sets = g.select("id", "name", "side", F.size("grams").alias("n")).join(sets, "id").drop("id")
+    bits = F.expr("aggregate(x, 0L, (a, v) -> a | shiftleft(1L, cast(pmod(xxhash64(v), 64L) as int)))")
+    sets = cut(sets.withColumn("bits", bits))
+
+    share = limit / (1 + limit)
+    smallest = sets.groupBy((1 - F.col("side")).alias("side")).agg(F.min("n").alias("m"))
+    least = F.ceil(share * (F.col("n") + F.greatest(F.col("m"), F.ceil(F.col("n") * limit - 1e-9))) - 1e-9)
+    rest = F.size("x") - F.greatest(least, F.lit(1)) + 1
+    prefix = sets.join(smallest, "side").withColumn("_to", rest.cast("int")).where("_to > 0")
+    prefix = prefix.select("name", "side", "n", "x", "bits", F.posexplode(F.slice("x", 1, F.col("_to"))).alias("pos", "gram"))
+    heavy = prefix.groupBy("gram").agg(*[F.ceil(F.count_if(F.col("side") == i) / BLOCK).alias(c) for i, c in enumerate(("nl", "nr"))]).where("least(nl, nr) > 0 and greatest(nl, nr) > 1")
+    a, b = (_blocks(prefix.where(F.col("side") == i).drop("side"), heavy, *sides) for i, sides in enumerate((("l", "r"), ("r", "l"))))
+    a = a.select("gram", "lc", "rc", F.col("name").alias("left_name"), "n", F.col("pos").alias("i"), "x", F.col("bits").alias("p"))
+    b = b.select("gram", "lc", "rc", F.col("name").alias("right_name"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("x").alias("y"), F.col("bits").alias("q"))
+
+    n, m, p, q = (F.col(c) for c in "nmpq")
+    need = share * (n + m) - 1e-9
+    may = ((m >= limit * n - 1e-9) & (n >= limit * m - 1e-9) & (F.size("x") - F.col("i") >= need) & (F.size("y") - F.col("j") >= need)
+           & (F.size("x") - F.bit_count(p.bitwiseAND(F.bitwise_not(q))) >= need) & (F.size("y") - F.bit_count(q.bitwiseAND(F.bitwise_not(p))) >= need))
+    both_have = F.array_intersect("x", "y")
+    shared = F.size(both_have)
+    s = shared / (n + m - shared)
+    d = a.join(b, ["gram", "lc", "rc"]).where(F.when(may, (F.get(both_have, F.lit(0)) == F.col("gram")) & (s > limit)).otherwise(False))
+    return d.select("left_name", "right_name", s.alias("similarity"))
 
 
 # ---- vectors

@@ -60,6 +60,18 @@ def test_name_pairs_equal_all_pairs(spark, limit):
     assert {(r["left_name"], r["right_name"]): pytest.approx(r["similarity"]) for r in got} == want
 
 
+def test_numbered_names_are_compared_where_they_meet(spark, monkeypatch):
+    """Names that all have the same words and differ in numbers: no table of candidate pairs, and blocks lose no pair."""
+    monkeypatch.setattr(similarity, "BLOCK", 7, raising=False)
+    left, right = [f"Customer {i:06d}" for i in range(0, 9000, 43)], [f"Cluster {i:06d}" for i in range(0, 900, 11)]
+    d = similarity.name_pairs(*(spark.createDataFrame([(x,) for x in xs], "name string") for xs in (left, right)))
+    plan = d._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate" in x and "left_name" in x]
+    rows = [(r["left_name"], r["right_name"], r["similarity"]) for r in d.collect()]
+    want = {(a, b): v for a in left for b in right if (v := similarity_of(a, b)) > 0.3}
+    assert len(rows) == len(want) > 100 and {(a, b): pytest.approx(v) for a, b, v in rows} == want
+
+
 def test_inverted_lists_find_the_nearest(spark, monkeypatch):
     monkeypatch.setattr(similarity.VectorIndex, "PART", 150)
     monkeypatch.setattr(similarity.VectorIndex, "ASKED", 7)
