@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hazegrid.operators import features, rollup, windows
+from hazegrid.operators import features, reports, rollup, windows
 from hazegrid.plans import models_q
 from hazegrid.plans.views import Tables
 from hazegrid.sources import sinks
@@ -61,3 +61,17 @@ def test_stored_vectors_and_neighbours_of_a_level(spark):
     for r in level.select("zone_id", "t", "pm25_neighbor_mean").collect():
         others = [v for (z, s), v in means.items() if s == r["t"] and z != r["zone_id"] and v is not None]
         assert r["pm25_neighbor_mean"] == (pytest.approx(sum(others) / len(others)) if others else None)
+
+
+def test_texts_are_cleaned_once(spark):
+    """A filter on the urgency does not repeat the cleaning for each phrase and word, and alerts read the texts once."""
+    zones = spark.sql("SELECT 7L AS zone_id, 3 AS niveau, -17.4D AS lon_c, 14.7D AS lat_c, 0.1D AS half")
+    d = spark.sql("SELECT * FROM VALUES (1, 'Une  FUMÉE noire!', -17.4D, 14.7D), (2, 'rien', -17.4D, 14.7D), (3, null, -17.4D, 14.7D), (4, 'incendie', 0D, 0D), (5, 'urgence', null, 1D) AS t(report_id, texte, lon, lat)")
+    high = reports.read(d).where("urgency = 'high'")
+    plan = high._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("^\\p{L}") == 1
+    alerts = reports.citizen_alerts(reports.read(d), zones)
+    assert "regexp_replace" not in alerts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["report_id"], r["zone_id"], r["message"]) for r in alerts.collect()) == [
+        (1, 7, "Signalement citoyen urgent : Une  FUMÉE noire!"), (4, 1, "Signalement citoyen urgent : incendie")]
+    assert {r["report_id"]: (r["clean"], r["urgency"]) for r in reports.read(d).collect()}[3] == (None, "low")
