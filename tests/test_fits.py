@@ -3,8 +3,10 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,26 @@ def test_name_pairs_equal_all_pairs(spark, limit):
     assert {(r["left_name"], r["right_name"]): pytest.approx(r["similarity"]) for r in got} == want
 
 
+def test_word_vectors_take_texts_piece_by_piece():
+    """A batch of many or long texts needs little more than itself; results are those of whole lists of words."""
+    rnd = random.Random(4)
+    line = lambda n: " ".join(f"w{rnd.randrange(3000)}" for _ in range(n))
+    texts = [line(400) for _ in range(1500)] + [line(60_000), None, "", " a  b ", "x" * 100_000 + " y"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["report_id", "w"])
+    tracemalloc.start()
+    got = {}
+    for part in reports.mean_vectors([b], 8):
+        assert part.num_rows <= reports.TEXTS
+        got |= dict(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6 and len(got) == len(texts)  # 660 000 words as objects take over 30 MB
+    for i in (0, 1499, 1500, 1501, 1502, 1503, 1504):
+        words = [w for w in (texts[i] or "").split(" ") if w]
+        want = sum((reports.word_vector(w, 8).astype(int) for w in words), np.zeros(8)) / max(1, len(words))
+        assert got[i] == pytest.approx(list(want))
+
+
 def test_numbered_names_are_compared_where_they_meet(spark, monkeypatch):
     """Names that all have the same words and differ in numbers: no table of candidate pairs, and blocks lose no pair."""
     monkeypatch.setattr(similarity, "BLOCK", 7, raising=False)
