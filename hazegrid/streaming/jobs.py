@@ -23,6 +23,12 @@ REJECT_KEYS = 4096
 DEAD = ("timestamp", "error", "details", "raw_payload", "message_topic")
 
 
+def with_slug(rows: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Rows with the ``_slug`` of their sensor, by ``_key``; rejects (``_bad``) meet no sensor, and their own keys keep them spread."""
+    known = sensors.select(F.col("sensor_id").alias("_key"), F.lit(False).alias("_bad"), F.col("slug").alias("_slug"))
+    return rows.join(known, ["_key", "_bad"], "left")
+
+
 def ingest(raw: DataFrame, sensors: DataFrame, name: str = "ingest", seen_at: Column | None = None, every: str | None = None,
            path: str | None = None, checkpoint: str | None = None, forget: int | None = None) -> str:
     """Messages to one table of accepted readings and rejects, partitioned by outcome; returns its path.
@@ -41,13 +47,13 @@ def ingest(raw: DataFrame, sensors: DataFrame, name: str = "ingest", seen_at: Co
     fields = [c for c in flat.columns if c not in (*kept, *names, "_error")]
     rows = flat.select(*kept, *[F.when(good, F.col(c)).alias(c) for c in fields], *[F.when(~good, F.col(c)).alias(c) for c in names], F.col("_error").alias("error"))
     bad = F.col("error").isNotNull()
-    spread = F.concat(F.lit("#"), F.pmod(F.xxhash64("raw_payload"), F.lit(REJECT_KEYS)).cast("string"))
+    spread = F.concat(F.lit("#"), F.pmod(F.xxhash64("raw_payload", *kept), F.lit(REJECT_KEYS)).cast("string"))
     keyed = rows.select("*", F.when(bad, spread).otherwise(F.col("sensor_id")).alias("_key"), bad.alias("_bad"))
     fresh = state.seq_dedup(keyed, "_key", "seq", ["event_id"], forget=forget, always="_bad")
     # computed before the join: rows of the keyed state need a projection before they can be shuffled
     seen = F.current_timestamp() if seen_at is None else seen_at
-    fresh = fresh.select(*rows.columns, messages.stale(F.col("ts"), seen).alias("stale"))
-    zoned = fresh.join(sensors.select("sensor_id", F.col("slug").alias("_slug")), "sensor_id", "left")
+    fresh = fresh.select(*rows.columns, "_key", "_bad", messages.stale(F.col("ts"), seen).alias("stale"))
+    zoned = with_slug(fresh, sensors).drop("_key", "_bad")
     zone = F.when(~bad, F.coalesce("_slug", messages.slug_from_serial(F.col("sensor_id"))))
     out = zoned.withColumn("zone", zone).drop("_slug").withColumns({
         "outcome": F.when(bad, "rejected").otherwise("accepted"), "date": F.to_date(F.coalesce("ts", "timestamp"))})

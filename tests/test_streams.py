@@ -80,6 +80,24 @@ def test_ingest_goes_on_after_a_restart(spark, tmp_path):
         run.to_table(run.files(spark, path, m.schema), "x", path=f"{tmp_path}/x")
 
 
+def test_rejects_do_not_gather_in_one_task(spark):
+    """Rejects have no sensor: the join with the sensor table must not bring them all under the null key."""
+    rows = spark.range(4000).selectExpr("id AS event_id", "id % 4 <> 0 AS _bad", "if(id % 4 = 0, concat('S', id % 40), null) AS sensor_id",
+                                        "if(id % 4 = 0, concat('S', id % 40), concat('#', id % 64)) AS _key")
+    sensors = spark.createDataFrame([("S0", "plateau"), ("S4", None), ("#1", "trap"), (None, "none")], "sensor_id string, slug string")
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream
+    try:
+        d = jobs.with_slug(rows, sensors).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    parts = [r["at"] for r in d]
+    assert len(d) == 4000 and max(map(parts.count, set(parts))) < 1500
+    assert {(r["sensor_id"], r["_slug"]) for r in d if r["_slug"]} == {("S0", "plateau")}
+
+
 def test_batches_of_a_restart_do_not_replace_older_ones(spark, tmp_path):
     r = Tables(spark, DIR).v_readings.withColumn("ts", F.col("ts").cast("timestamp"))
     src, out = f"{tmp_path}/in", f"{tmp_path}/out"
