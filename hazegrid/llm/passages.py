@@ -8,10 +8,13 @@ min-hash under the same function are matched; matches of two documents whose int
 of the hash functions, are a candidate passage, and the words of both sides decide: the passage is drawn out to both sides as
 long as the words agree, must have ``MIN_WORDS`` words and a shingle similarity of ``SIMILARITY``.
 
-A signature that many documents share is never expanded into pairs. Each batch of documents keeps one window per signature and
-links its other ones to that; the kept ones meet in the shuffle and are linked to the smallest document among them. Each is also
-linked to the one before it, for copies that differ more from the smallest document than from each other. So a passage in a
-third of all documents costs a row per document, and two links per document.
+Documents that share one shingle by chance are not compared: two windows of a signature meet if they also have the same min-hash, under
+one function more, of the ``SIDE`` shingles before or of those after the minimum. A passage around the minimum holds one of these sides
+whole. Windows that meet are a group. A small group gives all its pairs. A larger one is never expanded into pairs: its members are linked
+to the smallest document among them, and where the words confirm that for all, it is done. Members that are not confirmed are compared, on
+the shingles around the minimum, with every other member that is not joined to them yet, so any two passages of a group that agree there
+are joined by links, few of them per member. A large group is cut into chunks for that, and members of each chunk that are not
+confirmed ask those of every chunk. That is quadratic where very many share half a passage.
 """
 
 from __future__ import annotations
@@ -21,11 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from hazegrid.session import spread
+
+from .common import saved, thinned
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
-HASHES, MATCHES = 6, 2
+HASHES = 6
+#: Shingles on one side of a minimum: a passage reaches at least that far to one of its sides.
+SIDE = (MIN_SHINGLES - 1) // 2
+#: Windows of a group that are all compared with each other, and members of a chunk of a large one.
+SMALL, CHUNK = 6, 4096
+#: Pairs of a large group compared at once.
+AT_ONCE = 1 << 14
 #: Words by which a candidate's two sides may be shifted against each other from one match to the next.
 DRIFT = 8
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -86,86 +97,150 @@ def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     return low[first], first, at, last + width - 1
 
 
+def least(h: np.ndarray, width: int) -> np.ndarray:
+    """The minima of all stretches of ``width`` values."""
+    pad = np.full(-len(h) % width, np.uint64(0xFFFFFFFFFFFFFFFF))
+    block = np.concatenate([h, pad]).reshape(-1, width)
+    left = np.minimum.accumulate(block, axis=1).ravel()
+    right = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[:len(h) - width + 1], left[width - 1:len(h)])
+
+
 def signatures(text: str | None):
-    """``(signature, l, at, r)`` of all compact windows under all hash functions; the signature tells the function too."""
+    """``(signature, place, sides, same)`` of all compact windows under all hash functions; the signature tells the function too.
+
+    ``place`` holds at, at - l and r - at; ``sides`` the min-hashes of both sides in 32 bits each, zero where the text ends before;
+    ``same`` is equal for equal words as far as windows of that minimum can reach.
+    """
     h = shingle_hashes(words_of(text))
+    n = len(h)
+    if n < MIN_SHINGLES:
+        return (np.empty(0, np.uint64),) * 4
+    side = mix(least(mix(h ^ mix(np.array([HASHES + 1], np.uint64))), SIDE)) >> np.uint64(32)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + BASE), dtype=np.uint64)])
     parts = []
     for k in range(HASHES):
         low, l, at, r = compact_windows(mix(h ^ mix(np.array([k + 1], np.uint64))), MIN_SHINGLES)
-        parts.append(((low & ~np.uint64(7)) | np.uint64(k), l, at, r))
+        place = (at << 14) | ((at - l) << 7) | (r - at)
+        before = np.where(at >= SIDE, side[np.maximum(at - SIDE, 0)], np.uint64(0))
+        after = np.where(at + SIDE < n, side[np.minimum(at + 1, n - SIDE)], np.uint64(0))
+        lo, hi = np.maximum(at - MIN_SHINGLES + 1, 0), np.minimum(at + MIN_SHINGLES, n)
+        same = mix((run[hi] - run[lo]) ^ mix((((at - lo) << 7) | (hi - at)).astype(np.uint64)))
+        parts.append(((low & ~np.uint64(7)) | np.uint64(k), place.astype(np.uint64), (before << np.uint64(32)) | after, same))
     return tuple(map(np.concatenate, zip(*parts)))
 
 
-def _star(sig, doc, l, at, r):
-    """Sorted by signature and document: each row's representative (the first row of its signature), and whether it is one."""
-    o = np.lexsort((at, doc, sig))
-    sig, doc, l, at, r = (x[o] for x in (sig, doc, l, at, r))
-    lead = np.r_[True, sig[1:] != sig[:-1]]
-    return sig, doc, l, at, r, lead, np.flatnonzero(lead)[np.cumsum(lead) - 1]
+NAMES = ["rep", "doc", "rep_from", "rep_to", "from", "to", "hashes"]
+WINDOW = "sig long, doc long, place long, sides long, rep long, rep_at long"
+LINK = "rep long, doc long, k int, rep_at int, at int, l int, r int, grp long"
 
 
-NAMES = ["rep", "doc", "rep_from", "rep_to", "from", "to", "hashes"]
-LINK = "key long, sig long, doc long, l int, at int, r int, rep long, rep_at int"
+def _window_rows(sig, doc, place, sides, rep, rep_at):
+    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(doc), pa.array(place.view(np.int64)), pa.array(sides.view(np.int64)), rep, rep_at],
+                                      [c.split()[0] for c in WINDOW.split(", ")])
+
+
+def _link_rows(rep, doc, sig, rep_at, place, grp):
+    place = place.astype(np.int64)
+    at = place >> 14
+    cols = [pa.array(rep), pa.array(doc), *(pa.array(x.astype(np.int32)) for x in (sig & np.uint64(7), rep_at, at, at - (place >> 7 & 127), at + (place & 127))), grp]
+    return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in LINK.split(", ")])
+
 
+def met(sig, doc, place, side, salt):
+    """Pairs of rows ``(first, second, group)`` whose windows have the same signature and side; the group is zero where it is small.
 
-def _table(key, sig, doc, l, at, r, rep, rep_at):
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key.astype(np.uint64).view(np.int64)), pa.array(sig.view(np.int64)), pa.array(doc), *(pa.array(x.astype(np.int32)) for x in (l, at, r)),
-         rep, rep_at], [c.split()[0] for c in LINK.split(", ")])
+    The first one is of the smaller document.
+    """
+    o = np.lexsort((place, doc, side, sig))
+    o = o[side[o] != 0]
+    s, x, d = sig[o], side[o], doc[o]
+    if not len(o):
+        return (np.empty(0, np.int64),) * 3
+    lead = np.r_[True, (s[1:] != s[:-1]) | (x[1:] != x[:-1])]
+    first = np.flatnonzero(lead)
+    size = np.diff(np.r_[first, len(o)])
+    number = np.cumsum(lead) - 1
+    out = []
+    i = np.flatnonzero((size <= SMALL)[number])
+    for k in range(1, SMALL):
+        i = i[i + k < len(o)]
+        i = i[number[i] == number[i + k]]
+        hit = i[d[i] != d[i + k]]
+        out.append((hit, hit + k, np.zeros(len(hit), np.int64)))
+    i = np.flatnonzero((size > SMALL)[number])
+    i = i[d[i] != d[first[number[i]]]]
+    out.append((first[number[i]], i, mix(s[i] ^ mix(x[i] + np.uint64(salt))).view(np.int64) | 1))
+    a, b, g = map(np.concatenate, zip(*out))
+    return o[a], o[b], g
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """Matched windows ``(rep, doc, k, rep_at, at, l, r)`` of ``docs(id, text)``: one per window and partner."""
+    """Matched windows ``(rep, doc, k, rep_at, at, l, r, grp)`` of ``docs(id, text)``, and the large group they are of, if any."""
     def windows(batches):
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            parts = [(s, np.full(len(s), i), l, at, r) for i, t in zip(ids, texts) for s, l, at, r in [signatures(t)] if len(s)]
+            parts = [(s, np.full(len(s), i), *more) for i, t in zip(ids, texts) for s, *more in [signatures(t)] if len(s)]
             if not parts:
                 continue
-            sig, doc, l, at, r, lead, to = _star(*map(np.concatenate, zip(*parts)))
+            sig, doc, place, sides, same = map(np.concatenate, zip(*parts))
+            o = np.lexsort((place, doc, same, sig))
+            sig, doc, place, sides, same = (x[o] for x in (sig, doc, place, sides, same))
+            lead = np.r_[True, (sig[1:] != sig[:-1]) | (same[1:] != same[:-1])]
+            to = np.flatnonzero(lead)[np.cumsum(lead) - 1]
             none = pa.nulls(int(lead.sum()), pa.int64())
-            yield _table(sig[lead], sig[lead], doc[lead], l[lead], at[lead], r[lead], none, none.cast(pa.int32()))
+            yield _window_rows(sig[lead], doc[lead], place[lead], sides[lead], none, none)
+            # the same words as those of another document of the batch: linked to that one, which stands for both
             m = ~lead & (doc[to] != doc)
-            before = np.maximum(np.arange(len(sig)) - 1, to)
-            for side, ok in ((to, m), (before, m & (doc[before] != doc) & (doc[before] != doc[to]))):
-                # these are done: they go anywhere
-                yield _table(mix(doc[ok].astype(np.uint64) ^ sig[ok]), sig[ok], doc[ok], l[ok], at[ok], r[ok],
-                             pa.array(doc[side][ok]), pa.array(at[side][ok].astype(np.int32)))
+            yield _window_rows(sig[m], doc[m], place[m], sides[m], pa.array(doc[to][m]), pa.array((place[to][m] >> np.uint64(14)).astype(np.int64)))
 
     def meet(batches):
-        last = None
-        for b in batches:
-            c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            done = b.filter(c["rep"].is_valid())
+        held: list = []
+
+        def flush(sig, doc, place, sides):
+            lead = np.r_[True, sig[1:] != sig[:-1]]
+            many = ~(lead & np.r_[lead[1:], True])
+            sig, doc, place, sides = (x[many] for x in (sig, doc, place, sides))
+            if not len(sig):
+                return
+            pairs = [met(sig, doc, place, sides >> np.uint64(32), 1), met(sig, doc, place, sides & np.uint64(0xFFFFFFFF), 2)]
+            a, b, g = map(np.concatenate, zip(*pairs))
+            o = np.lexsort((g, b, a))
+            a, b, g = a[o], b[o], g[o]
+            once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (g[1:] != g[:-1])][:len(a)]
+            a, b, g = a[once], b[once], g[once]
+            if len(a):
+                yield _link_rows(doc[a], doc[b], sig[b], place[a] >> np.uint64(14), place[b], pa.array(g, mask=g == 0))
+
+        n = 0
+        for batch in batches:
+            done = batch.filter(batch.column(4).is_valid())
             if done.num_rows:
-                yield done
-            new = b.filter(c["rep"].is_null())
+                sig, doc, place, _, rep, rep_at = (c.to_numpy(zero_copy_only=False) for c in done.columns)
+                yield _link_rows(rep, doc, sig.view(np.uint64), rep_at, place, pa.nulls(len(sig), pa.int64()))
+            new = batch.filter(batch.column(4).is_null())
             if not new.num_rows:
                 continue
-            sig, doc, l, at, r = (new.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
-            sig = sig.view(np.uint64)
-            lead = np.r_[True, sig[1:] != sig[:-1]]
-            to = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-            rep, rep_at = doc[to], at[to]
-            before = np.maximum(np.arange(len(sig)) - 1, to)
-            pre, pre_at = doc[before], at[before]
-            if last is not None and last[0] == sig[0]:  # the signature goes on from the batch before
-                head = sig == sig[0]
-                rep, rep_at = np.where(head, last[1], rep), np.where(head, last[2], rep_at)
-                pre[0], pre_at[0] = last[3], last[4]
-            last = (sig[-1], rep[-1], rep_at[-1], doc[-1], at[-1])
-            for side, side_at, m in ((rep, rep_at, rep != doc), (pre, pre_at, (pre != doc) & (pre != rep))):
-                if m.any():
-                    yield _table(sig[m], sig[m], doc[m], l[m], at[m], r[m], pa.array(side[m]), pa.array(side_at[m].astype(np.int32)))
-
-    w = docs.select("id", "text").mapInArrow(windows, LINK)
-    w = w.repartition("key").sortWithinPartitions("key", "sig", "doc", "at").mapInArrow(meet, LINK)
-    return w.select("rep", "doc", (F.col("sig").bitwiseAND(F.lit(7))).cast("int").alias("k"), "rep_at", "at", "l", "r")
+            held.append([new.column(0).to_numpy().view(np.uint64), new.column(1).to_numpy(), *(new.column(i).to_numpy().view(np.uint64) for i in (2, 3))])
+            n += new.num_rows
+            if n >= 1 << 17 and held[0][0][0] != held[-1][0][-1]:
+                cols = list(map(np.concatenate, zip(*held)))
+                cut = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1  # the last signature may go on
+                yield from flush(*(c[:cut] for c in cols))
+                held = [[c[cut:] for c in cols]]
+                n = len(held[0][0])
+        if held:
+            yield from flush(*map(np.concatenate, zip(*held)))
+
+    w = docs.select("id", "text").mapInArrow(windows, WINDOW)
+    # what is linked already goes anywhere
+    w = w.repartition(F.when(F.col("rep").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "doc"))).sortWithinPartitions("sig")
+    return w.mapInArrow(meet, LINK)
 
 
 def candidates(matches: DataFrame) -> DataFrame:
-    """``(rep, doc, rep_from, rep_to, from, to, hashes, places, rep_places)``: stretches of shingles in which matches under enough
-    hashes join up, and the places of these matches on both sides."""
+    """``(rep, doc, rep_from, rep_to, from, to, hashes, places, rep_places)``: stretches of shingles in which matches join up, and
+    the places of these matches on both sides."""
     def run(batches):
         held = None
         for b in batches:
@@ -186,14 +261,13 @@ def candidates(matches: DataFrame) -> DataFrame:
         first = np.flatnonzero(new)
         bits = np.bitwise_or.reduceat(1 << k, first)
         n = np.bitwise_count(bits)
-        ok = n >= MATCHES
         cols = [rep[first], doc[first], np.minimum.reduceat(rep_at, first), np.maximum.reduceat(rep_at, first), at[first], np.maximum.reduceat(at, first), n]
         size = np.diff(np.r_[first, len(at)])
-        keep, bounds = np.repeat(ok, size), pa.array(np.r_[0, np.cumsum(size[ok])].astype(np.int32))
-        places = [pa.ListArray.from_arrays(bounds, pa.array(x[keep])) for x in (at, rep_at)]
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[ok].astype(np.int64)) for x in cols), *places], [*NAMES, "places", "rep_places"])
+        bounds = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+        places = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (at, rep_at)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in cols), *places], [*NAMES, "places", "rep_places"])
 
-    m = matches.repartition("rep", "doc").withColumn("diag", F.expr(f"(at - rep_at + {1 << 30}) div {DRIFT}"))
+    m = matches.drop("grp").repartition("rep", "doc").withColumn("diag", F.expr(f"(at - rep_at + {1 << 30}) div {DRIFT}"))
     m = m.sortWithinPartitions("rep", "doc", "diag", "at").drop("diag")
     return m.mapInArrow(run, ", ".join(f"`{n}` long" for n in NAMES) + ", places array<long>, rep_places array<long>")
 
@@ -205,16 +279,26 @@ def agree(a: list[str], b: list[str], i: int, j: int, x: int, y: int):
     while j < len(a) and y < len(b) and a[j] == b[y]:
         j, y = j + 1, y + 1
     need = MIN_WORDS - min(j - i, y - x)
-    if need > 0:  # past words that differ, as far as there are any
-        back = min(i, x, need)
-        i, x = i - back, x - back
-        on = min(len(a) - j, len(b) - y, need - back)
-        j, y = j + on, y + on
-    if min(j - i, y - x) < MIN_WORDS:
-        return None
-    p, q = ({tuple(w[k:k + SHINGLE]) for k in range(s, e - SHINGLE + 1)} for w, s, e in ((a, i, j), (b, x, y)))
-    like = len(p & q) / max(1, len(p | q))
-    return (i, j, x, y, like) if like >= SIMILARITY else None
+    if need <= 0:
+        splits = [(0, 0)]
+    else:  # past words that differ, as far as there are any, to one side or both
+        most_back, most_on = min(i, x, need), min(len(a) - j, len(b) - y, need)
+        if most_back + most_on < need:
+            return None
+        p, q = ([tuple(w[k:k + SHINGLE]) for k in range(s - most_back, e + most_on - SHINGLE + 1)] for w, s, e in ((a, i, j), (b, x, y)))
+        known = set(p)
+        hits = np.cumsum([0, *(k in known for k in q)])
+        n = len(q) - (most_back + most_on - need)  # shingles of a stretch
+        shared = {v: hits[most_back - v + n] - hits[most_back - v] for v in range(need - most_on, most_back + 1)}
+        # most of it before, as far as that will do; else where most is shared
+        order = sorted(shared, key=lambda v: (v != most_back, -shared[v]))
+        splits = [(v, need - v) for v in order if v == most_back or shared[v] >= SIMILARITY * MIN_SHINGLES]
+    for back, on in splits:
+        p, q = ({tuple(w[k:k + SHINGLE]) for k in range(s - back, e + on - SHINGLE + 1)} for w, s, e in ((a, i, j), (b, x, y)))
+        like = len(p & q) / max(1, len(p | q))
+        if like >= SIMILARITY:
+            return i - back, j + on, x - back, y + on, like
+    return None
 
 
 def agreed(a: list, b: list, whole: tuple[int, int, int, int], places: list[tuple[int, int]]) -> list[tuple]:
@@ -230,16 +314,156 @@ def agreed(a: list, b: list, whole: tuple[int, int, int, int], places: list[tupl
     return out
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, start, words, other_id, other_start, other_words, similarity, hashes)``: a passage of a document and the same
-    passage, or nearly so, in a document of smaller id. Places are word numbers from zero.
+def around(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The shingles around each place, ``MIN_SHINGLES - 1`` to each side, in 32 bits; zero past the text."""
+    i = at[:, None] + np.arange(1 - MIN_SHINGLES, MIN_SHINGLES)
+    inside = (i >= 0) & (i < len(h))
+    return np.where(inside, (h >> np.uint64(32))[np.where(inside, i, 0)] | np.uint64(1), np.uint64(0)).astype(np.uint32)
 
-    Each document with a repeated passage is linked to at most two others per signature; documents of one passage are joined by
-    such links. Rows without an id take no part, rows of the same id are one document (one of them). Documents of
-    fewer than 50 words, null and empty texts have no passages.
+
+def reaches(a: list, b: list, first: int, i: int, j: int, last: int) -> bool:
+    """Whether some stretch of the least length that holds ``i:j`` and lies in ``first:last`` has the similarity."""
+    known = set(a[first:last])
+    hit = np.cumsum([0, *(x in known for x in b)])
+    for k in range(max(first, j - MIN_SHINGLES), min(i, last - MIN_SHINGLES) + 1):
+        if hit[k + MIN_SHINGLES] - hit[k] >= SIMILARITY * MIN_SHINGLES or k == i - (MIN_SHINGLES - (j - i)):
+            p, q = set(a[k:k + MIN_SHINGLES]), set(b[k:k + MIN_SHINGLES])
+            if len(p & q) >= SIMILARITY * len(p | q):
+                return True
+    return False
+
+
+def grown(doc, inner, near, here, asks):
+    """Pairs ``(row, row)`` that join the members of a group as far as their shingles ``near`` a minimum agree, in the sense of ``agree``.
+
+    ``inner`` ones are joined already, those of ``asks`` ask the ones ``here``, and of two that are not inner the first one asks.
+    Rows are sorted by document and place.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    c = saved(candidates(links(d)).withColumn("cand", F.xxhash64("rep", "doc", "rep_from", "from")), "passages")
+    mid, root = MIN_SHINGLES - 1, np.arange(len(doc))
+    root[inner] = np.flatnonzero(inner)[0] if inner.any() else 0
+    before, after = (near[:, :mid] != 0).sum(axis=1), (near[:, mid + 1:] != 0).sum(axis=1)
+    line = np.sort(near, axis=1)
+    odd = ((line[:, 1:] == line[:, :-1]) & (line[:, 1:] != 0)).any(axis=1)  # a shingle repeats
+    names, code = np.unique(near, return_inverse=True)
+    code = code.reshape(near.shape)
+    # shared shingles of two stretches of the least length that agree, and of those where one side's may repeat
+    least_shared = np.where(odd, SIMILARITY * MIN_SHINGLES, 2 * SIMILARITY / (1 + SIMILARITY) * MIN_SHINGLES) - 1e-9
+
+    def plausible(q, other):
+        # a passage of the least length around the minimum has enough shingles of the other one; a shingle that repeats counts once there
+        known = np.zeros((len(q), len(names)), bool)
+        known[np.arange(len(q))[:, None], code[q]] = True
+        known[:, names == 0] = False
+        hit = known[:, code[other]]
+        ok = here[other] & (root[q, None] != root[other]) & (doc[q, None] != doc[other]) & (inner[other] | (other > q[:, None]))
+        x, y = np.nonzero(ok & (odd[other] | (hit.sum(axis=2) >= least_shared[q, None])))
+        run = np.cumsum(hit[x, y], axis=1, dtype=np.int16)
+        best = np.maximum(run[:, mid], (run[:, MIN_SHINGLES:] - run[:, :-MIN_SHINGLES]).max(axis=1))
+        ok = odd[other[y]] | (best >= least_shared[q[x]])
+        return q[x[ok]], other[y[ok]]
+
+    ask = np.flatnonzero(asks)
+    at_once = max(1, AT_ONCE // len(doc))
+    for block in np.split(ask, range(at_once, len(ask), at_once)):
+        left = np.flatnonzero(here & ((root != root[block[0]]) | (len(np.unique(root[block])) > 1)))
+        pairs = [plausible(block, part) for part in np.split(left, range(AT_ONCE, len(left), AT_ONCE))]
+        q, t = map(np.concatenate, zip(*pairs))
+        if not len(q):
+            continue
+        differ = (near[q] != near[t]) | (near[q] == 0)
+        end = np.ones((len(q), 1), bool)
+        back = np.concatenate([differ[:, :mid][:, ::-1], end], axis=1).argmax(axis=1)
+        on = np.concatenate([differ[:, mid + 1:], end], axis=1).argmax(axis=1)
+        o = np.argsort(-back - on, kind="stable")
+        for q, t, i, j in zip(*(x[o].tolist() for x in (q, t, back, on))):
+            if root[t] == root[q]:
+                continue
+            need = MIN_SHINGLES - (i + j + 1)
+            if need > 0 and not reaches(near[q].tolist(), near[t].tolist(), mid - i - min(before[q] - i, before[t] - i, need), mid - i,
+                                        mid + j + 1, mid + j + 1 + min(after[q] - j, after[t] - j, need)):
+                continue
+            root[root == root[t]] = root[q]
+            yield q, t
+
+
+def across(matches: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Matched windows, as of ``links``, that join the members of large groups whose match with the smallest is not ``found``."""
+    m = matches.where("grp is not null")
+    f = found.select(F.col("doc_id").alias("doc"), F.col("other_id").alias("rep"), "start", "words", "other_start", "other_words")
+    ok = m.join(f, ["doc", "rep"]).where("at >= start and at < start + words and rep_at >= other_start and rep_at < other_start + other_words")
+    ok = ok.select("grp", "doc", "at").distinct().withColumn("ok", F.lit(True))
+    m = saved(m.join(ok, ["grp", "doc", "at"], "left").select("*", F.col("ok").isNotNull().alias("inner")).drop("ok"), "groups")
+    live = m.groupBy("grp").agg(F.min("inner").alias("all"), F.count(F.lit(1)).alias("size"), F.first("rep").alias("rep"), F.first("rep_at").alias("rep_at"))
+    live = live.where("not all").withColumn("chunks", F.ceil((F.col("size") + 1) / CHUNK).cast("int")).drop("all", "size")
+    live = saved(live, "live")
+    rows = m.drop("rep", "rep_at").join(live.select("grp", "chunks"), "grp")
+    first = live.select("grp", F.col("rep").alias("doc"), F.lit(0).alias("k"), F.col("rep_at").alias("at"), F.col("rep_at").alias("l"), F.col("rep_at").alias("r"), F.lit(True).alias("inner"), "chunks")
+    rows = rows.unionByName(first)
+    need = rows.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("grp", "k", "at", "l", "r", "inner", "chunks")).alias("c"))
+    need = saved(need, "members")
+    texts = thinned(docs, F.col("id"), need, F.col("id")).dropDuplicates(["id"])
+
+    def clip(batches):
+        for b in batches:
+            size, c = b.column(2).value_lengths().to_numpy(), b.column(2).flatten()
+            grp, k, at, l, r, inner, n = (x.to_numpy(zero_copy_only=False) for x in c.flatten())
+            doc, first = np.repeat(b.column(0).to_numpy(), size), np.cumsum(size) - size
+            near = np.concatenate([around(shingle_hashes(words_of(t)), at[i:i + m]) for t, i, m in zip(b.column(1).to_pylist(), first.tolist(), size.tolist())])
+            own = (doc * 31 + at) % n
+            # cells (chunk of those asked, chunk of those who ask)
+            one = np.flatnonzero(n == 1)
+            cells = [(i, a, q) for i in np.flatnonzero(n > 1).tolist()
+                     for a, q in {(own[i], j) for j in range(n[i])} | (set() if inner[i] else {(j, own[i]) for j in range(n[i])})]
+            row, asked, asking = np.concatenate([np.stack([one, 0 * one, 0 * one], 1), np.array(cells, np.int64).reshape(-1, 3)]).T
+            for i in range(0, len(row), 4096):
+                x, a, q = row[i:i + 4096], asked[i:i + 4096], asking[i:i + 4096]
+                cols = grp[x], a, q, a == own[x], ~inner[x] & (q == own[x]), doc[x], k[x], at[x], l[x], r[x], inner[x], [v.tobytes() for v in near[x]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(cols, kinds)], names)
+
+    member = "grp long, asked int, asking int, here boolean, asks boolean, doc long, k int, at int, l int, r int, inner boolean, near binary"
+    names = [c.split()[0] for c in member.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[c.split()[1]] for c in member.split(", ")]
+
+    def grow(batches):
+        held = None
+        for b in batches:
+            t = pa.concat_tables([held, pa.Table.from_batches([b])]) if held is not None else pa.Table.from_batches([b])
+            new = first_rows(t)
+            cut = int(new[-1]) if len(new) else 0
+            if cut:
+                yield from cells(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield from cells(held)
+
+    def first_rows(t):
+        change = [x[1:] != x[:-1] for x in (t.column(i).to_numpy() for i in range(3))]
+        return np.flatnonzero(np.r_[True, np.logical_or.reduce(change)][:t.num_rows])
+
+    def cells(t):
+        here, asks, doc, k, at, l, r, inner = (t.column(i).to_numpy() for i in range(3, 11))
+        first = first_rows(t)
+        for lo, hi in zip(first, [*first[1:], t.num_rows]):
+            part = slice(lo, hi)
+            if not asks[part].any():
+                continue
+            near = np.frombuffer(b"".join(t.column(11).slice(lo, hi - lo).to_pylist()), np.uint32).reshape(hi - lo, -1)
+            out = []
+            for q, x in grown(doc[part], inner[part], near, here[part], asks[part]):
+                a, b = sorted((lo + q, lo + x), key=lambda i: doc[i])
+                out.append((doc[a], doc[b], k[b], at[a], at[b], l[b], r[b], None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([v for v in col], pa.int64() if n in ("rep", "doc", "grp") else pa.int32()) for col, n in zip(zip(*out), link)], link)
+
+    link = [c.split()[0] for c in LINK.split(", ")]
+
+    placed = texts.join(need, "id").select("id", "text", "c").mapInArrow(clip, member)
+    return spread(placed, "grp", "asked", "asking").sortWithinPartitions("grp", "asked", "asking", "doc", "at").mapInArrow(grow, LINK)
+
+
+def verified(matches: DataFrame, d: DataFrame) -> DataFrame:
+    """The passages of matched windows of ``d(id, text)``, as ``repeated`` gives them."""
+    c = saved(candidates(matches), "passages")
     # what each side needs, with a margin: the members' stretches one by one, a representative's all together
     need = c.select(F.col("doc").alias("id"), F.col("from").alias("lo"), F.col("to").alias("hi"), F.struct("rep", "rep_from", "rep_to", "from", "to", "hashes", "places", "rep_places").alias("c"))
     reps = c.groupBy(F.col("rep").alias("id")).agg(F.min("rep_from").alias("lo"), F.max("rep_to").alias("hi"))
@@ -255,7 +479,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())],
                                              ["id", "c", "offset", "words"])
 
-    one = d.dropDuplicates(["id"])
+    one = thinned(d, F.col("id"), need, F.col("id")).dropDuplicates(["id"])
     kind = "struct<rep:bigint,rep_from:bigint,rep_to:bigint,from:bigint,to:bigint,hashes:bigint,places:array<bigint>,rep_places:array<bigint>>"
     spans = one.join(need, "id").select("id", "text", "lo", "hi", "c").mapInArrow(clip, f"id long, c {kind}, offset long, words binary")
     spans = saved(spans, "spans")
@@ -270,7 +494,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if key not in seen:
                     seen = {key: x["rep_words"].split(b" ")}
                 a, b, c, o, p = x["words"].split(b" "), seen[key], x["c"], x["offset"], x["rep_offset"]
-                places = sorted((i - o, y - p) for i, y in zip(c["places"], c["rep_places"]))
+                places = sorted({(i - o, y - p) for i, y in zip(c["places"], c["rep_places"])})
                 for v in agreed(a, b, (c["from"] - o, c["to"] + SHINGLE - o, c["rep_from"] - p, c["rep_to"] + SHINGLE - p), places):
                     out.append((x["id"], v[0] + o, v[1] - v[0], key, v[2] + p, v[3] - v[2], v[4], c["hashes"]))
             names = ["doc_id", "start", "words", "other_id", "other_start", "other_words", "similarity", "hashes"]
@@ -278,4 +502,17 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.float64() if n == "similarity" else pa.int64()) for n, v in zip(names, cols)], names)
 
     j = a.join(b, "rep").select("id", "c", "offset", "words", "rep", "rep_offset", "rep_words")
-    return j.mapInArrow(verify, "doc_id long, start long, words long, other_id long, other_start long, other_words long, similarity double, hashes long").distinct()
+    return j.mapInArrow(verify, "doc_id long, start long, words long, other_id long, other_start long, other_words long, similarity double, hashes long")
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, start, words, other_id, other_start, other_words, similarity, hashes)``: a passage of a document and the same
+    passage, or nearly so, in a document of smaller id. Places are word numbers from zero.
+
+    Documents of one passage are joined by such links; where many hold it, a document is linked to few others. Rows without an id take no part, rows of the same id are one document (one of them). Documents of
+    fewer than 50 words, null and empty texts have no passages.
+    """
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    m = saved(links(d), "matches")
+    found = saved(verified(m, d), "found")
+    return found.union(verified(saved(across(m, found, d), "joins"), d)).distinct()

@@ -83,3 +83,90 @@ def test_odd_rows(spark):
     d = clashing(long.union(long.where("doc_id = 6").selectExpr("60L", "text", "lang", "source", "n_chars")), "id", "rep", "doc", "sig")
     assert pairs(P.repeated(d).collect()) == {frozenset((6, 60))}
     assert P.repeated(empty(spark)).count() == 0
+
+
+def edited(rnd, words, n):
+    """The words with one changed at ``n`` places."""
+    w = list(words)
+    for i in rnd.sample(range(len(w)), n):
+        w[i] = text(rnd, 1)
+    return w
+
+
+def test_passages_alike_to_one_document_only_are_joined_on_any_layout(spark):
+    rnd = random.Random(5)
+    base = text(rnd, 50).split()
+    # one word changed in each: similar to document 2, not to each other; document 0 shares half of it with all
+    docs = [(0, f"{text(rnd, 60)} {' '.join(base[:30])} {text(rnd, 60)}"), (1, f"{text(rnd, 40)} {' '.join(base[20:])} {text(rnd, 60)}")]
+    docs += [(i, f"{text(rnd, 30 + i)} {' '.join(base if i == 2 else edited(rnd, base, 1))} {text(rnd, 60)}") for i in range(2, 25)]
+    found = []
+    for n in (1, 4, 16):
+        d = spark.createDataFrame(docs, "doc_id long, text string").repartition(n)
+        found.append({tuple(r)[:6] for r in P.repeated(d).collect()})
+        rows = [{"doc_id": r[0], "other_id": r[3]} for r in found[-1]]
+        assert len(joined(rows, range(2, 25))) == 1, n
+        assert not {0, 1} & {i for p in pairs(rows) for i in p}
+    assert pairs([{"doc_id": r[0], "other_id": r[3]} for r in found[0]]) == pairs([{"doc_id": r[0], "other_id": r[3]} for r in found[2]])
+
+
+def test_large_groups_of_several_passages_with_a_common_half(spark):
+    """More documents share half a passage than a small group holds; each passage is one component, in one chunk or several."""
+    rnd = random.Random(6)
+    half = text(rnd, 28)
+    ends = [text(rnd, 40) for _ in range(5)]
+    docs = [(i, f"{text(rnd, 50)} {half} {ends[i % 5] if i >= 3 else text(rnd, 40)} {text(rnd, 50)}") for i in range(63)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for chunk in (P.CHUNK, 7):
+        old, P.CHUNK = P.CHUNK, chunk
+        try:
+            rows = P.repeated(d).collect()
+        finally:
+            P.CHUNK = old
+        for k in range(5):
+            assert len(joined(rows, [i for i in range(3, 63) if i % 5 == k])) == 1, (chunk, k)
+        assert all(a % 5 == b % 5 and min(a, b) >= 3 for a, b in map(sorted, pairs(rows)))
+
+
+def test_members_are_joined_as_all_pairs_join_them():
+    rnd = random.Random(7)
+    base = [text(rnd, 100).split() for _ in range(3)]
+    words = []
+    for _ in range(120):
+        w = edited(rnd, rnd.choice(base)[:48] + base[0][48:], rnd.randrange(6))
+        w[48:53] = base[0][48:53]  # the minimum they share
+        words.append([x.encode() for x in w])
+    near = np.concatenate([P.around(P.shingle_hashes(w), np.array([48])) for w in words])
+    doc, one, none = np.arange(120), np.ones(120, bool), np.zeros(120, bool)
+
+    def classes(links):
+        root = list(range(120))
+        for a, b in links:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        return root
+
+    got = list(P.grown(doc, none, near, one, one))
+    full = [(a, b) for a in range(120) for b in range(a) if P.agree(words[a], words[b], 48, 53, 48, 53)]
+    assert classes(got) == classes(full) and len(got) == 120 - len(set(classes(full)))
+    assert 3 < len(set(classes(full))) < 100
+
+
+def test_recall_of_near_copies_against_brute_force(spark):
+    rnd = random.Random(8)
+    docs, n = [], 0
+    for _ in range(40):
+        base = text(rnd, 60).split()
+        for _ in range(4):
+            docs.append((n, f"{text(rnd, rnd.randrange(40, 90))} {' '.join(edited(rnd, base, rnd.randrange(2)))} {text(rnd, 50)}"))
+            n += 1
+    words = {i: P.words_of(t) for i, t in docs}
+
+    def alike(a, b):
+        shingles = {}
+        for k in range(len(a) - 4):
+            shingles.setdefault(tuple(a[k:k + 5]), k)
+        places = [(shingles[s], k) for k in range(len(b) - 4) if (s := tuple(b[k:k + 5])) in shingles]
+        return bool(P.agreed(a, b, (places[0][0], places[-1][0] + 5, places[0][1], places[-1][1] + 5), places)) if places else False
+
+    true = {frozenset((a, b)) for a in words for b in range(a // 4 * 4, a) if alike(words[a], words[b])}
+    rows = P.repeated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert len(true) > 100 and len(true & pairs(rows)) >= 0.95 * len(true)
