@@ -12,9 +12,10 @@ Documents that share one shingle by chance are not compared: two windows of a si
 one function more, of the ``SIDE`` shingles before or of those after the minimum. A passage around the minimum holds one of these sides
 whole. Windows that meet are a group. A small group gives all its pairs. A larger one is never expanded into pairs: its members are linked
 to the smallest document among them, and where the words confirm that for all, it is done. Members that are not confirmed are compared, on
-the shingles around the minimum, with every other member that is not joined to them yet, so any two passages of a group that agree there
-are joined by links, few of them per member. A large group is cut into chunks for that, and members of each chunk that are not
-confirmed ask those of every chunk. That is quadratic where very many share half a passage.
+the shingles around the minimum, with the other members that are not joined to them yet, so any two passages of a group that agree there
+are joined by links, few of them per member. Members that only share what very many share cannot agree and are left out by a prefix
+filter. A large group is cut into chunks for that, and members of each chunk that are not confirmed ask those of every chunk. That is
+quadratic where very many share one of their rarer shingles, or repeat shingles themselves, and still do not agree.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ HASHES = 6
 SIDE = (MIN_SHINGLES - 1) // 2
 #: Windows of a group that are all compared with each other, and members of a chunk of a large one.
 SMALL, CHUNK = 6, 4096
-#: Pairs of a large group compared at once.
-AT_ONCE = 1 << 14
+#: Pairs of a large group, and cells of a table of its shingles, that are looked at at once.
+AT_ONCE = 1 << 18
+#: Bytes of text hashed at once, and rows (or, with words in them, bytes) of an Arrow batch that is handed on.
+TEXT, ROWS, BYTES = 1 << 18, 1 << 16, 1 << 22
 #: Words by which a candidate's two sides may be shifted against each other from one match to the next.
 DRIFT = 8
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -64,37 +67,46 @@ class _Powers:
         return cls.up, cls.down
 
 
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of every shingle, from running sums over the bytes; none for fewer words than a shingle has."""
-    if len(words) < SHINGLE:
-        return np.empty(0, np.uint64)
-    line = np.frombuffer(b" ".join(words), np.uint8)
+def shingles_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every shingle of every list of words, from running sums over the bytes, and how many each list has."""
+    words = np.array([len(w) for w in texts], np.int64)
+    n = np.maximum(words - SHINGLE + 1, 0)
+    if not n.any():
+        return np.empty(0, np.uint64), n
+    line = np.frombuffer(b" ".join([b" ".join(w) for w in texts if w]), np.uint8)
     up, down = _Powers.to(len(line) + 1)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((line.astype(np.uint64) + np.uint64(1)) * up[:len(line)], dtype=np.uint64)])
     blank = np.flatnonzero(line == 32)
     start, stop = np.r_[0, blank + 1], np.r_[blank, len(line)]
-    a, b = start[:len(words) - SHINGLE + 1], stop[SHINGLE - 1:]
-    return mix((run[b] - run[a]) * down[a] + (b - a).astype(np.uint64))
+    i = np.arange(n.sum()) + np.repeat(np.cumsum(words) - words - (np.cumsum(n) - n), n)
+    a, b = start[i], stop[i + SHINGLE - 1]
+    return mix((run[b] - run[a]) * down[a] + (b - a).astype(np.uint64)), n
+
+
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of every shingle; none for fewer words than a shingle has."""
+    return shingles_of([words])[0]
 
 
-def compact_windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(h: np.ndarray, width: int, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(hash, l, at, r)`` of the windows of at least ``width`` values; ``at`` is the place of the minimum.
 
     Block-wise running minima give the minimum of every stretch of ``width`` values; a run of stretches with the same minimum is
-    one node of the Cartesian tree, as far as such stretches hold its minimum.
+    one node of the Cartesian tree, as far as such stretches hold its minimum. With ``sizes`` (each at least ``width``), ``h`` holds
+    the values of several texts one after another, and no window goes over from one to the next.
     """
     n = len(h)
     if n < width:
         return (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
-    pad = np.full(-n % width, np.uint64(0xFFFFFFFFFFFFFFFF))
-    block = np.concatenate([h, pad]).reshape(-1, width)
-    left = np.minimum.accumulate(block, axis=1).ravel()
-    right = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-    low = np.minimum(right[:n - width + 1], left[width - 1:n])
-    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    last = np.r_[first[1:], len(low)] - 1
+    low, sizes = least(h, width), np.array([n]) if sizes is None else sizes
+    stretches = sizes - width + 1
+    owner = np.repeat(np.arange(len(sizes)), stretches)
+    start = np.arange(len(owner)) + owner * (width - 1)
+    low = low[start]
+    new = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])])
+    first, last = start[new], start[np.r_[new[1:], len(low)] - 1]
     at = first + h[first[:, None] + np.arange(width)].argmin(axis=1)
-    return low[first], first, at, last + width - 1
+    return low[new], first, at, last + width - 1
 
 
 def least(h: np.ndarray, width: int) -> np.ndarray:
@@ -106,30 +118,46 @@ def least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:len(h) - width + 1], left[width - 1:len(h)])
 
 
-def signatures(text: str | None):
-    """``(signature, place, sides, same)`` of all compact windows under all hash functions; the signature tells the function too.
+def signatures(texts: list[str | None]):
+    """``(text, signature, place, sides, same)`` of all compact windows under all hash functions, ``text`` being the number of the text in
+    the list; the signature tells the function too.
 
     ``place`` holds at, at - l and r - at; ``sides`` the min-hashes of both sides in 32 bits each, zero where the text ends before;
     ``same`` is equal for equal words as far as windows of that minimum can reach.
     """
-    h = shingle_hashes(words_of(text))
-    n = len(h)
-    if n < MIN_SHINGLES:
-        return (np.empty(0, np.uint64),) * 4
+    h, sizes = shingles_of([words_of(t) for t in texts])
+    long = sizes >= MIN_SHINGLES
+    h, number, sizes = h[np.repeat(long, sizes)], np.flatnonzero(long), sizes[long]
+    if not len(h):
+        return (np.empty(0, np.int64), *(np.empty(0, np.uint64),) * 4)
+    ends = np.cumsum(sizes)
     side = mix(least(mix(h ^ mix(np.array([HASHES + 1], np.uint64))), SIDE)) >> np.uint64(32)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + BASE), dtype=np.uint64)])
     parts = []
     for k in range(HASHES):
-        low, l, at, r = compact_windows(mix(h ^ mix(np.array([k + 1], np.uint64))), MIN_SHINGLES)
-        place = (at << 14) | ((at - l) << 7) | (r - at)
-        before = np.where(at >= SIDE, side[np.maximum(at - SIDE, 0)], np.uint64(0))
-        after = np.where(at + SIDE < n, side[np.minimum(at + 1, n - SIDE)], np.uint64(0))
-        lo, hi = np.maximum(at - MIN_SHINGLES + 1, 0), np.minimum(at + MIN_SHINGLES, n)
+        low, l, at, r = compact_windows(mix(h ^ mix(np.array([k + 1], np.uint64))), MIN_SHINGLES, sizes)
+        text = np.searchsorted(ends, at, "right")
+        begin, end = (ends - sizes)[text], ends[text]
+        place = ((at - begin) << 14) | ((at - l) << 7) | (r - at)
+        before = np.where(at - begin >= SIDE, side[np.maximum(at - SIDE, 0)], np.uint64(0))
+        after = np.where(at + SIDE < end, side[np.minimum(at + 1, len(h) - SIDE)], np.uint64(0))
+        lo, hi = np.maximum(at - MIN_SHINGLES + 1, begin), np.minimum(at + MIN_SHINGLES, end)
         same = mix((run[hi] - run[lo]) ^ mix((((at - lo) << 7) | (hi - at)).astype(np.uint64)))
-        parts.append(((low & ~np.uint64(7)) | np.uint64(k), place.astype(np.uint64), (before << np.uint64(32)) | after, same))
+        parts.append((number[text], (low & ~np.uint64(7)) | np.uint64(k), place.astype(np.uint64), (before << np.uint64(32)) | after, same))
     return tuple(map(np.concatenate, zip(*parts)))
 
 
+def in_parts(texts: list[str | None], most: int):
+    """Slices of the list, each of about ``most`` code points at most, or of one text."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > most:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(t or "")
+    yield slice(first, len(texts))
+
+
 NAMES = ["rep", "doc", "rep_from", "rep_to", "from", "to", "hashes"]
 WINDOW = "sig long, doc long, place long, sides long, rep long, rep_at long"
 LINK = "rep long, doc long, k int, rep_at int, at int, l int, r int, grp long"
@@ -175,25 +203,39 @@ def met(sig, doc, place, side, salt):
     return o[a], o[b], g
 
 
+def window_rows(batches):
+    """Windows of the texts of Arrow batches ``(id, text)``, some ``ROWS`` at a time whatever the texts hold."""
+    def rows(doc, sig, place, sides, same):
+        o = np.lexsort((place, doc, same, sig))
+        sig, doc, place, sides, same = (x[o] for x in (sig, doc, place, sides, same))
+        lead = np.r_[True, (sig[1:] != sig[:-1]) | (same[1:] != same[:-1])]
+        to = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+        # the same words as those of another document nearby: linked to that one, which stands for both
+        linked = ~lead & (doc[to] != doc)
+        for m in (lead, linked):
+            i = np.flatnonzero(m)
+            for i in np.split(i, range(ROWS, len(i), ROWS)):
+                rep, rep_at = doc[to[i]], (place[to[i]] >> np.uint64(14)).astype(np.int64)
+                yield _window_rows(sig[i], doc[i], place[i], sides[i], *(pa.array(x, mask=lead[i]) for x in (rep, rep_at)))
+
+    held, n = [], 0
+    for b in batches:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        for i in range(0, b.num_rows, 512):
+            texts = b.column(1).slice(i, 512).to_pylist()
+            for part in in_parts(texts, TEXT):
+                text, *more = signatures(texts[part])
+                held.append((ids[i + part.start + text], *more))
+                n += len(text)
+                if n >= 8 * ROWS:
+                    yield from rows(*map(np.concatenate, zip(*held)))
+                    held, n = [], 0
+    if n:
+        yield from rows(*map(np.concatenate, zip(*held)))
+
+
 def links(docs: DataFrame) -> DataFrame:
     """Matched windows ``(rep, doc, k, rep_at, at, l, r, grp)`` of ``docs(id, text)``, and the large group they are of, if any."""
-    def windows(batches):
-        for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            parts = [(s, np.full(len(s), i), *more) for i, t in zip(ids, texts) for s, *more in [signatures(t)] if len(s)]
-            if not parts:
-                continue
-            sig, doc, place, sides, same = map(np.concatenate, zip(*parts))
-            o = np.lexsort((place, doc, same, sig))
-            sig, doc, place, sides, same = (x[o] for x in (sig, doc, place, sides, same))
-            lead = np.r_[True, (sig[1:] != sig[:-1]) | (same[1:] != same[:-1])]
-            to = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-            none = pa.nulls(int(lead.sum()), pa.int64())
-            yield _window_rows(sig[lead], doc[lead], place[lead], sides[lead], none, none)
-            # the same words as those of another document of the batch: linked to that one, which stands for both
-            m = ~lead & (doc[to] != doc)
-            yield _window_rows(sig[m], doc[m], place[m], sides[m], pa.array(doc[to][m]), pa.array((place[to][m] >> np.uint64(14)).astype(np.int64)))
-
     def meet(batches):
         held: list = []
 
@@ -232,7 +274,7 @@ def links(docs: DataFrame) -> DataFrame:
         if held:
             yield from flush(*map(np.concatenate, zip(*held)))
 
-    w = docs.select("id", "text").mapInArrow(windows, WINDOW)
+    w = docs.select("id", "text").mapInArrow(window_rows, WINDOW)
     # what is linked already goes anywhere
     w = w.repartition(F.when(F.col("rep").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "doc"))).sortWithinPartitions("sig")
     return w.mapInArrow(meet, LINK)
@@ -272,12 +314,28 @@ def candidates(matches: DataFrame) -> DataFrame:
     return m.mapInArrow(run, ", ".join(f"`{n}` long" for n in NAMES) + ", places array<long>, rep_places array<long>")
 
 
+def tuples(w: list) -> list[tuple]:
+    """The shingles of a list of words."""
+    return list(zip(*(w[k:] for k in range(SHINGLE))))
+
+
+def drawn_out(a: list[str], b: list[str], i: int, j: int, x: int, y: int):
+    """The stretches ``a[i:j]`` and ``b[x:y]`` to both sides as far as the words are equal."""
+    for step in (256, 16, 1):
+        while i >= step and x >= step and a[i - step:i] == b[x - step:x]:
+            i, x = i - step, x - step
+        while j + step <= len(a) and y + step <= len(b) and a[j:j + step] == b[y:y + step]:
+            j, y = j + step, y + step
+    return i, j, x, y
+
+
 def agree(a: list[str], b: list[str], i: int, j: int, x: int, y: int):
     """Draw out the stretches ``a[i:j]`` and ``b[x:y]``: ``(i, j, x, y, similarity)``, or None if they are no such passage."""
-    while i > 0 and x > 0 and a[i - 1] == b[x - 1]:
-        i, x = i - 1, x - 1
-    while j < len(a) and y < len(b) and a[j] == b[y]:
-        j, y = j + 1, y + 1
+    return alike(a, b, *drawn_out(a, b, i, j, x, y))
+
+
+def alike(a: list[str], b: list[str], i: int, j: int, x: int, y: int):
+    """As ``agree``, for stretches that are drawn out."""
     need = MIN_WORDS - min(j - i, y - x)
     if need <= 0:
         splits = [(0, 0)]
@@ -285,7 +343,7 @@ def agree(a: list[str], b: list[str], i: int, j: int, x: int, y: int):
         most_back, most_on = min(i, x, need), min(len(a) - j, len(b) - y, need)
         if most_back + most_on < need:
             return None
-        p, q = ([tuple(w[k:k + SHINGLE]) for k in range(s - most_back, e + most_on - SHINGLE + 1)] for w, s, e in ((a, i, j), (b, x, y)))
+        p, q = (tuples(w[s - most_back:e + most_on]) for w, s, e in ((a, i, j), (b, x, y)))
         known = set(p)
         hits = np.cumsum([0, *(k in known for k in q)])
         n = len(q) - (most_back + most_on - need)  # shingles of a stretch
@@ -294,8 +352,12 @@ def agree(a: list[str], b: list[str], i: int, j: int, x: int, y: int):
         order = sorted(shared, key=lambda v: (v != most_back, -shared[v]))
         splits = [(v, need - v) for v in order if v == most_back or shared[v] >= SIMILARITY * MIN_SHINGLES]
     for back, on in splits:
-        p, q = ({tuple(w[k:k + SHINGLE]) for k in range(s - back, e + on - SHINGLE + 1)} for w, s, e in ((a, i, j), (b, x, y)))
-        like = len(p & q) / max(1, len(p | q))
+        v, w = a[i - back:j + on], b[x - back:y + on]
+        if v == w and len(v) >= SHINGLE:
+            return i - back, j + on, x - back, y + on, 1.0
+        p, q = set(tuples(v)), set(tuples(w))
+        shared = len(p & q)
+        like = shared / max(1, len(p) + len(q) - shared)
         if like >= SIMILARITY:
             return i - back, j + on, x - back, y + on, like
     return None
@@ -306,11 +368,16 @@ def agreed(a: list, b: list, whole: tuple[int, int, int, int], places: list[tupl
     v = agree(a, b, *whole)
     if v:
         return [v]
-    out, done = [], -1
+    out, done, failed = [], -1, {}
     for i, x in places:
-        if i >= done and (v := agree(a, b, i, i + SHINGLE, x, x + SHINGLE)):
+        if i < done or i + SHINGLE <= failed.get(x - i, 0):  # within equal words that are no passage
+            continue
+        run = drawn_out(a, b, i, i + SHINGLE, x, x + SHINGLE)
+        if v := alike(a, b, *run):
             out.append(v)
             done = v[1]
+        elif a[i:i + SHINGLE] == b[x:x + SHINGLE]:
+            failed[x - i] = run[1]
     return out
 
 
@@ -333,41 +400,123 @@ def reaches(a: list, b: list, first: int, i: int, j: int, last: int) -> bool:
     return False
 
 
-def grown(doc, inner, near, here, asks):
+def stand_ins(near, doc, here, inner, cell):
+    """For every row the row with the same shingles that stands for it; rows of documents that come more than once stand for themselves."""
+    weight = mix(np.arange(1, near.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
+    key = mix((mix(near.astype(np.uint64) + BASE) * weight).sum(axis=1, dtype=np.uint64))
+    again = (doc[1:] == doc[:-1]) & (cell[1:] == cell[:-1])
+    own = np.where(np.r_[False, again] | np.r_[again, False], np.arange(1, len(doc) + 1), 0)
+    o = np.lexsort((~inner, ~here, own, key, cell))
+    lead = np.r_[True, (key[o][1:] != key[o][:-1]) | (own[o][1:] != own[o][:-1]) | (cell[o][1:] != cell[o][:-1])]
+    rep = np.empty(len(doc), np.int64)
+    rep[o] = o[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+    return rep
+
+
+def spread_out(lo, hi):
+    """All numbers of the ranges ``lo:hi``, and the number of the range of each."""
+    size = hi - lo
+    which = np.repeat(np.arange(len(lo)), size)
+    return np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size), which
+
+
+def grown(doc, inner, near, here, asks, cell=None):
     """Pairs ``(row, row)`` that join the members of a group as far as their shingles ``near`` a minimum agree, in the sense of ``agree``.
 
     ``inner`` ones are joined already, those of ``asks`` ask the ones ``here``, and of two that are not inner the first one asks.
-    Rows are sorted by document and place.
+    Rows are sorted by document and place; there may be several groups, one after another, told apart by the numbers ``cell``. Members with the same shingles are one; others are looked at if they have one of their rarest
+    shingles in common. Two stretches of the least length that agree share ``enough`` shingles, so both have one of these
+    among all but their ``enough - 1`` most frequent ones: what very many share is not looked at for itself.
     """
     mid, root = MIN_SHINGLES - 1, np.arange(len(doc))
-    root[inner] = np.flatnonzero(inner)[0] if inner.any() else 0
+    cell = np.zeros(len(doc), np.int64) if cell is None else cell
+    _, lead, number = np.unique(cell[inner], return_index=True, return_inverse=True)
+    root[inner] = np.flatnonzero(inner)[lead[number]]
+    rep = stand_ins(near, doc, here, inner, cell)
+    for x in np.flatnonzero((rep != np.arange(len(doc))) & here[rep] & (asks | asks[rep])).tolist():
+        if root[x] != root[rep[x]]:
+            root[root == root[x]] = root[rep[x]]
+            yield x, int(rep[x])
+    alone = rep == np.arange(len(doc))
+    here, asks = here & alone, asks & alone
     before, after = (near[:, :mid] != 0).sum(axis=1), (near[:, mid + 1:] != 0).sum(axis=1)
-    line = np.sort(near, axis=1)
-    odd = ((line[:, 1:] == line[:, :-1]) & (line[:, 1:] != 0)).any(axis=1)  # a shingle repeats
-    names, code = np.unique(near, return_inverse=True)
-    code = code.reshape(near.shape)
-    # shared shingles of two stretches of the least length that agree, and of those where one side's may repeat
-    least_shared = np.where(odd, SIMILARITY * MIN_SHINGLES, 2 * SIMILARITY / (1 + SIMILARITY) * MIN_SHINGLES) - 1e-9
-
-    def plausible(q, other):
-        # a passage of the least length around the minimum has enough shingles of the other one; a shingle that repeats counts once there
-        known = np.zeros((len(q), len(names)), bool)
-        known[np.arange(len(q))[:, None], code[q]] = True
-        known[:, names == 0] = False
-        hit = known[:, code[other]]
-        ok = here[other] & (root[q, None] != root[other]) & (doc[q, None] != doc[other]) & (inner[other] | (other > q[:, None]))
-        x, y = np.nonzero(ok & (odd[other] | (hit.sum(axis=2) >= least_shared[q, None])))
-        run = np.cumsum(hit[x, y], axis=1, dtype=np.int16)
-        best = np.maximum(run[:, mid], (run[:, MIN_SHINGLES:] - run[:, :-MIN_SHINGLES]).max(axis=1))
-        ok = odd[other[y]] | (best >= least_shared[q[x]])
-        return q[x[ok]], other[y[ok]]
+    o = np.argsort(near, axis=1, kind="stable")
+    line = np.take_along_axis(near, o, axis=1)
+    again = np.zeros((len(doc), near.shape[1] + 1), bool)
+    again[:, 1:-1] = (line[:, 1:] == line[:, :-1]) & (line[:, 1:] != 0)
+    odd = again.any(axis=1)  # a shingle repeats
+    earlier = np.empty(near.shape, np.int64)  # where a shingle comes before, if it does
+    np.put_along_axis(earlier, o, np.where(again[:, :-1], np.roll(o, 1, axis=1), -1), axis=1)
+    # the first stretch of the least length, of those around the minimum, in which a place is the first one with its shingle
+    begin = np.minimum(np.maximum(earlier + 1, np.maximum(np.arange(near.shape[1]) - mid, 0)), MIN_SHINGLES)
+
+    def different(x, hit):
+        # how many different shingles each stretch has in the places that are hit
+        run = np.cumsum(np.bincount((np.arange(len(x))[:, None] * (MIN_SHINGLES + 1) + begin[x])[hit], minlength=len(x) * (MIN_SHINGLES + 1)).reshape(len(x), -1), axis=1)
+        run[:, 1:MIN_SHINGLES] -= np.cumsum(hit[:, :mid], axis=1)
+        return run[:, :MIN_SHINGLES]
+
+    n = different(np.arange(len(doc)), near != 0)
+    enough = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * MIN_SHINGLES - 1e-9))
+    near_of = np.where(near != 0, near.astype(np.uint64) | (cell.astype(np.uint64) << np.uint64(32))[:, None], np.uint64(0))[alone]
+    names, code, times = np.unique(near_of, return_inverse=True, return_counts=True)
+    # 0: none, 1: of one member only, then by frequency
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, times))] = np.arange(2, len(names) + 2)
+    rank = np.maximum(rank - (times == 1).sum(), 1)
+    rank[names == 0] = 0
+    code = np.zeros(near.shape, np.int64)
+    code[alone] = rank[np.searchsorted(names, near_of)]
+    width = int(code.max()) + 1
+    order = np.sort(np.where(code == 0, width, code), axis=1)
+    rare = (np.arange(near.shape[1]) < ((near != 0).sum(axis=1) - enough + 1)[:, None]) & (order > 1) & (order < width) & ~odd[:, None]
+    row, col = np.nonzero(rare & here[:, None])
+    key = order[row, col]
+    o = np.argsort(key, kind="stable")
+    key, row = key[o], row[o]
+    strange, all_here = np.flatnonzero(odd & here), np.flatnonzero(here)
+
+    def plausible(q):
+        i, j = np.nonzero(rare[q])
+        want = order[q][i, j]
+        at, which = spread_out(np.searchsorted(key, want), np.searchsorted(key, want, "right"))
+        pairs = [i[which] * len(doc) + row[at]]
+        for of, whom in ((np.arange(len(q)), strange), (np.flatnonzero(odd[q]), all_here)):
+            at, which = spread_out(np.searchsorted(cell[whom], cell[q[of]]), np.searchsorted(cell[whom], cell[q[of]], "right"))
+            pairs.append(of[which] * len(doc) + whom[at])
+        x, t = np.divmod(np.concatenate(pairs), len(doc))
+        ok = (root[q[x]] != root[t]) & (doc[q[x]] != doc[t]) & (inner[t] | (t > q[x]))
+        x, t = np.divmod(np.unique(x[ok] * len(doc) + t[ok]), len(doc))
+        out = []
+        at_once = int(min(4096, max(64, AT_ONCE * 64 // width)))
+        for k in range(0, len(x), at_once):
+            a, b = q[x[k:k + at_once]], t[k:k + at_once]
+            ok = possible(a, b)
+            out.append((a[ok], b[ok]))
+        return tuple(map(np.concatenate, zip(*out))) if out else (x, t)
+
+    def of_other(a, b):
+        rows, i = np.unique(a, return_inverse=True)
+        known = np.zeros((len(rows), width), bool)
+        known[np.arange(len(rows))[:, None], code[rows]] = True
+        known[:, :2] = False
+        return known[i[:, None], code[b]]
+
+    def possible(a, b):
+        # in some stretch of the least length that holds the minimum, enough of the different shingles are in the other row
+        most = np.minimum(different(a, of_other(b, a)), different(b, of_other(a, b)))
+        k = np.arange(MIN_SHINGLES)
+        whole = (k >= mid - np.minimum(before[a], before[b])[:, None]) & (k <= np.minimum(after[a], after[b])[:, None])
+        return (whole & (most >= SIMILARITY * (n[a] + n[b] - most) - 1e-9)).any(axis=1)
 
     ask = np.flatnonzero(asks)
-    at_once = max(1, AT_ONCE // len(doc))
-    for block in np.split(ask, range(at_once, len(ask), at_once)):
-        left = np.flatnonzero(here & ((root != root[block[0]]) | (len(np.unique(root[block])) > 1)))
-        pairs = [plausible(block, part) for part in np.split(left, range(AT_ONCE, len(left), AT_ONCE))]
-        q, t = map(np.concatenate, zip(*pairs))
+    if not len(ask):
+        return
+    want = np.where(rare[ask], order[ask], width)
+    cost = (np.searchsorted(key, want, "right") - np.searchsorted(key, want)).sum(axis=1) + width + len(strange) + odd[ask] * len(doc)
+    cost = np.cumsum(cost) // AT_ONCE
+    for block in np.split(ask, np.flatnonzero(cost[1:] != cost[:-1]) + 1):
+        q, t = plausible(block)
         if not len(q):
             continue
         differ = (near[q] != near[t]) | (near[q] == 0)
@@ -405,20 +554,25 @@ def across(matches: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
 
     def clip(batches):
         for b in batches:
-            size, c = b.column(2).value_lengths().to_numpy(), b.column(2).flatten()
-            grp, k, at, l, r, inner, n = (x.to_numpy(zero_copy_only=False) for x in c.flatten())
-            doc, first = np.repeat(b.column(0).to_numpy(), size), np.cumsum(size) - size
-            near = np.concatenate([around(shingle_hashes(words_of(t)), at[i:i + m]) for t, i, m in zip(b.column(1).to_pylist(), first.tolist(), size.tolist())])
-            own = (doc * 31 + at) % n
-            # cells (chunk of those asked, chunk of those who ask)
-            one = np.flatnonzero(n == 1)
-            cells = [(i, a, q) for i in np.flatnonzero(n > 1).tolist()
-                     for a, q in {(own[i], j) for j in range(n[i])} | (set() if inner[i] else {(j, own[i]) for j in range(n[i])})]
-            row, asked, asking = np.concatenate([np.stack([one, 0 * one, 0 * one], 1), np.array(cells, np.int64).reshape(-1, 3)]).T
-            for i in range(0, len(row), 4096):
-                x, a, q = row[i:i + 4096], asked[i:i + 4096], asking[i:i + 4096]
-                cols = grp[x], a, q, a == own[x], ~inner[x] & (q == own[x]), doc[x], k[x], at[x], l[x], r[x], inner[x], [v.tobytes() for v in near[x]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(cols, kinds)], names)
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                size, c = part.column(2).value_lengths().to_numpy(), part.column(2).flatten()
+                grp, k, at, l, r, inner, n = (x.to_numpy(zero_copy_only=False) for x in c.flatten())
+                doc, h = np.repeat(part.column(0).to_numpy(), size), [shingle_hashes(words_of(t)) for t in part.column(1).to_pylist()]
+                text = np.repeat(np.arange(len(h)), size)
+                own = (doc * 31 + at) % n
+                # cells (chunk of those asked, chunk of those who ask)
+                one = np.flatnonzero(n == 1)
+                cells = [(i, a, q) for i in np.flatnonzero(n > 1).tolist()
+                         for a, q in {(own[i], j) for j in range(n[i])} | (set() if inner[i] else {(j, own[i]) for j in range(n[i])})]
+                row, asked, asking = np.concatenate([np.stack([one, 0 * one, 0 * one], 1), np.array(cells, np.int64).reshape(-1, 3)]).T
+                for i in range(0, len(row), 4096):
+                    x, a, q = row[i:i + 4096], asked[i:i + 4096], asking[i:i + 4096]
+                    y = np.flatnonzero(np.r_[True, text[x][1:] != text[x][:-1]])
+                    near = np.concatenate([around(h[text[x[u]]], at[x[u:v]]) for u, v in zip(y, [*y[1:], len(x)])])
+                    near = pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * near.shape[1] * 4), pa.py_buffer(near.tobytes())])
+                    cols = grp[x], a, q, a == own[x], ~inner[x] & (q == own[x]), doc[x], k[x], at[x], l[x], r[x], inner[x], near
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(cols, kinds)], names)
 
     member = "grp long, asked int, asking int, here boolean, asks boolean, doc long, k int, at int, l int, r int, inner boolean, near binary"
     names = [c.split()[0] for c in member.split(", ")]
@@ -443,14 +597,18 @@ def across(matches: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     def cells(t):
         here, asks, doc, k, at, l, r, inner = (t.column(i).to_numpy() for i in range(3, 11))
         first = first_rows(t)
-        for lo, hi in zip(first, [*first[1:], t.num_rows]):
-            part = slice(lo, hi)
-            if not asks[part].any():
+        size = np.diff(np.r_[first, t.num_rows])
+        number = np.repeat(np.arange(len(first)), size)
+        wanted = np.maximum.reduceat(asks, first)
+        # small cells together, as it is one call for them
+        for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(np.cumsum(size) // 2048)) + 1):
+            rows = np.flatnonzero(wanted[number] & (number >= part[0]) & (number <= part[-1]))
+            if not len(rows):
                 continue
-            near = np.frombuffer(b"".join(t.column(11).slice(lo, hi - lo).to_pylist()), np.uint32).reshape(hi - lo, -1)
+            near = np.frombuffer(b"".join(t.column(11).take(pa.array(rows)).to_pylist()), np.uint32).reshape(len(rows), -1)
             out = []
-            for q, x in grown(doc[part], inner[part], near, here[part], asks[part]):
-                a, b = sorted((lo + q, lo + x), key=lambda i: doc[i])
+            for q, x in grown(doc[rows], inner[rows], near, here[rows], asks[rows], number[rows]):
+                a, b = sorted((rows[q], rows[x]), key=lambda i: doc[i])
                 out.append((doc[a], doc[b], k[b], at[a], at[b], l[b], r[b], None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([v for v in col], pa.int64() if n in ("rep", "doc", "grp") else pa.int32()) for col, n in zip(zip(*out), link)], link)
@@ -464,32 +622,48 @@ def across(matches: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
 def verified(matches: DataFrame, d: DataFrame) -> DataFrame:
     """The passages of matched windows of ``d(id, text)``, as ``repeated`` gives them."""
     c = saved(candidates(matches), "passages")
-    # what each side needs, with a margin: the members' stretches one by one, a representative's all together
-    need = c.select(F.col("doc").alias("id"), F.col("from").alias("lo"), F.col("to").alias("hi"), F.struct("rep", "rep_from", "rep_to", "from", "to", "hashes", "places", "rep_places").alias("c"))
+    # what each side needs, with a margin: the members' stretches one by one, a representative's all together; a text is sent for both once
+    need = c.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("rep", "rep_from", "rep_to", "from", "to", "hashes", "places", "rep_places")).alias("c"))
     reps = c.groupBy(F.col("rep").alias("id")).agg(F.min("rep_from").alias("lo"), F.max("rep_to").alias("hi"))
-    need = need.unionByName(reps, allowMissingColumns=True)
+    need = need.join(reps, "id", "full").select("id", "c", "lo", "hi")
 
     def clip(batches):
+        got, size = [], 0
         for b in batches:
-            got = []
-            for t, lo, hi in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                w = words_of(t)
-                lo = max(0, lo - MIN_WORDS)
-                got.append((lo, b" ".join(w[lo:hi + SHINGLE + MIN_WORDS])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())],
-                                             ["id", "c", "offset", "words"])
+            for i in range(b.num_rows):
+                doc, text, c, lo, hi = (b.column(k)[i] for k in range(5))
+                doc, lo, hi, w = doc.as_py(), lo.as_py(), hi.as_py(), words_of(text.as_py())
+                stretches = [] if lo is None else [(None, lo, hi)]
+                for k in range(len(c.values) if c.is_valid else 0):
+                    x = c.values[k]
+                    stretches.append((x, x["from"].as_py(), x["to"].as_py()))
+                for x, lo, hi in stretches:
+                    lo = max(0, lo - MIN_WORDS)
+                    got.append((doc, x, lo, b" ".join(w[lo:hi + SHINGLE + MIN_WORDS])))
+                    size += len(got[-1][-1]) + 100
+                    if size > BYTES:
+                        yield span_rows(got)
+                        got, size = [], 0
+        if got:
+            yield span_rows(got)
+
+    def span_rows(got):
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] and x[1].as_py() for x in got], span), pa.array([x[2] for x in got], pa.int64()),
+                                           pa.array([x[3] for x in got], pa.binary())], ["id", "c", "offset", "words"])
 
     one = thinned(d, F.col("id"), need, F.col("id")).dropDuplicates(["id"])
     kind = "struct<rep:bigint,rep_from:bigint,rep_to:bigint,from:bigint,to:bigint,hashes:bigint,places:array<bigint>,rep_places:array<bigint>>"
-    spans = one.join(need, "id").select("id", "text", "lo", "hi", "c").mapInArrow(clip, f"id long, c {kind}, offset long, words binary")
+    span = pa.struct([*((n, pa.int64()) for n in ("rep", "rep_from", "rep_to", "from", "to", "hashes")), ("places", pa.list_(pa.int64())), ("rep_places", pa.list_(pa.int64()))])
+    spans = one.join(need, "id").select("id", "text", "c", "lo", "hi").mapInArrow(clip, f"id long, c {kind}, offset long, words binary")
     spans = saved(spans, "spans")
     a = spans.where("c is not null").select(F.col("c.rep").alias("rep"), "id", "c", "offset", "words")
     b = spans.where("c is null").select(F.col("id").alias("rep"), F.col("offset").alias("rep_offset"), F.col("words").alias("rep_words"))
 
     def verify(batches):
+        names = ["doc_id", "start", "words", "other_id", "other_start", "other_words", "similarity", "hashes"]
         for batch in batches:
             out, seen = [], {}
-            for x in batch.to_pylist():
+            for x in (x for i in range(0, batch.num_rows, 64) for x in batch.slice(i, 64).to_pylist()):
                 key = x["rep"]
                 if key not in seen:
                     seen = {key: x["rep_words"].split(b" ")}
@@ -497,7 +671,6 @@ def verified(matches: DataFrame, d: DataFrame) -> DataFrame:
                 places = sorted({(i - o, y - p) for i, y in zip(c["places"], c["rep_places"])})
                 for v in agreed(a, b, (c["from"] - o, c["to"] + SHINGLE - o, c["rep_from"] - p, c["rep_to"] + SHINGLE - p), places):
                     out.append((x["id"], v[0] + o, v[1] - v[0], key, v[2] + p, v[3] - v[2], v[4], c["hashes"]))
-            names = ["doc_id", "start", "words", "other_id", "other_start", "other_words", "similarity", "hashes"]
             cols = zip(*out) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.float64() if n == "similarity" else pa.int64()) for n, v in zip(names, cols)], names)
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from hazegrid.llm import passages as P
 from tests.llm.helpers import clashing, empty, odd
@@ -170,3 +171,71 @@ def test_recall_of_near_copies_against_brute_force(spark):
     true = {frozenset((a, b)) for a in words for b in range(a // 4 * 4, a) if alike(words[a], words[b])}
     rows = P.repeated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
     assert len(true) > 100 and len(true & pairs(rows)) >= 0.95 * len(true)
+
+
+def test_windows_of_many_texts_at_once_are_those_of_each_and_leave_in_small_batches():
+    rnd = random.Random(9)
+    texts = [text(rnd, rnd.choice((0, 3, 49, 50, 51, 400, 3000))) for _ in range(60)] + [None, "", "x " * 500]
+    one = {(i, *map(int, x)) for i, t in enumerate(texts) for _, *x in zip(*P.signatures([t]))}
+    assert one == {tuple(map(int, x)) for x in zip(*P.signatures(texts))} and len(one) > 5000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    old, P.ROWS = P.ROWS, 200
+    try:
+        out = list(P.window_rows(iter([batch])))
+    finally:
+        P.ROWS = old
+    assert max(b.num_rows for b in out) <= 200
+    got = [(x["doc"], x["sig"] % (1 << 64), x["place"]) for b in out for x in b.to_pylist()]
+    assert set(got) <= {x[:3] for x in one} and len(got) == len(set(got))
+    assert {x[:3] for x in one if x[0] < 60} <= set(got)
+
+
+def around_minimum(words, at):
+    return np.concatenate([P.around(P.shingle_hashes([x.encode() for x in w]), np.array([at])) for w in words])
+
+
+def test_junk_that_shares_a_minimum_is_not_compared_pair_by_pair():
+    rnd = random.Random(10)
+    shared, lines = text(rnd, 10).split(), [text(rnd, 7).split() for _ in range(80)]
+    near = around_minimum([line * 7 + shared + line * 7 for line in lines], 51)
+    doc, one, none, asked, reaches = np.arange(80), np.ones(80, bool), np.zeros(80, bool), [], P.reaches
+    P.reaches = lambda *a: asked.append(a) or reaches(*a)
+    try:
+        assert list(P.grown(doc, none, near, one, one)) == [] and len(asked) < 80
+    finally:
+        P.reaches = reaches
+
+
+def test_groups_in_one_call_are_joined_as_one_by_one():
+    rnd = random.Random(12)
+    parts = []
+    for g in range(6):
+        base = text(rnd, 100).split() if g % 2 else text(rnd, 10).split() * 10
+        words = []
+        for _ in range(25):
+            w = edited(rnd, base, rnd.randrange(4))
+            w[48:53] = base[48:53]
+            words.append(w)
+        parts.append(around_minimum(words + words[:3], 48))
+    parts.append(parts[0])  # the same shingles in another group
+    n = [len(p) for p in parts]
+    near, cell = np.concatenate(parts), np.repeat(np.arange(len(n)), n)
+    doc = np.concatenate([np.arange(k) // (1 + g % 2) for g, k in enumerate(n)])
+    inner = np.array([rnd.random() < 0.2 for _ in doc])
+    one = np.ones(len(doc), bool)
+
+    def classes(links):
+        root = np.arange(len(doc))
+        for g in range(len(n)):
+            root[inner & (cell == g)] = min(np.flatnonzero(inner & (cell == g)), default=0)
+        for a, b in links:
+            root[root == root[b]] = root[a]
+        return {frozenset(np.flatnonzero(root == r).tolist()) for r in root}
+
+    together = list(P.grown(doc, inner, near, one, ~inner, cell))
+    alone = []
+    for g in range(len(n)):
+        m, lo = cell == g, sum(n[:g])
+        alone += [(lo + a, lo + b) for a, b in P.grown(doc[m], inner[m], near[m], one[m], ~inner[m])]
+    assert classes(together) == classes(alone) and 10 < len(classes(alone)) < len(doc)
+    assert all(cell[a] == cell[b] and doc[a] != doc[b] for a, b in together)
